@@ -1,0 +1,6 @@
+"""All registered queries by name, with their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
