@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import bounded_batches
 
 #: The words that a worker remembers. When there are more, it starts anew; results do not depend on it.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 700_000
 
 
 def byte_symbols() -> list[str]:
@@ -80,15 +80,18 @@ class PairIndexBPE:
         symbol[inside] = self.v.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
         s = symbol.tolist()
         after, before = list(range(1, len(s) + 1)), list(range(-1, len(s) - 1))
-        merges, positions, heap = self.v.merges, {}, []
-        for at in range(len(s) - 1):
-            pair = (s[at], s[at + 1])
+        merges, heap = self.v.merges, []
+        positions: dict[tuple[int, int], list[int]] = {}
+        whole = (symbol[:-1] << 32) + symbol[1:]
+        at = np.flatnonzero((symbol[:-1] >= 0) & (symbol[1:] >= 0))
+        at = at[np.argsort(whole[at], kind="stable")]
+        cuts = np.flatnonzero(np.diff(whole[at], prepend=-1))
+        for part in np.split(at, cuts[1:]) if len(at) else []:
+            pair = (s[part[0]], s[part[0] + 1])
             if pair in merges:
-                if pair in positions:
-                    positions[pair].append(at)
-                else:
-                    positions[pair] = [at]
-                    heap.append((merges[pair][0], pair))
+                positions[pair] = part.tolist()
+                heap.append((merges[pair][0], pair))
+        end_of_all = len(s)
         heapq.heapify(heap)
         while heap:
             _, pair = heapq.heappop(heap)
@@ -99,12 +102,12 @@ class PairIndexBPE:
             fresh: dict[tuple[int, int], list[int]] = {}
             for at in listed:
                 to = after[at]
-                if s[at] != left or to >= len(s) or s[to] != right:
+                if s[at] != left or to >= end_of_all or s[to] != right:
                     continue  # another merge took a part of it
                 s[at], s[to] = made, -2
                 end = after[to]
                 after[at] = end
-                if end < len(s):
+                if end < end_of_all:
                     before[end] = at
                     if s[end] >= 0 and (new := (made, s[end])) in merges:
                         fresh.setdefault(new, []).append(at)
