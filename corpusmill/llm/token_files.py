@@ -27,7 +27,7 @@ from corpusmill.llm.files import Reader, make_folder, put
 
 BLOCK, PERCENTILE = 128, 95
 #: A file is closed beyond so many ids; the words a worker remembers.
-FILE_IDS, CACHE_WORDS = 2_000_000, 200_000
+FILE_IDS, CACHE_WORDS = 2_000_000, 700_000
 _MAGIC = b"PFOR0001"
 
 
