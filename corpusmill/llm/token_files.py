@@ -27,8 +27,10 @@ from corpusmill.llm.files import Reader, make_folder, put
 
 BLOCK, PERCENTILE = 128, 95
 #: A file is closed beyond so many ids; the words a worker remembers.
-FILE_IDS, CACHE_WORDS = 2_000_000, 700_000
+FILE_IDS, CACHE_WORDS = 1_000_000, 700_000
 _MAGIC = b"PFOR0001"
+#: Blocks whose bits are spread out at once.
+_PIECE = 1024
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -41,22 +43,20 @@ def pack(ids: np.ndarray) -> bytes:
         full[-1, count % BLOCK :] = full[-1, : count % BLOCK].min()
     low = full.min(axis=1) if blocks else np.zeros(0, np.int64)
     rest = full - low[:, None]
-    needed = np.zeros(rest.shape, np.int64)  # bits of each
-    left = rest.copy()
-    while left.any():
-        needed += left > 0
-        left >>= 1
+    needed = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)  # bits of each
     width = np.sort(needed, axis=1)[:, BLOCK * PERCENTILE // 100] if blocks else np.zeros(0, np.int64)
     beyond = needed > width[:, None]
     exceptions = beyond.sum(axis=1)
     packed: list[bytes] = [b""] * blocks
     places = [np.flatnonzero(b).astype(np.uint8) for b in beyond]
     for w in np.unique(width):
-        rows = np.flatnonzero(width == w)
-        bits = (rest[rows][:, :, None] >> np.arange(w)) & 1
-        body = np.packbits(bits.reshape(len(rows), -1).astype(np.uint8), axis=1, bitorder="little")
-        for r, b in zip(rows, body, strict=True):
-            packed[r] = b.tobytes() + places[r].tobytes() + (rest[r, places[r]] >> w).astype("<u4").tobytes()
+        whole = np.flatnonzero(width == w)
+        for at in range(0, len(whole), _PIECE):
+            rows = whole[at : at + _PIECE]
+            bits = np.unpackbits(rest[rows].astype("<u4").view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
+            body = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+            for r, b in zip(rows.tolist(), body, strict=True):
+                packed[r] = b.tobytes() + (places[r].tobytes() + (rest[r, places[r]] >> w).astype("<u4").tobytes() if exceptions[r] else b"")
     start = np.cumsum([0, *map(len, packed)])[:blocks]
     index = struct.pack("<QI", count, blocks) + low.astype("<u4").tobytes() + width.astype(np.uint8).tobytes() + exceptions.astype(np.uint8).tobytes() + np.asarray(start, "<u8").tobytes()
     return index + b"".join(packed)
@@ -86,9 +86,11 @@ class Packed:
             rows = np.flatnonzero(self.width[chosen] == w)
             own = chosen[rows]
             size = int(w) * BLOCK // 8
-            body = self.data[self.start[own][:, None] + np.arange(size)]
-            bits = np.unpackbits(body, axis=1, bitorder="little").reshape(len(rows), BLOCK, int(w)).astype(np.int64)
-            out[rows] = (bits << np.arange(int(w))).sum(axis=2)
+            for at in range(0, len(rows), _PIECE):
+                body = self.data[self.start[own[at : at + _PIECE]][:, None] + np.arange(size)]
+                bits = np.zeros((len(body), BLOCK, 32), np.uint8)
+                bits[:, :, : int(w)] = np.unpackbits(body, axis=1, bitorder="little").reshape(len(body), BLOCK, int(w))
+                out[rows[at : at + _PIECE]] = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
             for r, b in zip(rows[self.exceptions[own] > 0], own[self.exceptions[own] > 0], strict=True):
                 at, n = int(self.start[b]) + size, int(self.exceptions[b])
                 out[r, self.data[at : at + n]] |= np.frombuffer(self.data[at + n : at + 5 * n].tobytes(), "<u4").astype(np.int64) << int(w)
@@ -109,12 +111,20 @@ class WordEncoder:
         self.special = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.words = regex.compile(public_tokenizers.PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        vocabulary = self.library.get_vocab()  # one character of a token is one byte of text
+        self.size_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.size_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self._forget()
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
         self.ids, self.bound = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.ids = np.concatenate([self.ids, ids])
+        self.bound = np.concatenate([self.bound, self.bound[-1] + np.cumsum(size)])
+
     def _pieces(self, text: str) -> list[str]:
         if self.cut is None or not any(s in text for s in self.special):
             return self.words.findall(text)
@@ -125,12 +135,17 @@ class WordEncoder:
             self._forget()
         split = [self._pieces(t) for t in texts]
         new = sorted({w for words in split for w in words} - self.number.keys())
-        if new:
-            got = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for ids in got for i in ids), np.uint32, int(size.sum()))])
-            self.bound = np.concatenate([self.bound, self.bound[-1] + np.cumsum(size)])
+        plain = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        odd = [w for w in new if w[0] != " " or not w[1:].isalpha()]
+        # words of a space and letters are cut apart again when they stand in a row, so one call takes them all; bytes tell their ends
+        if plain:
+            ids = np.array(self.library.encode("".join(plain), add_special_tokens=False).ids, np.uint32)
+            ends = np.cumsum([len(w.encode("utf-8", "replace")) for w in plain])
+            at = np.searchsorted(np.cumsum(self.size_of[ids]), ends) + 1
+            self._add(plain, ids, np.diff(at, prepend=0))
+        if odd:
+            got = [e.ids for e in self.library.encode_batch_fast(odd, add_special_tokens=False)]
+            self._add(odd, np.array([i for ids in got for i in ids], np.uint32), np.array([len(i) for i in got], np.int64))
         out = []
         for words in split:
             n = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
