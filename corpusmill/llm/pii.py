@@ -32,10 +32,10 @@ _MAY = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){12}",
 CANDIDATES = {
     "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)|\{at\}| at |@) ?[a-z0-9-]{1,63}+(?: ?(?:\[dot\]|\(dot\)|\{dot\}| dot |\.) ?[a-z0-9-]{2,63}+){1,4}+",
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?: ?(?:\[\.\]|\(\.\)|\.) ?[0-9]{1,3}+){3}+(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ ./-]?[0-9]){11,18}+(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{12,19}+|[0-9]{3,6}(?:[ ./-][0-9]{2,6}+){2,4}+)(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+|00)?[0-9]{0,3}[ .-]?\(?[0-9]{2,5}\)?[ ./-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])",
 }
-_MAY_BE = {"email": r"(?i)[\[({ ]at[\])} ]|@ | @", "ip": r"[0-9] ?[\[(]?\. ?", "card": r"[0-9](?:[ ./-]?[0-9]){11}", "phone": r"[0-9]\)?[ ./-][0-9]{3}"}
+_MAY_BE = {"email": r"(?i)[\[({ ]at[\])} ]|@ | @", "ip": r"[0-9] ?[\[(]?\. ?", "card": r"[0-9](?:[ ./-]?[0-9]){8}", "phone": r"[0-9]\)?[ ./-][0-9]{3}"}
 #: Characters of context before and after a candidate.
 BEFORE, AFTER = 40, 12
 # Words before a span that speak for a kind of it, or against any.
@@ -46,7 +46,7 @@ _WORDS = {
     "says_phone": r"(?i)(phone|tel|call|mobile|cell|fax|dial|whatsapp|sms)",
     "says_other": r"(?i)(order|isbn|version|serial|invoice|ticket|token|hash|sha|commit|build|doi|issn|sku|part|total|count|population|figure|page|pages|\bno\.|nr\.|#|\$|€|£|=)",
 }
-FEATURES = ["is_email", "is_ip", "is_card", "is_phone", "length", "digits", "luhn", "separators", "grouped", "plus", "paren", "lead", "marks", "glued", "quoted", "zeros", *_WORDS]
+FEATURES = ["is_email", "is_ip", "is_card", "is_phone", "length", "digits", "luhn", "separators", "grouped", "plus", "paren", "marks", "glued", "quoted", "zeros", *_WORDS]
 
 
 def _let(value: Column, body) -> Column:
@@ -129,7 +129,7 @@ def _features(kind: str, c: Column) -> Column:
     told |= {
         "length": flag(F.length(s)), "digits": flag(F.length(d)), "luhn": flag(_luhn(d)), "separators": flag(F.length(F.regexp_replace(s, r"[^ ./-]", ""))),
         "grouped": flag(s.rlike(r"^[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}$|^[0-9]{16}$")), "plus": flag(s.rlike(r"^\+|^00")), "paren": flag(F.contains(s, F.lit("("))),
-        "lead": flag(F.coalesce(F.try_element_at(F.split(d, ""), F.lit(1)).try_cast("int"), F.lit(-1))), "marks": flag(F.regexp_count(s, F.lit(r"[\[({]"))),
+        "marks": flag(F.regexp_count(s, F.lit(r"[\[({]"))),
         "glued": flag(c["before"].rlike(r"[\p{L}\p{N}_./:-]$") | c["after"].rlike(r"^[\p{L}\p{N}_/%]|^[.,][0-9]")), "quoted": flag(c["before"].rlike("[\"'=]$")), "zeros": flag(d.rlike("0{5,}$")),
     }
     told |= {name: flag(c["before"].rlike(pattern)) for name, pattern in _WORDS.items()}
