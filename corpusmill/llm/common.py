@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
@@ -67,6 +68,12 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+    def release(self) -> None:
+        """Free the shuffle files of finished steps now, not when the driver next happens to collect its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import Scratch, anti_join, bounded_batches, semi_join
@@ -95,14 +95,16 @@ class PartEnum:
         for cells, differ in ((1, 0), (3, 1), (4, 1), (4, 2), (5, 2)):
             least = k // (differ + 1) + 1
             choices = list(itertools.combinations(range(cells), cells - differ))
-            for spare in range(0, 40):
+            spare = 0
+            while True:
                 groups = least + spare
                 cover = size / groups * (cells - differ) / cells
-                mean = groups * len(choices) * math.exp(-cover)
-                tail = 1 - sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(spare + 1))
-                if tail < 1e-3 or cover < 2:
+                mean = groups * len(choices) * math.exp(-cover)  # groups with an empty choice, about Poisson
+                sure = spare >= mean + 3.3 * math.sqrt(mean) if mean > 1e-3 else True
+                if sure or cover < 1.5:
                     break
-            options.append((cover < (5 if k <= 8 else 3), tail >= 1e-3, groups * len(choices), groups, cells, choices, spare))
+                spare += 1
+            options.append((cover < (5 if k <= 8 else 2.2), not sure, groups * len(choices), groups, cells, choices, spare))
         *_, groups, cells, choices, spare = min(options, key=lambda o: o[:3])
         return groups, cells, np.array(choices), spare
 
@@ -145,8 +147,7 @@ def _sets(docs: DataFrame, k: int, num: int) -> DataFrame:
                     continue
                 d1.append(int(_mix(h, 21).sum(dtype=_U).view(np.int64)))
                 d2.append(int(_mix(h, 22).sum(dtype=_U).view(np.int64)))
-                odd = np.bincount((_mix(h, 23) % _U(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-                sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                sketch.append(_parities(h, 64 * SKETCH_WORDS))
                 signed.append(scheme.signatures(h).view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sketch, longs), pa.array(signed, longs)], names=["doc_id", "n", "d1", "d2", "sketch", "sigs"])
@@ -158,15 +159,32 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _parities(h: np.ndarray, bits: int) -> np.ndarray:
+    """The parity sketch of a set: for each of 2^x places whether an odd number of elements falls there. Two sets differ in at least as many elements as sketches in bits."""
+    odd = np.bincount((_mix(h, 23) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _set_arrays(docs: DataFrame, k: int) -> DataFrame:
-    """id and the set's hashes, one row an id."""
+    """id, n, the set's hashes h and a parity sketch f of at least four bits an element, one row an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            arrays = [shingles(t, k).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(arrays, pa.list_(pa.int64()))], names=["id", "h"])
+            sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
+            fine = [_parities(h, max(64, 1 << (4 * len(h)).bit_length())) for h in sets]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([h.view(np.int64) for h in sets], longs), pa.array(fine, longs)], names=["id", "n", "h", "f"])
+
+    return docs.mapInArrow(run, "id long, n long, h array<long>, f array<long>")
+
 
-    return docs.mapInArrow(run, "id long, h array<long>")
+def _apart(a: str, b: str) -> Column:
+    """Differing bits of two parity sketches; a longer one is folded in half, for its places are those of the shorter one and one bit more."""
+    count = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
+    half = lambda x: (F.size(x) / 2).cast("int")
+    folded = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda p, q: p.bitwiseXOR(q))
+    x, y = F.col(a), F.col(b)
+    return F.when(F.size(x) == F.size(y), count(x, y)).when(F.size(x) == 2 * F.size(y), count(folded(x), y)).when(2 * F.size(x) == F.size(y), count(x, folded(y))).otherwise(F.lit(0))
 
 
 class JaccardJoin:
@@ -184,11 +202,14 @@ class JaccardJoin:
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         ids = write(f"{name}-ids", ids)
         sets = write(f"{name}-sets", _set_arrays(semi_join(_rows(self.docs), ids, "doc_id", "id").dropDuplicates(["doc_id"]), self.k))
-        left = pairs.join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
-        both = left.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a")
+        side = lambda c, x: sets.select(F.col("id").alias(x), F.col(c).alias(c + x), F.col("n").alias("n" + x))
+        # a sketch of a sixteenth of the set's size rules out most pairs that don't link; the others meet in whole
+        close = pairs.join(side("f", "b"), "b").join(side("f", "a"), "a").filter(_apart("fa", "fb") * (100 + self.num) <= (F.col("na") + F.col("nb")) * (100 - self.num)).select("a", "b")
+        close = write(f"{name}-close", close)
+        both = close.join(side("h", "b"), "b").join(side("h", "a"), "a")
         common, total = F.size(F.array_intersect("ha", "hb")), F.size("ha") + F.size("hb")
         links = write(f"{name}-links", both.filter(100 * common >= self.num * (total - common)).select("a", "b"))
-        self.scratch.drop(f"{name}-sets", f"{name}-ids", f"{name}-pairs")
+        self.scratch.drop(f"{name}-sets", f"{name}-ids", f"{name}-pairs", f"{name}-close")
         return links
 
     def groups(self) -> DataFrame:
@@ -201,9 +222,12 @@ class JaccardJoin:
         copies = member.filter(F.col("rep") != F.col("doc_id")).select("doc_id")
         # buckets with two rows at least; each side of the exchange carries numbers only
         signed = sets.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("cls"))
+        s.release()
         shared = write("shared", signed.groupBy("sig").agg(F.min("cls").alias("p"), F.max("cls").alias("q")).filter("p < q").select("sig"))
+        s.release()
         rows = write("rows", anti_join(signed.join(shared, "sig").select("sig", "cls"), copies, "cls", "doc_id"))
         s.drop("shared")
+        s.release()
         # first, each class against the least class of its buckets
         pivots = write("pivots", rows.groupBy("sig").agg(F.min("cls").alias("p"), F.max("cls").alias("q")).filter("p < q").drop("q"))
         stars = rows.join(pivots, "sig").filter("p < cls").groupBy("cls").agg(F.min("p").alias("a")).select("a", F.col("cls").alias("b"))
