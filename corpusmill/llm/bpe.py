@@ -7,6 +7,7 @@ right, and only the lists of the pairs that a merge creates are updated. Words a
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import heapq
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import bounded_batches
 
 #: The words that a worker remembers. When there are more, it starts anew; results do not depend on it.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 
 
 def byte_symbols() -> list[str]:
@@ -67,7 +68,7 @@ class PairIndexBPE:
 
     def _forget(self) -> None:
         self._number: dict[str, int] = {}
-        self._ids, self._from, self._used = np.zeros(1 << 16, np.uint32), [0], 0
+        self._ids, self._from, self._used = np.zeros(1 << 16, np.uint32), array.array("q", [0]), 0
 
     def merge(self, words: list[str]) -> list[np.ndarray]:
         """The ids of each word."""
@@ -158,7 +159,7 @@ class PairIndexBPE:
             self._from.append(self._used)
             new.discard(token)
         self._learn(sorted(new))
-        bound = np.array(self._from, np.int64)
+        bound = np.frombuffer(self._from.tobytes(), np.int64)
         out = []
         for words in split:
             n = np.fromiter(map(self._number.__getitem__, words), np.int64, len(words))

@@ -33,7 +33,7 @@ class _Tokens(dict):
     """The token's hash without case, its kind in the lowest two bits."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         low = token.lower()
         kind = _NUMBER if token[0].isnumeric() else _UNIT if low in UNITS else _NAME if token[0].isupper() and (len(token) == 1 or not token.isupper()) else _WORD

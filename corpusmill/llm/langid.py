@@ -23,7 +23,7 @@ ORDER = 3
 PAD = b"\0" * ORDER
 #: Bounds of the training sample: rows of one language, and bytes of one language (whole rows while the sum stays below).
 ROWS_PER_LANGUAGE, BYTES_PER_LANGUAGE = 512, 1_500_000
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _LETTER = regex.compile(r"\p{L}")
 
 
