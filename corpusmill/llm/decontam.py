@@ -27,6 +27,8 @@ _TOKENS = regex.compile(r"\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+|[%$€£°]")
 _WORD, _NAME, _NUMBER, _UNIT = range(4)
 _U = np.uint64
 _BITMAP = 1 << 18
+_MARKS = _mix(np.arange(1, 4, dtype=_U), 31)
+_FACTORS = _mix(np.arange(256, dtype=_U), 32) | _U(1)
 
 
 class _Tokens(dict):
@@ -59,8 +61,8 @@ def template_windows(text: str | None, window: int = WINDOW, wanted: np.ndarray
     unit[1:] &= number[:-1]
     unit[0] = False
     plain = h >> _U(2)
-    plain[number], plain[unit] = _U(1), _U(2)
-    named = np.where(kind == _NAME, _U(3), plain)
+    plain[number], plain[unit] = _MARKS[0], _MARKS[1]
+    named = np.where(kind == _NAME, _MARKS[2], plain)
     out = []
     sizes = sorted({window, *lengths}) if wanted is not None else [min(window, len(tokens))]
     for size in sizes:
@@ -74,8 +76,9 @@ def template_windows(text: str | None, window: int = WINDOW, wanted: np.ndarray
                 names = np.concatenate([[0], np.cumsum(kind == _NAME)])
                 enough &= names[size:] > names[:-size]
             made = np.full(count, reading * 1000 + size, _U)
-            for j in range(size):
-                made = _mix(made ^ values[j : j + count], j)
+            for j in range(size):  # token hashes are random bits already: odd factors tell places apart, one scrambling ends it
+                made += values[j : j + count] * _FACTORS[j]
+            made = _mix(made)
             if wanted is not None:
                 enough &= (wanted[(made & _U(_BITMAP - 1)).astype(np.int64)] >> ((made >> _U(32)) & _U(63))) & _U(1) > 0
             for at in np.flatnonzero(enough).tolist():
@@ -93,7 +96,7 @@ def _rows(ids, found) -> pa.RecordBatch:
 _SCHEMA = "id long, hash long, pos long, size long, slots array<string>"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:  # window: at most 256
     """One row for each document that holds a benchmark window: doc_id, n_items, n_windows (long) and the sorted item_ids.
 
     Null or empty texts on either side match nothing; an item without words matches nothing; equal items are all reported. Repeated doc_ids count as one document.
