@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import bounded_batches
 
 #: The words that a worker remembers. When there are more, it starts anew; results do not depend on it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 def byte_symbols() -> list[str]:

@@ -223,9 +223,11 @@ class JaccardJoin:
         # buckets with two rows at least; each side of the exchange carries numbers only
         signed = sets.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("cls"))
         s.release()
-        shared = write("shared", signed.groupBy("sig").agg(F.min("cls").alias("p"), F.max("cls").alias("q")).filter("p < q").select("sig"))
+        # to find them, 48 bits and a count are enough: a chance meeting of two signatures only lets rows through that the exact steps below part again
+        short = F.shiftright("sig", 16)
+        shared = write("shared", signed.groupBy(short.alias("short")).agg(F.count("*").alias("c")).filter("c > 1").select("short"))
         s.release()
-        rows = write("rows", anti_join(signed.join(shared, "sig").select("sig", "cls"), copies, "cls", "doc_id"))
+        rows = write("rows", anti_join(signed.join(shared, short == F.col("short"), "left_semi"), copies, "cls", "doc_id"))
         s.drop("shared")
         s.release()
         # first, each class against the least class of its buckets

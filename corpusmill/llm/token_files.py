@@ -27,7 +27,7 @@ from corpusmill.llm.files import Reader, make_folder, put
 
 BLOCK, PERCENTILE = 128, 95
 #: A file is closed beyond so many ids; the words a worker remembers.
-FILE_IDS, CACHE_WORDS = 1_000_000, 400_000
+FILE_IDS, CACHE_WORDS = 1_000_000, 250_000
 _MAGIC = b"PFOR0001"
 #: Blocks whose bits are spread out at once.
 _PIECE = 1024
