@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Scratch, anti_join, bounded_batches, semi_join
+from corpusmill.llm.common import Scratch, anti_join, batch_rows, bounded_batches, semi_join
 from corpusmill.llm.components import components
 
 SKETCH_WORDS = 8
@@ -41,7 +41,7 @@ def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
+        if len(self) > 40_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -201,7 +201,9 @@ class JaccardJoin:
         pairs = write(f"{name}-pairs", pairs)
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         ids = write(f"{name}-ids", ids)
-        sets = write(f"{name}-sets", _set_arrays(semi_join(_rows(self.docs), ids, "doc_id", "id").dropDuplicates(["doc_id"]), self.k))
+        with batch_rows(self.docs.sparkSession, 100):
+            sets = write(f"{name}-sets", _set_arrays(semi_join(_rows(self.docs), ids, "doc_id", "id").dropDuplicates(["doc_id"]), self.k))
+        self.scratch.release()
         side = lambda c, x: sets.select(F.col("id").alias(x), F.col(c).alias(c + x), F.col("n").alias("n" + x))
         # a sketch of a sixteenth of the set's size rules out most pairs that don't link; the others meet in whole
         close = pairs.join(side("f", "b"), "b").join(side("f", "a"), "a").filter(_apart("fa", "fb") * (100 + self.num) <= (F.col("na") + F.col("nb")) * (100 - self.num)).select("a", "b")
@@ -215,7 +217,8 @@ class JaccardJoin:
     def groups(self) -> DataFrame:
         """doc_id, n_shingles and component_id of every row: the least doc_id reachable by links, a document's own where it has none."""
         s, write = self.scratch, self.scratch.write
-        sets = write("sets", _sets(self.docs, self.k, self.num))
+        with batch_rows(self.docs.sparkSession, 100):  # little memory beside the shuffles
+            sets = write("sets", _sets(self.docs, self.k, self.num))
         # classes of equal sets; only those with several members are kept
         repeated = write("classes", sets.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c"))
         member = write("members", sets.select("doc_id", "n", "d1", "d2").join(repeated, ["d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
