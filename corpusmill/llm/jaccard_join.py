@@ -219,9 +219,10 @@ class JaccardJoin:
         s, write = self.scratch, self.scratch.write
         with batch_rows(self.docs.sparkSession, 100):  # little memory beside the shuffles
             sets = write("sets", _sets(self.docs, self.k, self.num))
+        facts = write("facts", sets.drop("sigs"))
         # classes of equal sets; only those with several members are kept
-        repeated = write("classes", sets.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c"))
-        member = write("members", sets.select("doc_id", "n", "d1", "d2").join(repeated, ["d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
+        repeated = write("classes", facts.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c"))
+        member = write("members", facts.select("doc_id", "n", "d1", "d2").join(repeated, ["d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
         copies = member.filter(F.col("rep") != F.col("doc_id")).select("doc_id")
         # buckets with two rows at least; each side of the exchange carries numbers only
         signed = sets.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("cls"))
@@ -231,7 +232,7 @@ class JaccardJoin:
         shared = write("shared", signed.groupBy(short.alias("short")).agg(F.count("*").alias("c")).filter("c > 1").select("short"))
         s.release()
         rows = write("rows", anti_join(signed.join(shared, short == F.col("short"), "left_semi"), copies, "cls", "doc_id"))
-        s.drop("shared")
+        s.drop("shared", "sets")  # the signatures are the largest table
         s.release()
         # first, each class against the least class of its buckets
         pivots = write("pivots", rows.groupBy("sig").agg(F.min("cls").alias("p"), F.max("cls").alias("q")).filter("p < q").drop("q"))
@@ -243,9 +244,9 @@ class JaccardJoin:
         placed = write("open-rows", placed)
         s.drop("rows")
         mixed = write("mixed", placed.groupBy("sig").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p < q").select("sig"))
-        facts = sets.select(F.col("doc_id").alias("cls"), "n", *(F.col("sketch")[i].alias(f"w{i}") for i in range(SKETCH_WORDS)))
-        facts = semi_join(facts, placed.join(mixed, "sig", "left_semi").select("cls").distinct(), "cls", "cls")
-        open_rows = write("open", placed.join(mixed, "sig", "left_semi").join(facts.dropDuplicates(["cls"]), "cls"))
+        sketches = facts.select(F.col("doc_id").alias("cls"), "n", *(F.col("sketch")[i].alias(f"w{i}") for i in range(SKETCH_WORDS)))
+        sketches = semi_join(sketches, placed.join(mixed, "sig", "left_semi").select("cls").distinct(), "cls", "cls")
+        open_rows = write("open", placed.join(mixed, "sig", "left_semi").join(sketches.dropDuplicates(["cls"]), "cls"))
         s.drop("open-rows", "mixed")
         x, y = open_rows.alias("x"), open_rows.alias("y")
         apart = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col("x.w0").bitwiseXOR(F.col("y.w0"))))
@@ -253,7 +254,7 @@ class JaccardJoin:
         near = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.n") * 100 >= F.col("y.n") * self.num) & (F.col("y.n") * 100 >= F.col("x.n") * self.num) & (apart * (100 + self.num) <= total * (100 - self.num))
         pairs = x.join(y, near).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
         more = self._verified(pairs, "rest")
-        s.drop("open", "pivots", "sets")
+        s.drop("open", "pivots", "facts")
         found = components(links.unionByName(more), s, "cc2")
         out = member.join(found.withColumnRenamed("node", "rep"), "rep", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
