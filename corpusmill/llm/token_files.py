@@ -8,16 +8,17 @@ high bits). The header has the documents' ids and sizes and the start of every b
 from __future__ import annotations
 
 import functools
+import itertools
 import os
+import re
 import struct
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +27,36 @@ from corpusmill.llm.common import Scratch, bounded_batches
 from corpusmill.llm.files import Reader, make_folder, put
 
 BLOCK, PERCENTILE = 128, 95
-#: A file is closed beyond so many ids; the words a worker remembers.
-FILE_IDS, CACHE_WORDS = 1_000_000, 250_000
+#: A file is closed beyond so many ids. Beyond so many pieces or characters a worker forgets all but the most used, half of it at most; results do not depend on it.
+FILE_IDS, CACHE_PIECES, CACHE_CHARS = 1_000_000, 500_000, 16_000_000
 _MAGIC = b"PFOR0001"
-#: Blocks whose bits are spread out at once.
-_PIECE = 1024
+
+
+def _places(width: int) -> Iterator[tuple[int, int, int]]:
+    """Of each of a block's values: its place, the 64-bit word where its bits begin, and the first bit there."""
+    return ((i, i * width >> 6, i * width & 63) for i in range(BLOCK))
+
+
+def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of BLOCK uint64 values below 2 ** width as rows of bytes, lowest bits first."""
+    columns, out = np.ascontiguousarray(values.T), np.zeros((BLOCK * width >> 6, len(values)), np.uint64)
+    for i, word, bit in _places(width):
+        out[word] |= columns[i] << np.uint64(bit)
+        if bit + width > 64:
+            out[word + 1] |= columns[i] >> np.uint64(64 - bit)
+    return np.ascontiguousarray(out.T.astype("<u8")).view(np.uint8)
+
+
+def unpack_bits(body: np.ndarray, width: int) -> np.ndarray:
+    """The values that pack_bits was given."""
+    words, mask = np.ascontiguousarray(np.ascontiguousarray(body).view("<u8").T), np.uint64((1 << width) - 1)
+    out = np.empty((BLOCK, len(body)), np.uint64)
+    for i, word, bit in _places(width):
+        got = words[word] >> np.uint64(bit)
+        if bit + width > 64:
+            got |= words[word + 1] << np.uint64(64 - bit)
+        out[i] = got & mask
+    return out.T
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -49,14 +75,11 @@ def pack(ids: np.ndarray) -> bytes:
     exceptions = beyond.sum(axis=1)
     packed: list[bytes] = [b""] * blocks
     places = [np.flatnonzero(b).astype(np.uint8) for b in beyond]
-    for w in np.unique(width):
-        whole = np.flatnonzero(width == w)
-        for at in range(0, len(whole), _PIECE):
-            rows = whole[at : at + _PIECE]
-            bits = np.unpackbits(rest[rows].astype("<u4").view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
-            body = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
-            for r, b in zip(rows.tolist(), body, strict=True):
-                packed[r] = b.tobytes() + (places[r].tobytes() + (rest[r, places[r]] >> w).astype("<u4").tobytes() if exceptions[r] else b"")
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
+        body = pack_bits((rest[rows] & ((1 << w) - 1)).astype(np.uint64), w) if w else np.zeros((len(rows), 0), np.uint8)
+        for r, b in zip(rows.tolist(), body, strict=True):
+            packed[r] = b.tobytes() + (places[r].tobytes() + (rest[r, places[r]] >> w).astype("<u4").tobytes() if exceptions[r] else b"")
     start = np.cumsum([0, *map(len, packed)])[:blocks]
     index = struct.pack("<QI", count, blocks) + low.astype("<u4").tobytes() + width.astype(np.uint8).tobytes() + exceptions.astype(np.uint8).tobytes() + np.asarray(start, "<u8").tobytes()
     return index + b"".join(packed)
@@ -86,11 +109,8 @@ class Packed:
             rows = np.flatnonzero(self.width[chosen] == w)
             own = chosen[rows]
             size = int(w) * BLOCK // 8
-            for at in range(0, len(rows), _PIECE):
-                body = self.data[self.start[own[at : at + _PIECE]][:, None] + np.arange(size)]
-                bits = np.zeros((len(body), BLOCK, 32), np.uint8)
-                bits[:, :, : int(w)] = np.unpackbits(body, axis=1, bitorder="little").reshape(len(body), BLOCK, int(w))
-                out[rows[at : at + _PIECE]] = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
+            if w:
+                out[rows] = unpack_bits(self.data[self.start[own][:, None] + np.arange(size)], int(w)).astype(np.int64)
             for r, b in zip(rows[self.exceptions[own] > 0], own[self.exceptions[own] > 0], strict=True):
                 at, n = int(self.start[b]) + size, int(self.exceptions[b])
                 out[r, self.data[at : at + n]] |= np.frombuffer(self.data[at + n : at + 5 * n].tobytes(), "<u4").astype(np.int64) << int(w)
@@ -99,7 +119,12 @@ class Packed:
 
 
 class WordEncoder:
-    """The tokenizers library, asked once for each word: its merges never cross the words that its pre-tokenizer cuts."""
+    """The tokenizers library, asked once for each piece of text.
+
+    The library cuts a text at special tokens, and its pre-tokenizer always cuts before a space that stands before something
+    other than white space: white space gives up its last space to what follows, and no other word has a space inside. Texts
+    are split there, and the ids of the pieces joined. A piece is remembered without its space; a first one, which has none, with a space before it.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -109,48 +134,79 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.words = regex.compile(public_tokenizers.PATTERN)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.rough, self.gap = re.compile(r" (?:\s|\Z)"), re.compile(r" (?=\S)")
         vocabulary = self.library.get_vocab()  # one character of a token is one byte of text
         self.size_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.size_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.bound = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
-        self.ids = np.concatenate([self.ids, ids])
-        self.bound = np.concatenate([self.bound, self.bound[-1] + np.cumsum(size)])
+        self.number: dict[str, int] = defaultdict(itertools.count().__next__)  # asking for a new piece numbers it
+        self.ids, self.bound, self.uses, self.chars = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64), 0
+
+    def _shrink(self) -> None:
+        """Keep the most used pieces, as far as half of both bounds goes."""
+        names, size = list(self.number), np.diff(self.bound)
+        chars = np.fromiter(map(len, names), np.int64, len(names))
+        best = np.argsort(-self.uses, kind="stable")[: CACHE_PIECES // 2]
+        best = np.sort(best[np.cumsum(chars[best]) <= CACHE_CHARS // 2])
+        self.number = defaultdict(itertools.count(len(best)).__next__, zip([names[k] for k in best.tolist()], range(len(best)), strict=True))
+        self.ids = spread(self.ids, self.bound[best], size[best])
+        self.bound, self.uses, self.chars = np.concatenate([[0], np.cumsum(size[best])]), self.uses[best] // 2, int(chars[best].sum())
 
     def _pieces(self, text: str) -> list[str]:
-        if self.cut is None or not any(s in text for s in self.special):
-            return self.words.findall(text)
-        return [w for part in self.cut.split(text) for w in ([part] if part in self.special else self.words.findall(part))]
+        if self.cut is not None and any(s in text for s in self.special):
+            return [p for part in self.cut.split(text) for p in ([" " + part] if part in self.special else self._split(part))]
+        return self._split(text)
+
+    def _split(self, text: str) -> list[str]:
+        pieces = self.gap.split(text) if self.rough.search(text) else text.split(" ")
+        pieces[0] = " " + pieces[0]
+        return pieces
+
+    def _learn(self, new: list[str]) -> None:
+        """Append the ids of new pieces in the order of their numbers."""
+        size, found = np.zeros(len(new), np.int64), {}
+        later = [k for k, p in enumerate(new) if p[:1] != " "]
+        ids = np.zeros(0, np.uint32)
+        if later:
+            # in a row they are cut apart again, so one call takes them all; their bytes tell where each ends
+            spaced = [" " + new[k] for k in later]
+            ids = np.array(self.library.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, np.uint32)
+            ends, reached = np.cumsum([len(p.encode("utf-8", "replace")) for p in spaced]), np.cumsum(self.size_of[ids])
+            at = np.searchsorted(reached, ends)
+            if at[-1] != len(ids) - 1 or not np.array_equal(reached[at], ends):
+                raise ValueError("the tokenizer does not cut before spaces")
+            size[later] = np.diff(at + 1, prepend=0)
+        first = [k for k, p in enumerate(new) if p[:1] == " "]
+        for k, got in zip(first, self.library.encode_batch_fast([new[k][1:] for k in first], add_special_tokens=False) if first else [], strict=True):
+            found[k] = np.array(got.ids, np.uint32)
+            size[k] = len(found[k])
+        upto, out = np.concatenate([[0], np.cumsum(size)]), np.zeros(int(size.sum()), np.uint32)
+        own = np.ones(len(out), bool)
+        for k, got in found.items():
+            out[upto[k] : upto[k + 1]] = got
+            own[upto[k] : upto[k + 1]] = False
+        out[own] = ids
+        self.ids, self.bound = np.concatenate([self.ids, out]), np.concatenate([self.bound, self.bound[-1] + upto[1:]])
+        self.chars += sum(map(len, new))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > CACHE_WORDS:
-            self._forget()
-        split = [self._pieces(t) for t in texts]
-        new = sorted({w for words in split for w in words} - self.number.keys())
-        plain = [w for w in new if w[0] == " " and w[1:].isalpha()]
-        odd = [w for w in new if w[0] != " " or not w[1:].isalpha()]
-        # words of a space and letters are cut apart again when they stand in a row, so one call takes them all; bytes tell their ends
-        if plain:
-            ids = np.array(self.library.encode("".join(plain), add_special_tokens=False).ids, np.uint32)
-            ends = np.cumsum([len(w.encode("utf-8", "replace")) for w in plain])
-            at = np.searchsorted(np.cumsum(self.size_of[ids]), ends) + 1
-            self._add(plain, ids, np.diff(at, prepend=0))
-        if odd:
-            got = [e.ids for e in self.library.encode_batch_fast(odd, add_special_tokens=False)]
-            self._add(odd, np.array([i for ids in got for i in ids], np.uint32), np.array([len(i) for i in got], np.int64))
-        out = []
-        for words in split:
-            n = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-            out.append(spread(self.ids, self.bound[n], self.bound[n + 1] - self.bound[n]))
-        return out
+        """uint32 ids of each text."""
+        if len(self.number) > CACHE_PIECES or self.chars > CACHE_CHARS:
+            self._shrink()
+        known = len(self.number)
+        try:
+            numbers = [np.fromiter(map(self.number.__getitem__, p), np.int64, len(p)) for p in map(self._pieces, texts)]
+            self._learn(list(itertools.islice(self.number, known, None)))
+        except BaseException:
+            self._forget()  # a number without ids must not stay
+            raise
+        counts = np.bincount(np.concatenate(numbers), minlength=len(self.number)) if numbers else np.zeros(len(self.number), np.int64)
+        counts[: len(self.uses)] += self.uses
+        self.uses = counts
+        return [spread(self.ids, self.bound[n], self.bound[n + 1] - self.bound[n]) for n in numbers]
 
 
 @functools.lru_cache(maxsize=2)
