@@ -3,6 +3,7 @@
 Texts are cut into tokens; numbers, units after a number and, in a second reading, capitalised words become typed
 placeholders. Windows of the template tokens are hash-joined with those of the benchmark. A hit counts when its slots are
 consistent: each value of the benchmark's window is replaced by one value throughout, as in a re-parameterised question.
+Windows with more numbers and units than words are no templates; a third reading joins them by their literal tokens.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import Scratch, anti_join, bounded_batches
 from corpusmill.llm.jaccard_join import _mix
 
-#: Tokens of a window; a shorter item is one window of its own length. At least half of a window must be plain words.
+#: Tokens of a window; a shorter item is one window of its own length. At least half of a template must be plain words; other windows match literally.
 WINDOW = 10
 # Unit words and signs that are typed when they follow a number.
 UNITS = frozenset("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ml l liter liters litre litres gallon gallons cup cups s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degrees degree mph kph kmh w kw v a hz khz mhz ghz kb mb gb tb % $ € £ °".split())
@@ -46,10 +47,11 @@ class _Tokens(dict):
 _KNOWN = _Tokens()
 
 
-def template_windows(text: str | None, window: int = WINDOW, wanted: np.ndarray | None = None, lengths: tuple[int, ...] = ()) -> list[tuple[int, int, int, list[str]]]:
-    """(hash, position, length, values of the slots) of each window of a whole text under either reading.
+def template_windows(text: str | None, window: int = WINDOW, wanted: np.ndarray | None = None, lengths: tuple[int, ...] = (), literal: bool = True) -> list[tuple[int, int, int, list[str]]]:
+    """(hash, position, length, values of the slots) of each window of a whole text under each reading.
 
     wanted: a bitmap of hashes; other windows are left out. lengths: of shorter windows to take as well. Without it, a short text is one window.
+    literal: also the windows that are mostly numbers and units, by their tokens without case and without slots.
     """
     tokens = _TOKENS.findall(text or "")
     if not tokens:
@@ -60,7 +62,10 @@ def template_windows(text: str | None, window: int = WINDOW, wanted: np.ndarray
     unit = kind == _UNIT
     unit[1:] &= number[:-1]
     unit[0] = False
-    plain = h >> _U(2)
+    # what stands before a window doesn't count here, so equal windows are literal in every text
+    typed = np.concatenate([[0], np.cumsum(number | (kind == _UNIT))])
+    exact = h >> _U(2)
+    plain = exact.copy()
     plain[number], plain[unit] = _MARKS[0], _MARKS[1]
     named = np.where(kind == _NAME, _MARKS[2], plain)
     out = []
@@ -83,6 +88,16 @@ def template_windows(text: str | None, window: int = WINDOW, wanted: np.ndarray
                 enough &= (wanted[(made & _U(_BITMAP - 1)).astype(np.int64)] >> ((made >> _U(32)) & _U(63))) & _U(1) > 0
             for at in np.flatnonzero(enough).tolist():
                 out.append((int(made[at].view(np.int64)), at, size, [tokens[at + j].lower() for j in range(size) if slot[at + j]]))
+        dense = np.flatnonzero(2 * (typed[size:] - typed[:-size]) > size) if literal else typed[:0]
+        if len(dense):
+            made = np.full(len(dense), 3000 + size, _U)
+            for j in range(size):
+                made += exact[dense + j] * _FACTORS[j]
+            made = _mix(made)
+            if wanted is not None:
+                found = (wanted[(made & _U(_BITMAP - 1)).astype(np.int64)] >> ((made >> _U(32)) & _U(63))) & _U(1) > 0
+                dense, made = dense[found], made[found]
+            out += [(value, at, size, []) for value, at in zip(made.view(np.int64).tolist(), dense.tolist(), strict=True)]
     return out
 
 
@@ -99,7 +114,7 @@ _SCHEMA = "id long, hash long, pos long, size long, slots array<string>"
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:  # window: at most 256
     """One row for each document that holds a benchmark window: doc_id, n_items, n_windows (long) and the sorted item_ids.
 
-    Null or empty texts on either side match nothing; an item without words matches nothing; equal items are all reported. Repeated doc_ids count as one document.
+    Null or empty texts on either side match nothing; an item without words (numbers and units only) matches nothing; number-dense windows of other items match literally; equal items are all reported. Repeated doc_ids count as one document.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -112,7 +127,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
                 tokens = _TOKENS.findall(text or "")
                 size = min(window, len(tokens))
                 every = np.full(_BITMAP, -1, np.int64).view(_U)
-                found.append([w for w in template_windows(text, size, every) if w[2] == size] if tokens else [])
+                worded = any(_KNOWN[t] & 3 in (_WORD, _NAME) for t in tokens)
+                found.append([w for w in template_windows(text, size, every, literal=worded) if w[2] == size] if tokens else [])
             yield _rows(batch.column(0).to_pylist(), found)
 
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))

@@ -216,6 +216,14 @@ def test_decontamination(spark):
     assert got == {0: [1], 1: [4], 6: [3]}
 
 
+def test_decontamination_finds_copies_of_number_dense_items(spark):
+    said = ["What is 12 + 7 * 3 - 4?", "Compute 17 * 23 + 41 * 19 - 8 / 2", "Find the next term: 2, 3, 5, 8, 13, 21, 34, 55, 89, 144", "5 km 7 kg"]
+    items = spark.createDataFrame(list(enumerate(said)), "item_id long, text string")
+    texts = [*(f"in 9 {t.lower()} minutes" for t in said), "what is 12 + 7 * 3 - 5?", "Compute 17 * 23 + 41 * 19 - 8 / 3", "1 2 3 4 5 6 7 8 9 10 11 12"]
+    got = {r.doc_id: r.item_ids for r in decontam.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items).collect()}
+    assert got == {0: [0], 1: [1], 2: [2]}
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
