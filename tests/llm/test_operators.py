@@ -126,6 +126,16 @@ def test_pii(spark, docs):
     assert red[10**6 + 13] == "call [PHONE]" and "9807915762804490" not in red[10**6 + 9] and len(red) == len(texts)
 
 
+def test_pii_scores_a_plain_at_with_a_disguised_dot(spark):
+    said = ["Kontakt: joe@example[dot]com heute", "ana.perez@correo (dot) org", "joe@example dot com"]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(said)], "doc_id long, text string, n_chars long")
+    assert {r.doc_id: [c.s for c in r.c_email] for r in pii._candidates(df).collect()} == {0: ["joe@example[dot]com"], 1: [said[1]], 2: [said[2]]}
+    got = {r.doc_id: (r.n_email, r.spans) for r in pii.digests(df).collect()}
+    assert got[0] == (0, "email:9:28") and got[1] == (0, "email:0:26")
+    red = {r.doc_id: r.text for r in pii.redaction_stage(df).collect()}
+    assert red[0] == "Kontakt: [EMAIL] heute" and red[1] == "[EMAIL]"
+
+
 def test_top_k(spark):
     base = table(spark, SF, "embeddings")
     odd = spark.createDataFrame([(900_001, None, 0), (900_002, [float("nan")] * 64, 0), (900_003, [None] * 64, 0), (900_020, [0.5] * 64, 0), (900_021, [0.5] * 64, 0), (900_040, [], 0)], base.schema)
