@@ -14,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Scratch, anti_join, bounded_batches
+from corpusmill.llm.common import Scratch, anti_join, bounded_batches, text_key
 from corpusmill.llm.jaccard_join import _mix
 
 #: Tokens of a window; a shorter item is one window of its own length. At least half of a template must be plain words; other windows match literally.
@@ -101,21 +101,29 @@ def template_windows(text: str | None, window: int = WINDOW, wanted: np.ndarray
     return out
 
 
-def _rows(ids, found) -> pa.RecordBatch:
-    flat = [(i, *w) for i, windows in zip(ids, found, strict=True) for w in windows]
+def _rows(ids: pa.Array, found) -> pa.RecordBatch:
+    flat = [(i, *w) for i, windows in zip(ids.to_pylist(), found, strict=True) for w in windows]
     columns = list(zip(*flat, strict=True)) if flat else [[]] * 5
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+    types = (ids.type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["id", "hash", "pos", "size", "slots"])
 
 
-_SCHEMA = "id long, hash long, pos long, size long, slots array<string>"
+_SCHEMA = "hash long, pos long, size long, slots array<string>"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:  # window: at most 256
     """One row for each document that holds a benchmark window: doc_id, n_items, n_windows (long) and the sorted item_ids.
 
-    Null or empty texts on either side match nothing; an item without words (numbers and units only) matches nothing; number-dense windows of other items match literally; equal items are all reported. Repeated doc_ids count as one document.
+    Null or empty texts on either side match nothing; an item without words (numbers and units only) matches nothing; number-dense windows of other items match literally; equal items are all reported.
+    Repeated doc_ids count as one document, null doc_ids as one as well. Empty tables give no rows.
     """
+    found = _consistent(docs, benchmark, window, F.col("doc_id").cast("long"), "long")
+    by_item = found.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.count_distinct("pos").alias("n"))
+    return by_item.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sum("n").alias("n_windows"), F.sort_array(F.collect_list("item_id")).alias("item_ids"))
+
+
+def _consistent(docs: DataFrame, benchmark: DataFrame, window: int, key: Column, key_type: str) -> DataFrame:
+    """id (the key), pos and item_id of each window of a document that is one of an item with its slots consistent."""
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "decontam")
@@ -129,10 +137,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
                 every = np.full(_BITMAP, -1, np.int64).view(_U)
                 worded = any(_KNOWN[t] & 3 in (_WORD, _NAME) for t in tokens)
                 found.append([w for w in template_windows(text, size, every, literal=worded) if w[2] == size] if tokens else [])
-            yield _rows(batch.column(0).to_pylist(), found)
+            yield _rows(batch.column(0), found)
 
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    index = scratch.write("index", items.mapInArrow(of_items, _SCHEMA))
+    index = scratch.write("index", items.mapInArrow(of_items, f"id long, {_SCHEMA}"))
     # a Bloom bitmap of fixed size and the few lengths of short windows go to the tasks; the exact join comes after
     slot, bit = F.col("hash").bitwiseAND(F.lit(_BITMAP - 1)), F.call_function("shiftrightunsigned", "hash", F.lit(32)).bitwiseAND(F.lit(63)).cast("int")
     bits = np.zeros(_BITMAP, np.int64)
@@ -144,19 +152,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value.view(_U)
         for batch in batches:
-            yield _rows(batch.column(0).to_pylist(), [template_windows(t, window, wanted, lengths) for t in batch.column(1).to_pylist()])
+            yield _rows(batch.column(0), [template_windows(t, window, wanted, lengths) for t in batch.column(1).to_pylist()])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    hits = scratch.write("hits", rows.mapInArrow(of_docs, _SCHEMA))
+    rows = docs.select(key.alias("id"), F.col("text").cast("string").alias("text"))
+    hits = scratch.write("hits", rows.mapInArrow(of_docs, f"id {key_type}, {_SCHEMA}"))
     other = index.select(F.col("hash").alias("h"), F.col("id").alias("item_id"), F.col("slots").alias("theirs")).distinct()
     joined = hits.join(scratch.write("items", other), (F.col("hash") == F.col("h")) & (F.size("slots") == F.size("theirs")))
     # each value in the item has one value in the document
-    consistent = joined.filter(F.size(F.array_distinct(F.arrays_zip("theirs", "slots"))) == F.size(F.array_distinct("theirs")))
-    by_item = consistent.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.count_distinct("pos").alias("n"))
-    return by_item.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sum("n").alias("n_windows"), F.sort_array(F.collect_list("item_id")).alias("item_ids"))
+    return joined.filter(F.size(F.array_distinct(F.arrays_zip("theirs", "slots"))) == F.size(F.array_distinct("theirs")))
 
 
 def decontamination_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without a passage of the benchmark; all columns as they were."""
-    found = Scratch(docs.sparkSession, "leaks").write("found", contaminated(docs, benchmark).select("doc_id"))
-    return anti_join(docs, found, "doc_id", "doc_id")
+    """Rows without a passage of the benchmark; all columns as they were, whatever their names. Each row is judged by its own text: null and repeated doc_ids change nothing."""
+    found = _consistent(docs, benchmark, WINDOW, text_key(), "string").select("id").distinct()
+    return anti_join(docs, Scratch(docs.sparkSession, "leaks").write("found", found), text_key(), "id")

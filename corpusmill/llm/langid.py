@@ -21,8 +21,10 @@ from corpusmill.llm.common import bounded_batches
 
 ORDER = 3
 PAD = b"\0" * ORDER
-#: Bounds of the training sample: rows of one language, and bytes of one language (whole rows while the sum stays below).
+#: Bounds of the training sample: rows of one language, and bytes of one language. Whole rows are taken while the sum stays below, and none of more than an eighth of it.
 ROWS_PER_LANGUAGE, BYTES_PER_LANGUAGE = 512, 1_500_000
+#: Bits a byte of a text in no language: that of uniformly random bytes.
+NO_LANGUAGE = 8.0
 _SLICE = 1 << 18
 _LETTER = regex.compile(r"\p{L}")
 
@@ -154,66 +156,79 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, size: int = BYTES_PER_LANGUAGE, learn: Column | None = None) -> PPM:
-    """Fit on at most `rows` rows and about `size` bytes of each language: of each of `rows` hash slots the row with the least hash.
+    """Fit on at most `rows` rows and about `size` bytes of each language: of each of `rows` hash slots the row with the least hash among those of at most size / 8 bytes.
 
-    Only ids and labels are read to choose the rows; their texts are fetched by a join with the chosen keys. learn: the rows that may be used.
+    Only ids and labels are read to choose the rows; their texts are fetched by a join with the chosen keys. learn: the rows that may be used, by doc_id, text or lang.
     """
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if learn is None else learn))
-    keyed = usable.withColumn("_h", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = keyed.withColumn("_s", F.pmod(F.hash(F.col("_h")), F.lit(rows)))
-    chosen = keyed.groupBy("lang", "_s").agg(F.min("_h").alias("_h")).cache()
+    labelled = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= size // 8) & (F.lit(True) if learn is None else learn))
+    keyed = usable.withColumn("h", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    keyed = keyed.withColumn("s", F.pmod(F.hash(F.col("h")), F.lit(rows)))
+    chosen = keyed.groupBy("lang", "s").agg(F.min("h").alias("h")).cache()
     try:
-        picked = keyed.join(F.broadcast(chosen), ["lang", "_s", "_h"]).groupBy("lang", "_s").agg(F.min("text").alias("text")).collect()
+        picked = keyed.join(F.broadcast(chosen), ["lang", "s", "h"]).groupBy("lang", "s").agg(F.min("text").alias("text")).collect()
     finally:
         chosen.unpersist()
     texts: dict[str, list[bytes]] = {}
-    for r in sorted(picked, key=lambda r: (r.lang, r._s)):
+    for r in sorted(picked, key=lambda r: (r.lang, r.s)):
         own = texts.setdefault(r.lang, [])
         if not own or sum(map(len, own)) < size:
-            own.append(r.text.encode("utf-8", "replace")[: 4 * size])
+            own.append(r.text.encode("utf-8", "replace"))
     return PPM(texts)
 
 
+def _judged(ppm: PPM, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and bits a byte of each text."""
+    known = [bool(t) and bool(ppm.languages) and _LETTER.search(t) is not None for t in texts]
+    coded = [t.encode("utf-8", "replace") for t, ok in zip(texts, known, strict=True) if ok]
+    names, score, rate = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    if coded:
+        total = ppm.totals(coded)
+        best = total.argmin(axis=1)
+        at = np.flatnonzero(known)
+        least = total[np.arange(len(coded)), best]
+        score[at] = 1 / np.exp2(np.maximum(least[:, None] - total, -1000)).sum(axis=1)
+        rate[at] = least / [len(c) for c in coded]
+        for i, b in zip(at, best, strict=True):
+            names[i] = ppm.languages[b]
+    return names, score, rate
+
+
 def identify(docs: DataFrame, model: PPM) -> DataFrame:
     """doc_id, lang_pred, score, bits_per_byte for each row.
 
     A text that is null or has no letter is `und` with score 0. Ties go to the language first in order. With nothing learned, all is `und`.
-    score is the posterior probability of the language under equal priors.
+    score is the posterior probability of the language under equal priors. Each row is judged by its text alone.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ppm: PPM = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            known = [bool(t) and bool(ppm.languages) and _LETTER.search(t) is not None for t in texts]
-            coded = [t.encode("utf-8", "replace") for t, ok in zip(texts, known, strict=True) if ok]
-            names, score, rate = [None] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-            if coded:
-                total = ppm.totals(coded)
-                best = total.argmin(axis=1)
-                at = np.flatnonzero(known)
-                least = total[np.arange(len(coded)), best]
-                score[at] = 1 / np.exp2(np.maximum(least[:, None] - total, -1000)).sum(axis=1)
-                rate[at] = least / [len(c) for c in coded]
-                for i, b in zip(at, best, strict=True):
-                    names[i] = ppm.languages[b]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n or "und" for n in names], pa.string()), pa.array(score), pa.array(rate)], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
+            names, score, rate = _judged(shared.value, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rate)], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(predict, "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
-def language_stage(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """Documents in a language that the model knows and is sure of; all columns as they were. Texts without letters and undecided ones go.
+def language_stage(docs: DataFrame, least_score: float = 0.5, most_bits: float = NO_LANGUAGE) -> DataFrame:
+    """Rows in a language that the model knows and is sure of; all columns as they were, whatever their names.
 
-    doc_id names a document: repeated rows of one id are judged together and stay if any stays.
+    Each row is judged by its own text, so a null or repeated doc_id changes nothing. Texts that are null or have no letter go, as do those
+    without a language of at least the score, and those that cost as many bits a byte as random bytes under the best one: they are in none.
+    With nothing learned all go; an empty table gives no rows.
     """
-    from corpusmill.llm.common import Scratch, anti_join
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    shared, at = spark.sparkContext.broadcast(train(docs)), docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, score, rate = _judged(shared.value, batch.column(at).to_pylist())
+            fine = (np.array(names, object) != "und") & (score >= least_score) & (rate < most_bits)
+            yield batch.filter(pa.array(fine, pa.bool_()))
 
-    found = identify(docs, train(docs))
-    out = found.filter((F.col("lang_pred") == "und") | (F.col("score") < least_score)).select("doc_id")
-    rejected = Scratch(docs.sparkSession, "langid").write("rejected", out)
-    return anti_join(docs, rejected, "doc_id", "doc_id")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # any name will do outside
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)

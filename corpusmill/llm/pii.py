@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import quoted, unused
 from corpusmill.llm.gbt import BoostedTrees, threshold
 
 KINDS = ("email", "ip", "card", "phone")
@@ -54,16 +55,20 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _starts(sizes: Column) -> Column:
-    """Exclusive prefix sums of an array, in blocks, so that thousands of matches don't cost their square."""
+def _before(values: Column, fold, zero: int = 0) -> Column:
+    """For each element of an array of int what fold makes of all elements before it, in blocks, so that thousands of matches don't cost their square."""
     block = 256
-    plus = lambda a, v: a + v
-    total = lambda part: F.aggregate(part, F.lit(0), plus)
+    total = lambda part: F.aggregate(part, F.lit(zero), fold)
     at = lambda i: F.floor(i / block).cast("int")
-    sums = lambda sizes: F.transform(F.sequence(F.lit(0), at(F.size(sizes))), lambda b: total(F.slice(sizes, b * block + 1, F.lit(block))))
+    sums = lambda values: F.transform(F.sequence(F.lit(0), at(F.size(values))), lambda b: total(F.slice(values, b * block + 1, F.lit(block))))
     before = lambda sums: F.transform(sums, lambda _, b: total(F.slice(sums, F.lit(1), b)))
-    each = lambda sizes, before: F.transform(sizes, lambda _, i: F.element_at(before, at(i) + 1) + total(F.slice(sizes, at(i) * block + 1, F.pmod(i, F.lit(block)))))
-    return _let(sizes, lambda sizes: _let(_let(sums(sizes), before), lambda before: each(sizes, before)))
+    each = lambda values, before: F.transform(values, lambda _, i: fold(F.element_at(before, at(i) + 1), total(F.slice(values, at(i) * block + 1, F.pmod(i, F.lit(block))))))
+    return _let(values, lambda values: _let(_let(sums(values), before), lambda before: each(values, before)))
+
+
+def _starts(sizes: Column) -> Column:
+    """Exclusive prefix sums of an array."""
+    return _before(sizes, lambda a, v: a + v)
 
 
 def _digits(s: Column) -> Column:
@@ -203,28 +208,52 @@ def _model(seed: int = 7, count: int = 3000) -> tuple[BoostedTrees, dict[str, fl
     return model, {k: threshold(score[held & (kinds == k)], y[held & (kinds == k)], 0.97) for k in KINDS}
 
 
-def _free(good: Column, taken: Column) -> Column:
-    return F.filter(good, lambda c: ~F.exists(taken, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+def _mask(spans: Column) -> Column:
+    """A byte for each code point up to the end of the last span: 1 in a span, 0 elsewhere. Spans are in order and don't overlap."""
+    gap = lambda c, i: c["start"] - F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
+    return F.encode(F.array_join(F.transform(spans, lambda c, i: F.concat(F.repeat(F.lit("0"), gap(c, i)), F.repeat(F.lit("1"), c["end"] - c["start"]))), ""), "US-ASCII")
+
+
+def _free(good: Column, masks: list[Column]) -> Column:
+    """The spans that no mask has a place of. A part of a byte string costs its own length only, so this is linear in the spans' lengths."""
+    taken = lambda c, mask: F.contains(F.substring(mask, c["start"] + 1, c["end"] - c["start"]), F.lit(b"1"))
 
+    def free(c: Column) -> Column:
+        out = F.lit(True)
+        for mask in masks:
+            out = out & ~taken(c, mask)
+        return out
 
-def spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, text (null: empty), and for each kind base_<kind> and all_<kind>: arrays of (start, end), code points, end exclusive, by start.
+    return F.filter(good, free)
+
+
+def spans(docs: DataFrame, keep: str = "doc_id") -> DataFrame:
+    """The kept column, text (null: empty), and for each kind base_<kind> and all_<kind>: arrays of (start, end), code points, end exclusive, by start.
 
     all_<kind> holds the base spans and the accepted candidates that overlap no base span of any kind and no earlier accepted one of theirs.
+    An e-mail candidate has at most 64 characters before its sign; base spans have no such bound. An empty table gives no rows.
     """
     model, least = _model()
-    df = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    df = docs.select(F.col(quoted(keep)), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     df = _matches(df, BASE, _MAY, "b_")
     place = lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))
     df = df.withColumns({f"base_{k}": F.transform(F.filter(f"b_{k}", _bound(lambda k, c: _valid(k, c["s"]), k)), place) for k in KINDS}).drop(*(f"b_{k}" for k in KINDS))
-    df = _candidates(df).withColumn("_taken", F.concat(*(f"base_{k}" for k in KINDS)))
+    df = _candidates(df)
+    none = F.array().cast("array<struct<start:int,end:int>>")
     for k in KINDS:
         good = F.filter(f"c_{k}", _bound(lambda cut, c: model.expression(lambda f: c[f]) >= cut, least[k]))
-        free = _let(F.col("_taken"), _bound(_free, F.col(f"_good_{k}")))
-        df = df.withColumn(f"_good_{k}", F.when(F.size(f"c_{k}") > 0, F.transform(good, place)).otherwise(F.array().cast("array<struct<start:int,end:int>>")))
-        df = df.withColumn(f"_new_{k}", F.when(F.size(f"_good_{k}") > 0, free).otherwise(F.col(f"_good_{k}")))
-        df = df.withColumn(f"all_{k}", F.array_sort(F.concat(f"base_{k}", f"_new_{k}"))).withColumn("_taken", F.concat("_taken", f"_new_{k}")).drop(f"c_{k}", f"_good_{k}", f"_new_{k}")
-    return df.drop("_taken")
+        df = df.withColumn(f"good_{k}", F.when(F.size(f"c_{k}") > 0, F.transform(good, place)).otherwise(none)).drop(f"c_{k}")
+    # masks of base spans are made only where some candidate was accepted
+    some = F.greatest(*(F.size(f"good_{k}") for k in KINDS)) > 0
+    df = df.withColumns({f"mask_{k}": F.when(some & (F.size(f"base_{k}") > 0), _let(F.col(f"base_{k}"), _mask)).otherwise(F.lit(b"")) for k in KINDS})
+    masks = [F.col(f"mask_{k}") for k in KINDS]
+    for k in KINDS:
+        free = _free(F.col(f"good_{k}"), masks)
+        df = df.withColumn(f"new_{k}", F.when(F.size(f"good_{k}") > 0, free).otherwise(none))
+        df = df.withColumn(f"taken_{k}", F.when(F.size(f"new_{k}") > 0, _let(F.col(f"new_{k}"), _mask)).otherwise(F.lit(b"")))
+        masks = [*masks, F.col(f"taken_{k}")]
+    every = {f"all_{k}": F.when(F.size(f"new_{k}") > 0, F.array_sort(F.concat(f"base_{k}", f"new_{k}"))).otherwise(F.col(f"base_{k}")) for k in KINDS}
+    return df.withColumns(every).select(F.col(quoted(keep)), "text", *(f"{w}_{k}" for w in ("base", "all") for k in KINDS))
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -236,20 +265,24 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def redaction_stage(docs: DataFrame) -> DataFrame:
-    """All documents, every span replaced by its kind in brackets; overlapping spans become one, named after the first. n_chars follows the new text."""
-    keep = [c for c in docs.columns if c != "text"]
-    df = spans(docs, tuple(keep))
+    """All rows and columns, whatever their names, every span of the text replaced by its kind in brackets; overlapping spans become one, named after the first.
+
+    n_chars, where it is a column, follows the new text. A null text stays null. Ids play no part.
+    """
+    (row,) = unused(docs, "row")
+    df = spans(docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias(row), "text"), row)
     named = F.concat(*(F.transform(f"all_{k}", _bound(lambda k, c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit(k).alias("kind")), k)) for k in KINDS))
-    df = df.withColumn("_all", F.array_sort(named))
-
-    def step(a: Column, c: Column) -> Column:
-        return F.when(
-            c["start"] < a["at"],  # it overlaps the one before
-            F.struct(F.greatest(a["at"], c["end"]).alias("at"), a["out"].alias("out")),
-        ).otherwise(F.struct(c["end"].alias("at"), F.concat(a["out"], F.array(F.substring(F.col("text"), a["at"] + 1, c["start"] - a["at"]), F.concat(F.lit("["), F.upper(c["kind"]), F.lit("]")))).alias("out")))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = lambda a: F.concat(F.concat_ws("", a["out"]), F.substring(F.col("text"), a["at"] + 1, F.length("text")))
-    df = df.withColumn("_new", F.when(F.size("_all") > 0, F.aggregate("_all", start, step, whole)).otherwise(F.col("text")))
-    out = [F.col("_new").alias("text") if c == "text" else F.length("_new").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return df.select(*out)
+    df = df.withColumn("every", F.array_sort(named))
+    # the end of all spans before each; a span that begins there or later is the head of a group
+    df = df.withColumn("reach", _before(F.transform("every", lambda c: c["end"]), lambda a, v: F.greatest(a, v)))
+    df = df.withColumn("heads", F.filter(F.arrays_zip("every", "reach"), lambda c: c["every"]["start"] >= c["reach"]))
+    df = df.withColumn("points", F.when(F.size("heads") > 0, F.encode("text", "UTF-32")))  # four bytes a code point: any part of it is found at once
+    part = lambda points, a, b: F.decode(F.substring(points, 4 * a + 1, 4 * (b - a)), "UTF-32")
+    told = lambda points: F.transform("heads", lambda c: F.concat(part(points, c["reach"], c["every"]["start"]), F.lit("["), F.upper(c["every"]["kind"]), F.lit("]")))
+    last = F.array_max(F.transform("every", lambda c: c["end"]))
+    new = F.when(F.size("heads") > 0, _let(F.col("points"), lambda p: F.concat(F.array_join(told(p), ""), part(p, last, F.length("text"))))).otherwise(F.col("text"))
+    df = df.select(row, new.alias("new"))
+    whole = lambda c: F.col(row)[c]
+    out = {"text": F.when(whole("text").isNotNull(), F.col("new")), "n_chars": F.when(whole("text").isNotNull(), F.length("new"))}
+    types = dict(zip(docs.columns, (f.dataType for f in docs.schema.fields), strict=True))
+    return df.select(*((out[c].cast(types[c]) if c in out else F.col(row).getField(c)).alias(c) for c in docs.columns))
