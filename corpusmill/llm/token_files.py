@@ -7,28 +7,24 @@ high bits). The header has the documents' ids and sizes and the start of every b
 
 from __future__ import annotations
 
-import functools
-import itertools
-import os
-import re
 import struct
 import uuid
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.bpe import spread, tokenizer_path
+from corpusmill.llm.bpe import encoder, tokenizer_path
 from corpusmill.llm.common import Scratch, bounded_batches
 from corpusmill.llm.files import Reader, make_folder, put
+from corpusmill.llm.pieces import text_bytes
 
 BLOCK, PERCENTILE = 128, 95
-#: A file is closed beyond so many ids. Beyond so many pieces or characters a worker forgets all but the most used, half of it at most; results do not depend on it.
-FILE_IDS, CACHE_PIECES, CACHE_CHARS = 1_000_000, 500_000, 16_000_000
+#: A file is closed beyond so many ids.
+FILE_IDS = 1_000_000
 _MAGIC = b"PFOR0001"
 
 
@@ -63,26 +59,32 @@ def pack(ids: np.ndarray) -> bytes:
     """The blocks of uint32 ids with their index: blocks u32, minima u32, widths u8, exception counts u8, starts u64, data."""
     count = len(ids)
     blocks = -(-count // BLOCK)
+    if not blocks:
+        return struct.pack("<QI", 0, 0)
     full = np.zeros((blocks, BLOCK), np.int64)
     full.ravel()[:count] = ids
     if count % BLOCK:
         full[-1, count % BLOCK :] = full[-1, : count % BLOCK].min()
-    low = full.min(axis=1) if blocks else np.zeros(0, np.int64)
+    low = full.min(axis=1)
     rest = full - low[:, None]
     needed = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)  # bits of each
-    width = np.sort(needed, axis=1)[:, BLOCK * PERCENTILE // 100] if blocks else np.zeros(0, np.int64)
-    beyond = needed > width[:, None]
-    exceptions = beyond.sum(axis=1)
-    packed: list[bytes] = [b""] * blocks
-    places = [np.flatnonzero(b).astype(np.uint8) for b in beyond]
-    for w in np.unique(width).tolist():
+    width = np.sort(needed, axis=1)[:, BLOCK * PERCENTILE // 100].astype(np.int64)
+    block, place = np.nonzero(needed > width[:, None])
+    exceptions = np.bincount(block, minlength=blocks)
+    body = width * BLOCK // 8
+    size = body + 5 * exceptions
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
-        body = pack_bits((rest[rows] & ((1 << w) - 1)).astype(np.uint64), w) if w else np.zeros((len(rows), 0), np.uint8)
-        for r, b in zip(rows.tolist(), body, strict=True):
-            packed[r] = b.tobytes() + (places[r].tobytes() + (rest[r, places[r]] >> w).astype("<u4").tobytes() if exceptions[r] else b"")
-    start = np.cumsum([0, *map(len, packed)])[:blocks]
-    index = struct.pack("<QI", count, blocks) + low.astype("<u4").tobytes() + width.astype(np.uint8).tobytes() + exceptions.astype(np.uint8).tobytes() + np.asarray(start, "<u8").tobytes()
-    return index + b"".join(packed)
+        out[start[rows][:, None] + np.arange(BLOCK * w // 8)] = pack_bits((rest[rows] & ((1 << w) - 1)).astype(np.uint64), w)
+    # after the body of a block the places of its exceptions, then their high bits
+    nth = np.arange(len(block)) - (np.cumsum(exceptions) - exceptions)[block]
+    at = (start + body)[block]
+    out[at + nth] = place
+    high = (rest[block, place] >> width[block]).astype("<u4").view(np.uint8).reshape(-1, 4)
+    out[(at + exceptions[block] + 4 * nth)[:, None] + np.arange(4)] = high
+    return struct.pack("<QI", count, blocks) + low.astype("<u4").tobytes() + width.astype(np.uint8).tobytes() + exceptions.astype(np.uint8).tobytes() + start.astype("<u8").tobytes() + out.tobytes()
 
 
 class Packed:
@@ -111,111 +113,17 @@ class Packed:
             size = int(w) * BLOCK // 8
             if w:
                 out[rows] = unpack_bits(self.data[self.start[own][:, None] + np.arange(size)], int(w)).astype(np.int64)
-            for r, b in zip(rows[self.exceptions[own] > 0], own[self.exceptions[own] > 0], strict=True):
-                at, n = int(self.start[b]) + size, int(self.exceptions[b])
-                out[r, self.data[at : at + n]] |= np.frombuffer(self.data[at + n : at + 5 * n].tobytes(), "<u4").astype(np.int64) << int(w)
+            many = self.exceptions[own]
+            nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            at = np.repeat(self.start[own] + size, many)
+            high = np.ascontiguousarray(self.data[(at + np.repeat(many, many) + 4 * nth)[:, None] + np.arange(4)]).view("<u4").ravel()
+            out[np.repeat(rows, many), self.data[at + nth]] |= high.astype(np.int64) << int(w)
         out += self.low[chosen][:, None]
         return out.ravel()[first - chosen[0] * BLOCK : last - chosen[0] * BLOCK].astype(np.uint32)
 
 
-class WordEncoder:
-    """The tokenizers library, asked once for each piece of text.
-
-    The library cuts a text at special tokens, and its pre-tokenizer always cuts before a space that stands before something
-    other than white space: white space gives up its last space to what follows, and no other word has a space inside. Texts
-    are split there, and the ids of the pieces joined. A piece is remembered without its space; a first one, which has none, with a space before it.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.special = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.rough, self.gap = re.compile(r" (?:\s|\Z)"), re.compile(r" (?=\S)")
-        vocabulary = self.library.get_vocab()  # one character of a token is one byte of text
-        self.size_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        self.size_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: dict[str, int] = defaultdict(itertools.count().__next__)  # asking for a new piece numbers it
-        self.ids, self.bound, self.uses, self.chars = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64), 0
-
-    def _shrink(self) -> None:
-        """Keep the most used pieces, as far as half of both bounds goes."""
-        names, size = list(self.number), np.diff(self.bound)
-        chars = np.fromiter(map(len, names), np.int64, len(names))
-        best = np.argsort(-self.uses, kind="stable")[: CACHE_PIECES // 2]
-        best = np.sort(best[np.cumsum(chars[best]) <= CACHE_CHARS // 2])
-        self.number = defaultdict(itertools.count(len(best)).__next__, zip([names[k] for k in best.tolist()], range(len(best)), strict=True))
-        self.ids = spread(self.ids, self.bound[best], size[best])
-        self.bound, self.uses, self.chars = np.concatenate([[0], np.cumsum(size[best])]), self.uses[best] // 2, int(chars[best].sum())
-
-    def _pieces(self, text: str) -> list[str]:
-        if self.cut is not None and any(s in text for s in self.special):
-            return [p for part in self.cut.split(text) for p in ([" " + part] if part in self.special else self._split(part))]
-        return self._split(text)
-
-    def _split(self, text: str) -> list[str]:
-        pieces = self.gap.split(text) if self.rough.search(text) else text.split(" ")
-        pieces[0] = " " + pieces[0]
-        return pieces
-
-    def _learn(self, new: list[str]) -> None:
-        """Append the ids of new pieces in the order of their numbers."""
-        size, found = np.zeros(len(new), np.int64), {}
-        later = [k for k, p in enumerate(new) if p[:1] != " "]
-        ids = np.zeros(0, np.uint32)
-        if later:
-            # in a row they are cut apart again, so one call takes them all; their bytes tell where each ends
-            spaced = [" " + new[k] for k in later]
-            ids = np.array(self.library.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, np.uint32)
-            ends, reached = np.cumsum([len(p.encode("utf-8", "replace")) for p in spaced]), np.cumsum(self.size_of[ids])
-            at = np.searchsorted(reached, ends)
-            if at[-1] != len(ids) - 1 or not np.array_equal(reached[at], ends):
-                raise ValueError("the tokenizer does not cut before spaces")
-            size[later] = np.diff(at + 1, prepend=0)
-        first = [k for k, p in enumerate(new) if p[:1] == " "]
-        for k, got in zip(first, self.library.encode_batch_fast([new[k][1:] for k in first], add_special_tokens=False) if first else [], strict=True):
-            found[k] = np.array(got.ids, np.uint32)
-            size[k] = len(found[k])
-        upto, out = np.concatenate([[0], np.cumsum(size)]), np.zeros(int(size.sum()), np.uint32)
-        own = np.ones(len(out), bool)
-        for k, got in found.items():
-            out[upto[k] : upto[k + 1]] = got
-            own[upto[k] : upto[k + 1]] = False
-        out[own] = ids
-        self.ids, self.bound = np.concatenate([self.ids, out]), np.concatenate([self.bound, self.bound[-1] + upto[1:]])
-        self.chars += sum(map(len, new))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """uint32 ids of each text."""
-        if len(self.number) > CACHE_PIECES or self.chars > CACHE_CHARS:
-            self._shrink()
-        known = len(self.number)
-        try:
-            numbers = [np.fromiter(map(self.number.__getitem__, p), np.int64, len(p)) for p in map(self._pieces, texts)]
-            self._learn(list(itertools.islice(self.number, known, None)))
-        except BaseException:
-            self._forget()  # a number without ids must not stay
-            raise
-        counts = np.bincount(np.concatenate(numbers), minlength=len(self.number)) if numbers else np.zeros(len(self.number), np.int64)
-        counts[: len(self.uses)] += self.uses
-        self.uses = counts
-        return [spread(self.ids, self.bound[n], self.bound[n + 1] - self.bound[n]) for n in numbers]
-
-
-@functools.lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
-
-
 def write_files(docs: DataFrame, path: str | None = None, end_id: int = 2) -> DataFrame:
-    """Encode texts (null: empty), append end_id to each and write files in ascending doc_id order; returns the manifest.
+    """Encode texts (null: empty) as the tokenizers library does, append end_id to each and write files in ascending doc_id order; returns the manifest.
 
     Manifest: path, part and seq (files in id order), first (ids of all files before), docs, ids. Nulls come first, equal doc_ids in the order of their texts.
     """
@@ -228,44 +136,46 @@ def write_files(docs: DataFrame, path: str | None = None, end_id: int = 2) -> Da
     rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").withColumn("part", F.spark_partition_id())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seq, held, size = word_encoder(file), 0, [], 0
+        bpe, seq, held, size = encoder(file), 0, [], 0
 
         def close(part: int) -> pa.RecordBatch:
-            doc_ids = [d for d, _ in held]
-            sizes = np.array([len(i) for _, i in held], "<u4")
-            null = np.array([d is None for d in doc_ids], np.uint8)
-            head = _MAGIC + struct.pack("<I", len(held)) + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + null.tobytes() + sizes.tobytes()
+            doc_ids, null, sizes, ids = (np.concatenate(c) for c in zip(*held, strict=True))
+            head = _MAGIC + struct.pack("<I", len(doc_ids)) + doc_ids.astype("<i8").tobytes() + null.astype(np.uint8).tobytes() + sizes.astype("<u4").tobytes()
             name = f"{folder}/{part:06d}-{seq:06d}-{uuid.uuid4().hex}.pfor"
-            n = put(name, head + pack(np.concatenate([i for _, i in held])))
-            values = ([name], [part], [seq], [len(held)], [int(sizes.sum())], [n])
+            n = put(name, head + pack(ids))
+            values = ([name], [part], [seq], [len(doc_ids)], [int(sizes.sum())], [n])
             types = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=["path", "part", "seq", "docs", "ids", "bytes"])
 
         part = 0
         for batch in batches:
-            ids = encoder.encode(batch.column(1).to_pylist())
-            for doc_id, part, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), ids, strict=True):
-                held.append((doc_id, np.append(own, np.uint32(end_id))))
-                size += len(own) + 1
-                if size >= FILE_IDS:
-                    yield close(part)
-                    seq, held, size = seq + 1, [], 0
+            if not batch.num_rows:
+                continue
+            ids, at = bpe.encode_bytes(*text_bytes(batch.column(1)))
+            part, doc_ids = batch.column(2)[0].as_py(), batch.column(0)
+            held.append((np.array(doc_ids.fill_null(0)), np.array(doc_ids.is_null()), np.diff(at) + 1, np.insert(ids, at[1:], np.uint32(end_id))))
+            size += len(held[-1][3])
+            if size >= FILE_IDS:
+                yield close(part)
+                seq, held, size = seq + 1, [], 0
         if held:
             yield close(part)
 
     manifest = scratch.write("manifest", rows.select("doc_id", "text", "part").mapInArrow(write, "path string, part int, seq int, docs long, ids long, bytes long"))
-    # one row a file: the prefix sums of the files' totals are a small table
-    first, before = [], 0
-    for r in manifest.orderBy("part", "seq").collect():
-        first.append((r.path, r.part, r.seq, before, r.docs, r.ids))
-        before += r.ids
-    return spark.createDataFrame(first, "path string, part int, seq int, first long, docs long, ids long")
+    # one row a partition goes to the driver; inside a partition the files' totals are summed in their order
+    offsets, before = [], 0
+    for part, ids in manifest.groupBy("part").agg(F.sum("ids")).orderBy("part").collect():
+        offsets.append((part, before))
+        before += ids
+    base = spark.createDataFrame(offsets, "part int, base long")
+    earlier = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    first = (F.col("base") + F.coalesce(F.sum("ids").over(earlier), F.lit(0))).alias("first")
+    return manifest.join(F.broadcast(base), "part").select("path", "part", "seq", first, "docs", "ids")
 
 
 def read_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32 and ids of each document, from the files alone and their places in the manifest."""
     spark = manifest.sparkSession
-    bounded_batches(spark, 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
