@@ -2,8 +2,9 @@
 
 Every vector is keyed by its nearest pivot and its distance to it and stored in blocks of a sorted annulus [low, high] of
 one pivot. For a query q with distance D to the pivot, |q - x| >= max(0, D - high, low - D) holds for all x of a block, and
-so <q, x> <= (|q|^2 + max|x|^2 - that^2) / 2, as well as <q, x> <= <q, p> + |q| * high. The blocks nearest to the query
-give k scores first; then only blocks whose bound reaches the k-th score are visited. Results are exact whatever the pivots.
+so <q, x> <= (|q|^2 + max|x|^2 - that^2) / 2, as well as <q, x> <= <q, p> + |q| * high. A query visits the annuli in the order
+of these bounds, in rounds that widen; the k-th score so far rises from round to round, only rows that reach it are kept, and
+the search ends when the bound of the next annulus falls below it. Results are exact whatever the pivots.
 """
 
 from __future__ import annotations
@@ -20,15 +21,21 @@ from corpusmill.llm.common import Scratch, batch_rows
 
 #: Rows of a block, pivots, and rows that pivots are chosen from: a bounded sample, the rows of least id hash.
 BLOCK_ROWS, PIVOTS, SAMPLE = 1024, 48, 4096
+#: A round visits so many times the blocks of all rounds before.
+GROWTH = 6
 #: There are about this many blocks at most, so that the table of their bounds can be broadcast: blocks grow beyond.
 MOST_BLOCKS = 65_536
 
 
 def quantised(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", scale: int = 64) -> DataFrame:
-    """key and v, floor(scale * x) of each component as long. Vectors that are null or hold a null or non-finite component are left out, as are null keys."""
+    """key and v, floor(scale * x) of each component as long. Vectors that are null or hold a null or non-finite component are left out, as are null keys.
+
+    A finite component whose floor(scale * x) is no long raises an error: no score could be given for it.
+    """
     x = F.col(column)
-    whole = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long"))
-    sound = x.isNotNull() & F.col(key).isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) > 1e15))
+    told = lambda c: F.floor(c.cast("double") * scale)
+    whole = F.transform(x, lambda c: F.when(F.abs(c.cast("double") * scale) < 2.0**63, told(c).cast("long")).otherwise(F.raise_error(F.lit("a component is too large for an integer score")).cast("long")))
+    sound = x.isNotNull() & F.col(key).isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf")))
     return vectors.filter(F.coalesce(sound, F.lit(False))).select(F.col(key).cast("long").alias(key), whole.alias("v"))
 
 
@@ -44,10 +51,17 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products; floating point is used only where every sum is exact in it."""
-    if len(a) and len(b) and np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1] < 2**52:
+    """Exact integer products. Floating point and longs are used only where every sum is exact in them; beyond, a product that is no long raises an error."""
+    most = lambda m: max(-int(m.min(initial=0)), int(m.max(initial=0)))
+    bound = most(a) * most(b) * max(1, a.shape[1])
+    if bound < 2**52:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    if bound < 2**63:
+        return a @ b.T
+    wide = a.astype(object) @ b.astype(object).T
+    if any(not -(2**63) <= s < 2**63 for s in wide.flat):
+        raise OverflowError("a score is too large for a long")
+    return wide.astype(np.int64)
 
 
 def _pivots(sample: np.ndarray, count: int) -> np.ndarray:
@@ -80,7 +94,8 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k highest integer inner products of each query with all vectors but those of its own id.
 
-    Both tables have the key and `v` (array of long). Ties go to the smaller id; repeated rows each count. Fewer candidates give fewer rows.
+    Both tables have the key and `v` (array of long). Ties go to the smaller id; repeated rows each count, repeated query ids ask once. Fewer candidates give fewer rows, empty tables none.
+    Shorter vectors count as filled with zeros. A score that is no long raises an error.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
@@ -88,7 +103,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
     width = max(int(bounds.w or 0), int(queries.agg(F.max(F.size("v"))).first()[0] or 0), 1)
     if not bounds.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    sample = vectors.orderBy(F.xxhash64(key), key).limit(SAMPLE).select("v").collect()
+    slot = F.pmod(F.hash(key), F.lit(SAMPLE))  # of each hash slot the row with the least hash
+    sample = [r.r for r in vectors.groupBy(slot.alias("s")).agg(F.min(F.struct(F.xxhash64(key).alias("h"), "v")).alias("r")).orderBy("s").collect()]
     pivots = _pivots(_matrix(pa.array([r.v for r in sample], pa.list_(pa.int64())), width), PIVOTS)
     block_rows = max(BLOCK_ROWS, bounds.n // MOST_BLOCKS)
 
@@ -136,78 +152,76 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
     meta = index.select("block", "pivot", "low", "high", "norm", "n").toPandas().sort_values("block")
     shared = spark.sparkContext.broadcast((meta, pivots))
 
-    def reach(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each query and block the least distance and the upper bound of the product."""
+    def reach(q: np.ndarray) -> np.ndarray:
+        """For each query and block the upper bound of the product."""
         m, p = shared.value
         q = q.astype(np.float64)
         away, product, norm = _distances(q, p), q @ p.T, np.linalg.norm(q, axis=1)
-        where = m["pivot"].to_numpy()
+        where, most = m["pivot"].to_numpy(), m["norm"].to_numpy()
         least = np.maximum(0, np.maximum(away[:, where] - m["high"].to_numpy(), m["low"].to_numpy() - away[:, where]))
-        by_distance = (norm[:, None] ** 2 + m["norm"].to_numpy() ** 2 - least**2) / 2
+        squares = norm[:, None] ** 2 + most**2
         by_pivot = product[:, where] + norm[:, None] * m["high"].to_numpy()
-        bound = np.minimum(np.minimum(by_distance, by_pivot), norm[:, None] * m["norm"].to_numpy())
-        return least, bound + 1e-6 * (1 + np.abs(bound))
+        bound = np.minimum(np.minimum((squares - least**2) / 2, by_pivot), norm[:, None] * most)
+        return bound + 1e-6 * (1 + squares)  # what rounding may take away
 
-    def requests(want) -> callable:
-        """Rows (block, qids, qvecs) for the blocks that want(queries, batch) picks as a matrix of booleans."""
+    def requests(number: int) -> callable:
+        """Rows (block, qids, qleast, qvecs) for the blocks of a round: of each query's blocks by their bounds the next ones, as far as they reach its k-th score."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = shared.value[0]["block"].to_numpy()
+            m = shared.value[0]
+            names, held = m["block"].to_numpy(), m["n"].to_numpy()
             for whole in batches:
                 for low in range(0, whole.num_rows, 256):
                     batch = whole.slice(low, 256)
                     q = _matrix(pa.array(batch.column("v").to_pylist(), pa.list_(pa.int64())), width)
-                    ids, picked = batch.column("id").to_numpy(), want(q, batch)
+                    ids = batch.column("id").to_numpy()
+                    least = np.array([-np.inf if t is None else float(t) for t in batch.column("least").to_pylist()])
+                    bound = reach(q)
+                    order = np.argsort(-bound, axis=1, kind="stable")
+                    place = np.argsort(order, axis=1)
+                    # the first round holds over k rows (and the query's own), each later one GROWTH times the blocks
+                    first = (np.cumsum(held[order], axis=1) <= k).sum(axis=1)[:, None] + 1
+                    after = first * GROWTH ** (number - 1) if number else 0 * first
+                    picked = (place >= after) & (place < first * GROWTH**number) & (bound >= least[:, None])
                     some = np.flatnonzero(picked.any(axis=0))
-                    rows = [[int(names[b]) for b in some], [ids[picked[:, b]].tobytes() for b in some], [q[picked[:, b]].tobytes() for b in some]]
-                    yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "qids", "qvecs"])
+                    rows = [[int(names[b]) for b in some], *([x[picked[:, b]].tobytes() for b in some] for x in (ids, least, q))]
+                    yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "qids", "qleast", "qvecs"])
 
         return run
 
-    def nearest(q: np.ndarray, _) -> np.ndarray:
-        """The annuli nearest to each query that hold over k rows."""
-        least, bound = reach(q)
-        order = np.lexsort((-bound, least), axis=1)
-        held = np.cumsum(shared.value[0]["n"].to_numpy()[order], axis=1)
-        first = np.take_along_axis(held - shared.value[0]["n"].to_numpy()[order], np.argsort(order, axis=1), axis=1)
-        return first <= k
-
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            for qids, qvecs, ids, vecs in zip(frame["qids"], frame["qvecs"], frame["ids"], frame["vecs"], strict=True):
-                q, x = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
+            for qids, qleast, qvecs, ids, vecs in frame.itertuples(index=False):
+                q, least, x = np.frombuffer(qids, np.int64), np.frombuffer(qleast, np.float64), np.frombuffer(ids, np.int64)
                 score = _products(np.frombuffer(qvecs, np.int64).reshape(len(q), width), np.frombuffer(vecs, np.int64).reshape(len(x), width))
                 parts = []
                 for i, own in enumerate(q):
-                    other = np.flatnonzero(x != own)
+                    other = np.flatnonzero((x != own) & (score[i] >= least[i]))
                     top = other[_best(score[i, other], x[other], k)]
                     parts.append((np.full(len(top), own), x[top], score[i, top]))
                 yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
-    def search(name: str, asked: DataFrame, want) -> DataFrame:
-        with batch_rows(spark, 4096):
-            needed = scratch.write(f"{name}-requests", asked.mapInArrow(requests(want), request))
-        both = needed.join(index.select("block", "ids", "vecs"), "block").select("qids", "qvecs", "ids", "vecs")
-        with batch_rows(spark, 32):  # blocks are large rows
-            return scratch.write(f"{name}-found", both.mapInPandas(answer, "query_id long, vec_id long, score long"))
-
     # equal queries get equal answers, so a query id asks once
-    asked = queries.select(F.col(key).alias("id"), "v").dropDuplicates(["id"])
-    asked = scratch.write("queries", asked)
-    request = "block long, qids binary, qvecs binary"
+    asked = scratch.write("queries", queries.select(F.col(key).alias("id"), "v").dropDuplicates(["id"]))
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-
-    def ranks(found: DataFrame) -> DataFrame:
-        return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
-
-    first = scratch.write("first", ranks(search("near", asked, nearest)))
-    least = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
-    open_queries = asked.join(least, asked["id"] == least["query_id"], "left").select("id", "v", "least")
-
-    def remaining(q: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
-        _, bound = reach(q)
-        least = np.array([-np.inf if t is None else float(t) for t in batch.column("least").to_pylist()])
-        return (bound >= least[:, None]) & ~nearest(q, batch)
-
-    rest = search("far", open_queries, remaining)
-    return ranks(first.select("query_id", "vec_id", "score").unionByName(rest)).select("query_id", "rank", "vec_id", "score")
+    best, number = None, 0
+    while True:
+        if best is None:
+            open_queries = asked.withColumn("least", F.lit(None).cast("long"))
+        else:
+            least = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+            open_queries = asked.join(least, asked["id"] == least["query_id"], "left").select("id", "v", "least")
+        with batch_rows(spark, 4096):
+            needed = scratch.write(f"requests-{number}", open_queries.mapInArrow(requests(number), "block long, qids binary, qleast binary, qvecs binary"))
+        if not needed.limit(1).count():
+            break  # bounds only fall from here on
+        both = needed.join(index.select("block", "ids", "vecs"), "block").select("qids", "qleast", "qvecs", "ids", "vecs")
+        with batch_rows(spark, 32):  # blocks are large rows
+            found = scratch.write(f"found-{number}", both.mapInPandas(answer, "query_id long, vec_id long, score long"))
+        pool = found if best is None else found.unionByName(best)
+        best = scratch.write(f"best-{number}", pool.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "vec_id", "score"))
+        scratch.drop(f"requests-{number}", f"found-{number}")
+        number += 1
+    if best is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return best.withColumn("rank", F.row_number().over(ranked)).select("query_id", "rank", "vec_id", "score")
