@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
+from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,8 @@ from pyspark.sql import types as t
 
 # Extensions and patterns of URLs that are not crawled.
 EXTENSIONS = (".pdf", ".jpg", ".jpeg", ".png", ".gif", ".bmp", ".svg", ".webp", ".ico", ".mp3", ".mp4", ".avi", ".mov", ".wmv", ".flv", ".zip", ".tar", ".gz", ".rar", ".7z", ".exe", ".dmg", ".pkg", ".deb", ".rpm", ".iso", ".bin", ".dat", ".css", ".js", ".xml", ".rss", ".atom", ".json", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".odt", ".ods", ".odp")
+CRAWLER_EXTENSIONS = (".pdf", ".jpg", ".jpeg", ".png", ".gif", ".zip", ".tar", ".gz", ".mp3", ".mp4")
+LINK = r"https?://[^\s<>\"{}|\\^`\[\]]+"
 JUNK = (r"/wp-login\.php", r"/wp-admin/", r"/cart/?$", r"/checkout/?$", r"\?add-to-cart=", r"/search\?", r"/tag/", r"/author/", "#", "javascript:", "mailto:", "tel:")
 
 
@@ -65,7 +68,7 @@ def crawl_key(url: Column) -> Column:
 
 def crawlable(url: Column, domains: list[str] | None = None) -> Column:
     """The crawler's own test: the extension is looked for at the end of the whole URL."""
-    ok = F.lower(url).rlike("^https?://[^/?#]+") & ~F.lower(url).rlike("(" + "|".join(e.replace(".", r"\.") for e in EXTENSIONS) + ")$")
+    ok = F.lower(url).rlike("^https?://[^/?#]+") & ~F.lower(url).rlike("(" + "|".join(e.replace(".", r"\.") for e in CRAWLER_EXTENSIONS) + ")$")
     return F.coalesce(ok & host(url).isin(domains) if domains else ok, F.lit(False))
 
 
@@ -73,18 +76,56 @@ def robots_url(url: Column) -> Column:
     return F.concat(F.regexp_extract(url, r"^([^:/?#]+://[^/?#]*)", 1), F.lit("/robots.txt"))
 
 
+def can_fetch(pages: DataFrame, robots: DataFrame, agent: str = "*", url: str = "url") -> DataFrame:
+    """Adds allowed: what the robots file of the URL's host says (host, content; without one all is allowed). Rules are parsed once a host and batch."""
+
+    @F.pandas_udf(t.BooleanType())
+    def told(links: pd.Series, content: pd.Series) -> pd.Series:
+        parsed: dict[str, RobotFileParser] = {}
+
+        def one(link, rules) -> bool:
+            if rules is None or link is None:
+                return True
+            if rules not in parsed:
+                parsed[rules] = RobotFileParser()
+                parsed[rules].parse(rules.splitlines())
+            return parsed[rules].can_fetch(agent, link)
+
+        return pd.Series([one(a, b) for a, b in zip(links, content, strict=True)])
+
+    known = robots.groupBy(F.lower("host").alias("_host")).agg(F.min("content").alias("_rules"))
+    return pages.withColumn("_h", host(F.col(url))).join(known, F.col("_h") == F.col("_host"), "left").withColumn("allowed", told(F.col(url), F.col("_rules"))).drop("_h", "_host", "_rules")
+
+
+def fetch_times(pages: DataFrame, order: str, delay_s: float = 1.0, url: str = "url", start: str | None = None) -> DataFrame:
+    """Adds fetch_s: when each URL is fetched if the URLs of a host keep `delay_s` seconds apart, in the order of a column. start: when it is asked for (default 0)."""
+    w = Window.partitionBy("_h").orderBy(order)
+    asked = F.col(start).cast("double") if start else F.lit(0.0)
+    place = F.row_number().over(w) - 1
+    told = pages.withColumn("_h", host(F.col(url))).withColumn("_place", place)
+    # the latest of all earlier demands, each with a delay for every row between
+    return told.withColumn("fetch_s", F.max(asked - F.col("_place") * delay_s).over(w) + F.col("_place") * delay_s).drop("_h", "_place")
+
+
 def url_hash(url: Column) -> Column:
     return F.sha2(normalize_url(url), 256)
 
 
 def links_in_text(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"https?://[^\s<>\"')\]]+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(LINK), F.lit(0))
 
 
 def deduplicate(df: DataFrame, url: str, order: str) -> DataFrame:
     """The first row of each normalised URL."""
-    first = df.withColumn("_u", normalize_url(F.col(url)))
-    return first.withColumn("_r", F.row_number().over(Window.partitionBy("_u").orderBy(order))).filter("_r = 1").drop("_u", "_r")
+    return _first_of(df, normalize_url(F.col(url)), order)
+
+
+def _first_of(df: DataFrame, key: Column, order: str) -> DataFrame:
+    """The first row of each key by the order column; a null order comes last. The join is by key and order together, so a key that many rows share is no hot task."""
+    told = df.withColumn("_h", key)
+    first = told.groupBy("_h").agg(F.min(order).alias("_o")).withColumnRenamed("_h", "_g")
+    same = F.col("_h").eqNullSafe(F.col("_g")) & F.col(order).eqNullSafe(F.col("_o"))
+    return told.join(first, same, "left_semi").dropDuplicates(["_h", order]).drop("_h")
 
 
 def merge_results(parts: list[DataFrame], order: str, text: str = "text", content_hash: str = "content_hash") -> DataFrame:
@@ -93,8 +134,7 @@ def merge_results(parts: list[DataFrame], order: str, text: str = "text", conten
     for p in parts[1:]:
         whole = whole.unionByName(p, allowMissingColumns=True)
     key = F.coalesce(F.col(content_hash), F.sha2(F.col(text), 256)) if content_hash in whole.columns else F.sha2(F.col(text), 256)
-    first = whole.groupBy(key.alias("_h")).agg(F.min(order).alias("_o"))
-    return whole.withColumn("_h", key).join(first, "_h").filter(F.col(order) == F.col("_o")).drop("_h", "_o")
+    return _first_of(whole, key, order)
 
 
 def filter_domains(df: DataFrame, url: str, domains: DataFrame) -> DataFrame:

@@ -15,10 +15,13 @@ MODULUS = 4294967311
 
 
 def exact_dedup(df: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:
-    """The first row of each text by the order column. One pre-aggregated shuffle of hashes and ids: texts never move to a group, so a text that a third of the rows share is no hot task."""
-    key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    first = df.groupBy(key.alias("_h")).agg(F.min(order).alias("_first"))
-    return df.withColumn("_h", key).join(first.select("_h", F.col("_first")), "_h").filter(F.col(order) == F.col("_first")).drop("_h", "_first")
+    """The first row of each text by the order column; nulls come last, and of rows equal in both any one stays. A null text counts as the empty one.
+
+    First places come from a pre-aggregated group-by of hashes. Rows then meet them by hash and order together, so a text that a third of the rows share is no hot task.
+    """
+    told = df.withColumn("_h", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    first = told.groupBy(F.col("_h").alias("_g")).agg(F.min(order).alias("_first"))
+    return told.join(first, (F.col("_h") == F.col("_g")) & F.col(order).eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["_h", order]).drop("_h")
 
 
 def coefficients(perms: int, seed: int = 42) -> list[tuple[int, int]]:
@@ -67,15 +70,15 @@ def candidate_edges(banded: DataFrame, key: str = "doc_id") -> DataFrame:
     return x.join(y, same).select(F.col(f"x.{key}").alias("earlier"), F.col(f"y.{key}").alias("later")).distinct()
 
 
-def greedy_keep(ids: DataFrame, edges: DataFrame, key: str = "doc_id", most_rounds: int = 50) -> DataFrame:
+def greedy_keep(ids: DataFrame, edges: DataFrame, key: str = "doc_id") -> DataFrame:
     """The ids kept when each id is dropped iff an earlier kept one is its neighbour (the lexicographically first independent set).
 
-    Each round keeps open ids without an open or kept earlier neighbour and drops those with a kept one; rounds are checkpointed.
+    Each round keeps open ids without an open or kept earlier neighbour and drops those with a kept one; the first open id is always settled, so rounds end. They are checkpointed.
     """
     edges = edges.checkpoint()
     open_ids = edges.select(F.col("later").alias(key)).distinct().checkpoint()
     dropped = open_ids.limit(0)
-    for _ in range(most_rounds):
+    while True:
         if not open_ids.limit(1).count():
             later = dropped.withColumnRenamed(key, "_d")
             return ids.join(later, ids[key] == later["_d"], "left_anti")
@@ -85,7 +88,6 @@ def greedy_keep(ids: DataFrame, edges: DataFrame, key: str = "doc_id", most_roun
         gone = open_ids.join(hit, key, "left_semi").checkpoint()
         dropped = dropped.unionByName(gone).checkpoint()
         open_ids = open_ids.join(gone, key, "left_anti").join(waits, key, "left_semi").checkpoint()
-    raise RuntimeError("the greedy selection did not settle")
 
 
 def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", perms: int = 128) -> DataFrame:

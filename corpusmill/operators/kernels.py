@@ -100,16 +100,33 @@ def gae(steps: DataFrame, gamma: float = 1.0, lam: float = 0.95) -> DataFrame:
     return rows.select("rollout_id", F.explode(F.aggregate("r", start, step, lambda s: s["out"])).alias("x")).select("rollout_id", "x.t", "x.advantage", (F.col("x.advantage") + F.col("x.value")).alias("ret"))
 
 
-def ppo_losses(df: DataFrame, clip: float = 0.2) -> DataFrame:
-    """One row: policy loss, clipped value loss, approximate KL and clip share of (logp, old_logp, advantage, value, old_value, ret)."""
+def ppo_losses(df: DataFrame, clip: float = 0.2, value_weight: float = 0.1, entropy_weight: float = 0.01) -> DataFrame:
+    """One row over (rollout_id, logp, old_logp, advantage, value, old_value, ret): policy_loss on normalised advantages, value_loss (the larger of the plain and the clipped mean square), entropy, loss, kl and the clipped share.
+
+    Advantages are normalised by their mean and sample deviation; entropy is the mean over rollouts of -sum(exp(logp) * logp).
+    """
+    whole = df.agg(F.avg("advantage").alias("_mean"), F.coalesce(F.stddev_samp("advantage"), F.lit(0.0)).alias("_dev"))
+    df = df.crossJoin(F.broadcast(whole))  # one row
     ratio = F.exp(F.col("logp") - F.col("old_logp"))
+    advantage = (F.col("advantage") - F.col("_mean")) / (F.col("_dev") + 1e-8)
     bounded = F.greatest(F.lit(1 - clip), F.least(F.lit(1 + clip), ratio))
     value = F.col("old_value") + F.greatest(F.lit(-clip), F.least(F.lit(clip), F.col("value") - F.col("old_value")))
-    return df.agg(
-        F.avg(-F.least(ratio * F.col("advantage"), bounded * F.col("advantage"))).alias("policy_loss"),
-        (0.5 * F.avg(F.greatest(F.pow(F.col("value") - F.col("ret"), 2), F.pow(value - F.col("ret"), 2)))).alias("value_loss"),
+    out = df.agg(
+        F.avg(F.greatest(-ratio * advantage, -bounded * advantage)).alias("policy_loss"),
+        F.greatest(F.avg(F.pow(F.col("value") - F.col("ret"), 2)), F.avg(F.pow(value - F.col("ret"), 2))).alias("value_loss"),
+        (-F.sum(F.exp("logp") * F.col("logp")) / F.count_distinct("rollout_id")).alias("entropy"),
         F.avg(F.col("old_logp") - F.col("logp")).alias("kl"), F.avg((F.abs(ratio - 1) > clip).cast("double")).alias("clipped"),
     )
+    return out.withColumn("loss", F.col("policy_loss") + value_weight * F.col("value_loss") - entropy_weight * F.col("entropy"))
+
+
+def processors(logits: DataFrame, context: DataFrame, penalty: float = 1.0, grams: int = 0, t: float = 1.0, k: int = 0, p: float = 1.0) -> DataFrame:
+    """The chain of logit processors in their order: repetition penalty, no repeated n-grams, temperature, top-k, top-p. Each is left out at its neutral value."""
+    out = repetition_penalty(logits, context, penalty) if penalty != 1.0 else logits
+    out = no_repeat_ngrams(out, context, grams) if grams > 0 else out
+    out = temperature(out, t) if t != 1.0 else out
+    out = top_k(out, k)
+    return top_p(out, p).select(*logits.columns) if p < 1.0 else out
 
 
 def preference_loss(df: DataFrame) -> DataFrame:
@@ -129,6 +146,15 @@ def running_mean(df: DataFrame, value: str, order: str, by: list[str], last: int
     return df.withColumn("running_mean", F.avg(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(1 - last, 0)))
 
 
+def warmup_steps(total: Column, ratio: float = 0.03) -> Column:
+    return F.floor(total * ratio).cast("long")
+
+
+def tokens_per_second(tokens: Column, seconds: Column) -> Column:
+    """0 where no time has passed."""
+    return F.when(seconds > 0, tokens / seconds).otherwise(0.0)
+
+
 def duration(seconds: Column) -> Column:
     return F.concat(F.floor(seconds / 3600).cast("string"), F.lit("h "), F.floor(seconds % 3600 / 60).cast("string"), F.lit("m"))
 

@@ -38,6 +38,27 @@ def bleu(pairs: DataFrame, key: str = "id", order: int = 4) -> DataFrame:
     return total.crossJoin(lengths).select(F.when(F.coalesce("h1", F.lit(0)) == 0, 0.0).otherwise(100 * penalty * F.exp(logs / order)).alias("bleu"))
 
 
+def bleu_report(rows: DataFrame, key: str = "id", hyp: str = "hyp", refs: str = "refs", order: int = 4) -> DataFrame:
+    """One row over (key, hyp, refs: array of texts): bleu, bleu_1 to bleu_4 (0 to 100) and brevity_penalty.
+
+    A gram counts as often as in the reference that has it most. A hypothesis is held against the length of its shortest reference.
+    Orders with grams but no match count 1e-10; orders without grams are 0 and are left out of the sum but not of its divisor.
+    """
+    words = rows.select(key, T.words(F.col(hyp)).alias("h"), F.transform(F.col(refs), lambda r: T.words(r)).alias("r"))
+    each = words.select(key, F.posexplode("r").alias("ref", "w"))
+    total = words.agg(F.sum(F.size("h")).alias("hyp"), F.sum(F.array_min(F.transform("r", lambda r: F.size(r)))).alias("ref"))
+    for n in range(1, order + 1):
+        said = _counts(words, key, "h", n, "ch")
+        most = each.select(key, "ref", F.explode(grams(F.col("w"), n)).alias("gram")).groupBy(key, "ref", "gram").agg(F.count("*").alias("c")).groupBy(key, "gram").agg(F.max("c").alias("cr"))
+        row = said.join(most, [key, "gram"], "left").agg(F.coalesce(F.sum(F.least("ch", F.coalesce("cr", F.lit(0)))), F.lit(0)).alias(f"m{n}"), F.coalesce(F.sum("ch"), F.lit(0)).alias(f"h{n}"))
+        total = total.crossJoin(row)  # one row each
+    share = {n: F.when(F.col(f"h{n}") > 0, F.greatest(F.col(f"m{n}") / F.col(f"h{n}"), F.lit(1e-10))).otherwise(0.0) for n in range(1, order + 1)}
+    logs = sum((F.when(p > 0, F.log(p)).otherwise(0.0) for p in share.values()), F.lit(0.0))
+    penalty = F.when(F.col("hyp") >= F.col("ref"), 1.0).when(F.col("hyp") > 0, F.exp(1 - F.col("ref") / F.col("hyp"))).otherwise(0.0)
+    none = F.greatest(*share.values()) == 0 if order > 1 else share[1] == 0
+    return total.select(F.when(none, 0.0).otherwise(100 * penalty * F.exp(logs / order)).alias("bleu"), *((100 * p).alias(f"bleu_{n}") for n, p in share.items()), penalty.alias("brevity_penalty"))
+
+
 def _f1(m: Column, h: Column, r: Column) -> Column:
     p, q = m / F.greatest(h, F.lit(1)), m / F.greatest(r, F.lit(1))
     return F.when(m > 0, 2 * p * q / (p + q)).otherwise(0.0)
@@ -97,9 +118,11 @@ def macro(by_group: DataFrame) -> DataFrame:
     return by_group.agg(F.avg("accuracy").alias("macro_accuracy"), F.count("*").alias("groups"))
 
 
-def multiple_choice_prompt(question: Column, choices: Column) -> Column:
+def multiple_choice_prompt(question: Column, choices: Column, subject: Column | None = None) -> Column:
+    """The question with lettered choices; before it a line that names the subject, if one is given."""
     letters = F.array(*(F.lit(x) for x in "ABCDEFGH"))
-    return F.concat(F.lit("Question: "), question, F.lit("\n"), F.concat_ws("\n", F.transform(choices, lambda c, i: F.concat(F.element_at(letters, i + 1), F.lit(". "), c))), F.lit("\nAnswer:"))
+    head = F.concat(F.lit("The following is a multiple choice question about "), F.replace(subject, F.lit("_"), F.lit(" ")), F.lit(".\n\n")) if subject is not None else F.lit("")
+    return F.concat(head, F.lit("Question: "), question, F.lit("\n"), F.array_join(F.transform(choices, lambda c, i: F.concat(F.element_at(letters, i + 1), F.lit(". "), c, F.lit("\n"))), ""), F.lit("Answer:"))
 
 
 # Where answers stand, in order of preference.

@@ -18,18 +18,25 @@ MATH = (r"(?i)(?:the answer is|answer:|=)\s*([-+]?\d+\.?\d*)", r"(?i)\\boxed\{([
 
 
 def math_reward(response: Column, truth: Column) -> Column:
-    """1 within one per cent (1e-6 near zero), else -0.5 * min(1, relative error); 0 without a true number, -0.5 without an answer."""
-    got, want = first_answer(response, MATH).try_cast("double"), F.try_to_number(truth, F.lit("S999999999999D999999")).try_cast("double")
-    want = F.coalesce(truth.try_cast("double"), want)
-    error = F.abs(got - want) / F.greatest(F.abs(want), F.lit(1e-6))
-    right = F.when(F.abs(want) < 1e-6, F.abs(got - want) < 1e-6).otherwise(error <= 0.01)
-    return F.when(want.isNull(), 0.0).when(got.isNull(), -0.5).when(right, 1.0).otherwise(F.greatest(F.lit(-0.5), -0.5 * F.least(error, F.lit(1.0))))
+    """1 within less than one per cent (1e-6 near zero), else -0.5 * min(1, relative error); 0 without an answer or where either is no number. Commas in numbers don't count."""
+    got = first_answer(response, MATH).try_cast("double")
+    want = F.replace(truth, F.lit(","), F.lit("")).try_cast("double")
+    off = F.abs(got - want)
+    right = F.when(F.abs(want) < 1e-6, off < 1e-6).otherwise(off / F.abs(want) < 0.01)
+    return F.when(want.isNull() | got.isNull(), 0.0).when(right, 1.0).otherwise(F.greatest(F.lit(-0.5), -0.5 * F.least(off / (F.abs(want) + 1e-8), F.lit(1.0))))
+
+
+# Where the code of an answer stands.
+FENCES = (r"(?s)```python\n(.*?)```", r"(?s)```\n(.*?)```", r"(?s)`(.*?)`")
 
 
 def code_block(response: Column) -> Column:
-    """The python fence, else any fence, else inline code, else the whole answer."""
-    found = [F.nullif(F.regexp_extract(response, p, 1), F.lit("")) for p in (r"(?s)```python\s*(.*?)```", r"(?s)```\s*(.*?)```", r"`([^`]+)`")]
-    return T.strip(F.coalesce(*found, response))
+    """The python fence, else a plain one, else inline code, else the whole answer; a fence may be empty."""
+    out = None
+    for pattern in FENCES:
+        found = F.regexp_extract(response, pattern, 1)
+        out = F.when(response.rlike(pattern), found) if out is None else out.when(response.rlike(pattern), found)
+    return T.strip(out.otherwise(response))
 
 
 @F.pandas_udf(t.BooleanType())
@@ -59,9 +66,9 @@ def valid_json(texts: pd.Series) -> pd.Series:
 
 
 def code_reward(response: Column, stdout: Column, truth: Column) -> Column:
-    """-1 if it doesn't parse; 0.1 without an output to compare; 1 equal, 0.5 contained, else -0.3."""
-    out, want = T.strip(stdout), T.strip(truth)
-    return F.when(~parses(code_block(response)), -1.0).when(stdout.isNull(), 0.1).when(out == want, 1.0).when((out != "") & F.contains(want, out), 0.5).otherwise(-0.3)
+    """-1 without code, -0.5 if it doesn't parse, -0.3 if the run failed (stdout is null); 1 for the true output, 0.5 if either holds the other, else 0.1."""
+    code, out, want = code_block(response), T.strip(stdout), T.strip(F.coalesce(truth, F.lit("")))
+    return F.when(F.coalesce(code, F.lit("")) == "", -1.0).when(~parses(code), -0.5).when(stdout.isNull(), -0.3).when(out == want, 1.0).when(F.contains(want, out) | F.contains(out, want), 0.5).otherwise(0.1)
 
 
 def format_reward(response: Column, kind: Column) -> Column:

@@ -58,6 +58,14 @@ def redact(df, text: str = "text", to: str = "redacted", types: str = "pii_types
     return df
 
 
+def has_pii(text: Column) -> Column:
+    """Whether any of the six kinds occurs."""
+    out = F.lit(False)
+    for _, pattern, _ in PII:
+        out = out | F.coalesce(text.rlike(pattern), F.lit(False))
+    return out
+
+
 def language_allowed(lang: Column, confidence: Column, allowed: tuple[str, ...] = ("en",), least: float = 0.65) -> Column:
     """An unknown language (null) passes, as it does where no detector is there."""
     return lang.isNull() | (lang.isin(*allowed) & (confidence >= least))

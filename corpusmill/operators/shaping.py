@@ -47,7 +47,7 @@ def label_mask(ids: Column, starts: Column, spans: Column) -> Column:
 
 def alpaca(instruction: Column, given: Column, response: Column) -> Column:
     part = lambda name, c: F.concat(F.lit(ALPACA[name][0]), c, F.lit(ALPACA[name][1]))
-    return F.concat(part("instruction", instruction), F.when(F.coalesce(given, F.lit("")) != "", part("input", given)).otherwise(""), F.lit(ALPACA["response"][0]), response)
+    return F.concat(part("instruction", instruction), F.when(F.coalesce(given, F.lit("")) != "", part("input", given)).otherwise(""), part("response", response))
 
 
 def to_messages(df: DataFrame) -> Column:
@@ -64,9 +64,47 @@ def preference_text(prompt: Column, answer: Column) -> Column:
 
 
 def length_batches(df: DataFrame, batch: int, seed: int = 42, key: str = "doc_id", length: str = "n_chars", mega: int = 1000) -> DataFrame:
-    """(key, length, megabatch, batch): hash-shuffled rows in megabatches of mega * batch rows, sorted by length inside. Megabatches are hash buckets, so no global sort is needed."""
+    """(key, length, megabatch, batch): rows in megabatches of about mega * batch rows, sorted by length inside and cut into batches, whose order is shuffled.
+
+    Megabatches are hash buckets, so no global sort is needed. Ties of length go by the key.
+    """
     rows = df.select(key, length)
     buckets = max(1, -(-rows.count() // (mega * batch)))
     rows = rows.withColumn("megabatch", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(buckets)).cast("int"))
-    place = F.row_number().over(Window.partitionBy("megabatch").orderBy(F.desc(length), key)) - 1
-    return rows.withColumn("batch", F.floor(place / batch).cast("int"))
+    place = F.row_number().over(Window.partitionBy("megabatch").orderBy(length, key)) - 1
+    cut = rows.withColumn("_cut", F.floor(place / batch))
+    shuffled = F.dense_rank().over(Window.partitionBy("megabatch").orderBy(F.xxhash64("megabatch", "_cut", F.lit(seed + 1)), "_cut")) - 1
+    return cut.withColumn("batch", shuffled.cast("int")).drop("_cut")
+
+
+def _padded(ids: Column, width: Column, fill: int) -> Column:
+    return F.concat(F.slice(ids, F.lit(1), width), F.array_repeat(F.lit(fill), F.greatest(width - F.size(ids), F.lit(0)))).cast("array<int>")
+
+
+def _width(ids: str, by: str, most: int) -> Column:
+    return F.least(F.max(F.size(ids)).over(Window.partitionBy(by)), F.lit(most))
+
+
+def collate(df: DataFrame, by: str, ids: str = "input_ids", labels: str | None = None, mask: str | None = None, pad: int = 0, most: int = 2048, ignore: int = -100) -> DataFrame:
+    """Rows of token ids made equally long within each batch (a column): as long as the longest, at most `most`. Adds input_ids, labels (the ids where none are given; padded with `ignore`) and attention_mask (ones where none is given; padded with 0)."""
+    width = F.col("_width")
+    told = df.withColumn("_width", _width(ids, by, most))
+    every = F.transform(F.col(ids), lambda _: F.lit(1))
+    made = {"input_ids": _padded(F.col(ids), width, pad), "labels": _padded(F.col(labels or ids), width, ignore), "attention_mask": _padded(F.col(mask) if mask else every, width, 0)}
+    return told.withColumns(made).drop("_width")
+
+
+def collate_preferences(df: DataFrame, by: str, chosen: str = "chosen_input_ids", rejected: str = "rejected_input_ids", pad: int = 0, most: int = 1024) -> DataFrame:
+    """Chosen and rejected ids, each side made equally long within its batch, with attention masks chosen_attention_mask and rejected_attention_mask."""
+    told = df.withColumns({"_chosen": _width(chosen, by, most), "_rejected": _width(rejected, by, most)})
+    ones = lambda c: F.transform(F.col(c), lambda _: F.lit(1))
+    made = {"chosen_input_ids": _padded(F.col(chosen), F.col("_chosen"), pad), "rejected_input_ids": _padded(F.col(rejected), F.col("_rejected"), pad)}
+    made |= {"chosen_attention_mask": _padded(ones(chosen), F.col("_chosen"), 0), "rejected_attention_mask": _padded(ones(rejected), F.col("_rejected"), 0)}
+    return told.withColumns(made).drop("_chosen", "_rejected")
+
+
+def padded_example(ids: Column, starts: Column, spans: Column, most: int = 2048, pad: int = 0) -> Column:
+    """(input_ids, labels, attention_mask) of length `most`: ids cut and padded, labels the ids whose token starts inside a span and -100 elsewhere."""
+    width = F.lit(most)
+    ones = F.transform(ids, lambda _: F.lit(1))
+    return F.struct(_padded(ids, width, pad).alias("input_ids"), _padded(label_mask(ids, starts, spans), width, -100).alias("labels"), _padded(ones, width, 0).alias("attention_mask"))

@@ -28,10 +28,13 @@ def word_frequencies(docs: DataFrame, least: int = 1) -> DataFrame:
 
 
 def pair_frequencies(words: DataFrame) -> DataFrame:
-    """(left, right, freq) of adjacent characters, weighted by the words' frequencies."""
-    chars = F.split("word", "")
-    pairs = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.struct(F.element_at(F.col("c"), i).alias("left"), F.element_at(F.col("c"), i + 1).alias("right")))
-    return words.filter(F.length("word") > 1).withColumn("c", chars).select("freq", F.explode(pairs).alias("p")).groupBy("p.left", "p.right").agg(F.sum("freq").alias("freq"))
+    """(left, right, freq) of adjacent byte symbols, weighted by the words' frequencies."""
+    table = F.array(*(F.lit(c) for c in symbols()))
+    coded = words.withColumn("_hex", F.hex(F.encode("word", "UTF-8"))).withColumn("_n", (F.length("_hex") / 2).cast("int")).filter(F.col("_n") > 1)
+    byte = lambda i: F.element_at(table, F.conv(F.substring(F.col("_hex"), 2 * i - 1, F.lit(2)), 16, 10).cast("int") + 1)
+    parts = coded.select("freq", "_n", F.transform(F.sequence(F.lit(1), F.col("_n")), byte).alias("c"))
+    pairs = F.transform(F.sequence(F.lit(1), F.col("_n") - 1), lambda i: F.struct(F.element_at(F.col("c"), i).alias("left"), F.element_at(F.col("c"), i + 1).alias("right")))
+    return parts.select("freq", F.explode(pairs).alias("p")).groupBy("p.left", "p.right").agg(F.sum("freq").alias("freq"))
 
 
 def symbols() -> list[str]:
@@ -178,6 +181,17 @@ def pad(ids: Column, size: Column, value: int = 0) -> tuple[Column, Column]:
     return F.concat(F.slice(ids, F.lit(1), n), F.array_repeat(F.lit(value), size - n)), F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), size - n))
 
 
+def encode_batch(df: DataFrame, bpe: BPE, by: str, text: str = "text", most: int | None = None, padding: bool = True) -> DataFrame:
+    """Adds input_ids and attention_mask of the texts: cut at `most`, and padded to the longest of their batch (a column)."""
+    ids = bpe.encode(F.col(text))
+    out = df.withColumn("input_ids", F.slice(ids, F.lit(1), F.lit(most)) if most else ids)
+    if not padding:
+        return out
+    out = out.withColumn("_width", F.max(F.size("input_ids")).over(Window.partitionBy(by)))
+    padded, mask = pad(F.col("input_ids"), F.col("_width"), bpe.vocab.get("<pad>", 0))
+    return out.withColumns({"input_ids": padded, "attention_mask": mask}).drop("_width")
+
+
 def clip(ids: Column, most: int = 65535) -> Column:
     return F.transform(ids, lambda i: F.least(i, F.lit(most)))
 

@@ -42,7 +42,7 @@ def compare(spark, c, name):
 
 
 if __name__ == "__main__":
-    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.driver.memory", "6g").getOrCreate()
+    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "6g").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     c = connect()
     for name in sys.argv[1:] or [n for n in entry.queries()]:

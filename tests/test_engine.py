@@ -103,9 +103,19 @@ def test_metrics(spark):
 
 
 def test_rewards(spark):
-    df = spark.createDataFrame([("json", '{"a": 1}', "json", None), ("json", '{"a": 1', "json", None), ("code", "```python\nx = 1\n```", "1", "1"), ("code", "x = (", "1", None), ("math", "the answer is 42", "42", None)], "task string, response string, truth string, stdout string")
-    got = [r[0] for r in df.select(F.when(F.col("task") == "json", rewards.format_reward(F.col("response"), F.col("truth"))).otherwise(rewards.reward(F.col("task"), F.col("response"), F.col("truth"), F.col("stdout")))).collect()]
-    assert got == [1.0, 0.0, 1.0, -1.0, 1.0]
+    fence = "```python\nprint(12)\n```"
+    rows = [
+        ("json", '{"a": 1}', "json", None, 1.0), ("json", '{"a": 1', "json", None, 0.0),
+        ("code", fence, "12", "12\n", 1.0), ("code", fence, "1", "12", 0.5), ("code", fence, "123", "12", 0.5), ("code", fence, "1", "", 0.5), ("code", fence, "7", "12", 0.1),
+        ("code", fence, "7", None, -0.3), ("code", "x = (", "1", "1", -0.5), ("code", "```python\n```", "1", "1", -1.0), ("code", "", "1", "1", -1.0), ("code", "see `x = (\n1)`", "1", "1", 1.0),
+        ("code", "```python x = (```", "1", "1", -1.0),  # no line end, so the first two backticks hold nothing
+        ("math", "the answer is 42", "42", None, 1.0), ("math", "none", "42", None, 0.0), ("math", "the answer is 101", "100", None, -0.005), ("math", "the answer is 100.9", "100", None, 1.0),
+        ("math", "= 0", "0", None, 1.0), ("math", "= 1", "0", None, -0.5), ("math", "= 5", "no", None, 0.0), ("math", "= 1234", "1,234", None, 1.0), ("math", "from 3 to 9", "9", None, 1.0), ("poem", "x", "x", None, 0.0),
+    ]
+    df = spark.createDataFrame(rows, "task string, response string, truth string, stdout string, want double")
+    told = df.select("*", F.when(F.col("task") == "json", rewards.format_reward(F.col("response"), F.col("truth"))).otherwise(rewards.reward(F.col("task"), F.col("response"), F.col("truth"), F.col("stdout"))).alias("got"))
+    for r in told.collect():
+        assert r.got == pytest.approx(r.want), r
 
 
 def test_ratings(spark):
