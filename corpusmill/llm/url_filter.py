@@ -5,6 +5,8 @@ Only SQL functions run on the rows. The trees are fitted on the driver from a bo
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from corpusmill.llm.gbt import BoostedTrees
 
 #: (rule, verdict); a rule is a host and the start of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Labelled rows of each verdict that training may use: those of least hash. Suffixes with statistics of their own.
+#: Labelled rows of each verdict that training may use, one of each hash slot. Suffixes with statistics of their own.
 SAMPLE, SUFFIXES = 2000, 24
 
 
@@ -55,19 +57,23 @@ def _suffixes(host: Column, path: Column) -> dict[str, Column]:
     return {"host_suffix": F.regexp_extract(host, r"([^.]*)$", 1), "file_suffix": F.regexp_extract(path, r"\.([A-Za-z0-9]{1,6})$", 1)}
 
 
+def _ruled(pages: DataFrame, rules, key: str, column: str) -> DataFrame:
+    base = pages.select(F.col(key).cast("long").alias("page_id"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("_url"))
+    host, path = parts(F.col("_url"))
+    base = base.withColumns({"host": host, "path": path})
+    return base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+
+
 def judge(pages: DataFrame, rules=RULES, key: str = "page_id", column: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict and score for every row; a null url or one without `://` has empty parts.
 
     verdict is the rule's, else `block` where the trees say at least one half. Without labelled URLs of both verdicts everything else is allowed.
-    Repeated rows are judged alike.
+    Repeated rows are judged alike, each by its url alone; an empty table gives no rows.
     """
-    base = pages.select(F.col(key).cast("long").alias("page_id"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("_url"))
-    host, path = parts(F.col("_url"))
-    base = base.withColumns({"host": host, "path": path})
-    base = base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    base = _ruled(pages, rules, key, column)
     blocked = F.col("rule").isin([r for r, v in rules if v == "block"])
     told = base.withColumns(_features(F.col("_url"), F.col("host"), F.col("path")) | _suffixes(F.col("host"), F.col("path")))
-    model, rates = _train(base, told, blocked)
+    model, rates, _ = _train(base, blocked)
     if model is None:
         score = F.lit(0.0)
     else:
@@ -84,23 +90,55 @@ def _rate(rates: dict[str, float], suffix: Column) -> Column:
     return F.lit(0.5) if out is None else out.otherwise(0.5)
 
 
-def _train(base: DataFrame, told: DataFrame, blocked: Column) -> tuple[BoostedTrees | None, dict]:
-    order = [F.xxhash64("_url", "page_id"), F.col("_url"), F.col("page_id")]
-    rows, labels = [], []
-    for label in (True, False):
-        # the urls of the sample first, so that features are only made for those
-        mine = told.filter(F.col("rule").isNotNull() & (blocked if label else ~blocked)).orderBy(*order).limit(SAMPLE).collect()
-        rows += mine
-        labels += [float(label)] * len(mine)
-    y = np.array(labels)
+def _sample(base: DataFrame, blocked: Column) -> list:
+    """Labelled URLs with their features: of each of SAMPLE hash slots of each verdict the row with the least hash, so no task and no driver holds more."""
+    hashed = base.filter(F.col("rule").isNotNull()).withColumns({"label": blocked.cast("double"), "h": F.xxhash64("_url")})
+    chosen = hashed.groupBy("label", F.pmod(F.hash("h"), F.lit(SAMPLE)).alias("slot")).agg(F.min(F.struct("h", "_url", "host", "path")).alias("r")).select("label", "r.*")
+    url, host, path = F.col("_url"), F.col("host"), F.col("path")
+    return chosen.select("label", "host", *(c.alias(n) for n, c in (_features(url, host, path) | _suffixes(host, path)).items()), "h").orderBy("label", "h").collect()
+
+
+def _shares(values: list[str], hosts: list[str], y: np.ndarray) -> tuple[np.ndarray, dict[str, float]]:
+    """Smoothed shares of blocked URLs by suffix: for each row those of other hosts alone, so that a host's own label says nothing of it; and for other URLs those of the suffixes that several hosts have."""
+    total: dict[str, list[float]] = {}
+    own: dict[tuple[str, str], list[float]] = {}
+    for v, h, label in zip(values, hosts, y, strict=True):
+        for t in (total.setdefault(v, [0, 0]), own.setdefault((v, h), [0, 0])):
+            t[0] += label
+            t[1] += 1
+    share = lambda blocked, n: (blocked + 5) / (n + 10)
+    rows = [share(total[v][0] - own[v, h][0], total[v][1] - own[v, h][1]) for v, h in zip(values, hosts, strict=True)]
+    several = {v for v in total if len({h for x, h in own if x == v}) > 1}
+    best = sorted(several, key=lambda v: (-total[v][1], v))[:SUFFIXES]
+    return np.array([r if v in best else 0.5 for r, v in zip(rows, values, strict=True)]), {v: share(*total[v]) for v in best}
+
+
+def _train(base: DataFrame, blocked: Column) -> tuple[BoostedTrees | None, dict, dict]:
+    """The trees, the suffix shares, and how often they are right on hosts held out of another fit (a quarter of the hosts; also `always`, the share of the commoner label there)."""
+    rows = _sample(base, blocked)
+    y = np.array([r.label for r in rows])
     if len(np.unique(y)) < 2:
-        return None, {}
-    numeric = [c for c in told.columns if c not in (*base.columns, "host_suffix", "file_suffix")]
-    rates = {}
-    for name in ("host_suffix", "file_suffix"):
-        values = np.array([r[name] for r in rows])
-        kinds, counts = np.unique(values, return_counts=True)
-        # smoothed shares of blocked URLs
-        rates[name] = {str(k): float((y[values == k].sum() + 5) / (n + 10)) for k, n in sorted(zip(kinds, counts, strict=True), key=lambda x: (-x[1], x[0]))[:SUFFIXES]}
-    x = np.array([[*(float(r[c]) for c in numeric), *(rates[c].get(r[c], 0.5) for c in rates)] for r in rows])
-    return BoostedTrees([*numeric, *rates], trees=30).fit(x, y), rates
+        return None, {}, {}
+    numeric = [c for c in rows[0].__fields__ if c not in ("label", "host", "h", "host_suffix", "file_suffix")]
+    hosts = [r.host for r in rows]
+
+    def fitted(at: np.ndarray) -> tuple[BoostedTrees, dict]:
+        mine = [rows[i] for i in at]
+        shares = {c: _shares([r[c] for r in mine], [r.host for r in mine], y[at]) for c in ("host_suffix", "file_suffix")}
+        x = np.array([[*(float(r[c]) for c in numeric), *(shares[c][0][i] for c in shares)] for i, r in enumerate(mine)])
+        return BoostedTrees([*numeric, *shares], trees=30).fit(x, y[at]), {c: s[1] for c, s in shares.items()}
+
+    away = np.array([zlib.crc32(h.encode()) % 4 == 0 for h in hosts])
+    told = {}
+    if away.any() and len(np.unique(y[~away])) == 2:
+        model, rates = fitted(np.flatnonzero(~away))
+        x = np.array([[*(float(r[c]) for c in numeric), *(rates[c].get(r[c], 0.5) for c in rates)] for r in (rows[i] for i in np.flatnonzero(away))])
+        told = {"rows": int(away.sum()), "right": float(((model.score(x) >= 0.5) == (y[away] > 0)).mean()), "always": float(max(y[away].mean(), 1 - y[away].mean()))}
+    model, rates = fitted(np.arange(len(y)))
+    return model, rates, told
+
+
+def held_out_accuracy(pages: DataFrame, rules=RULES, key: str = "page_id", column: str = "url") -> dict:
+    """rows, right and always (see _train) of the rule-labelled URLs of hosts that the trees did not see."""
+    base = _ruled(pages, rules, key, column)
+    return _train(base, F.col("rule").isin([r for r, v in rules if v == "block"]))[2]

@@ -189,18 +189,6 @@ def test_token_files(spark, docs):
     assert [tuple(r)[:4] for r in token_files.read_files(token_files.write_files(df)).orderBy("doc_id").collect()] == want
 
 
-@pytest.mark.parametrize("bounds", [(10**6, 10**6), (60, 10**6), (10**6, 40)])
-def test_word_encoder_equals_the_library(monkeypatch, bounds):
-    monkeypatch.setattr(token_files, "CACHE_PIECES", bounds[0])
-    monkeypatch.setattr(token_files, "CACHE_CHARS", bounds[1])
-    atoms = ["a", "foo", "Don't", "'s", "'ll", " ", "  ", "\n", " \n", "\t", "\r\n", "1", ".", "!!", "é", "ß", "日本", "\x1c", "\x85", "\x00", "<|endoftext|>", "<|endof", "\u3000", "\u200b", "😀", "_"]
-    dice = np.random.default_rng(3)
-    texts = ["", " ", "a ", "a  b", *("".join(dice.choice(atoms, dice.integers(1, 30))) for _ in range(2000))]
-    encoder = token_files.WordEncoder(bpe.tokenizer_path())
-    got = [ids.tolist() for at in range(0, len(texts), 50) for ids in encoder.encode(texts[at : at + 50])]
-    assert got == [encoder.library.encode(t, add_special_tokens=False).ids for t in texts] and encoder.encode([]) == []
-
-
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 3000])
 def test_packed_blocks(n):
     ids = np.random.default_rng(n).integers(0, 50_000, n).astype(np.uint32)
