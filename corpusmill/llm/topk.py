@@ -51,17 +51,21 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products. Floating point and longs are used only where every sum is exact in them; beyond, a product that is no long raises an error."""
+    """Exact integer products. Floating point and longs are used only where every sum is exact in them; beyond, they are Python's integers."""
     most = lambda m: max(-int(m.min(initial=0)), int(m.max(initial=0)))
     bound = most(a) * most(b) * max(1, a.shape[1])
     if bound < 2**52:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     if bound < 2**63:
         return a @ b.T
-    wide = a.astype(object) @ b.astype(object).T
-    if any(not -(2**63) <= s < 2**63 for s in wide.flat):
+    return a.astype(object) @ b.astype(object).T
+
+
+def _longs(scores: np.ndarray) -> np.ndarray:
+    """Products as longs; one that is no long raises an error."""
+    if scores.dtype == object and any(not -(2**63) <= s < 2**63 for s in scores):
         raise OverflowError("a score is too large for a long")
-    return wide.astype(np.int64)
+    return scores.astype(np.int64)
 
 
 def _pivots(sample: np.ndarray, count: int) -> np.ndarray:
@@ -196,9 +200,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
                 score = _products(np.frombuffer(qvecs, np.int64).reshape(len(q), width), np.frombuffer(vecs, np.int64).reshape(len(x), width))
                 parts = []
                 for i, own in enumerate(q):
-                    other = np.flatnonzero((x != own) & (score[i] >= least[i]))
-                    top = other[_best(score[i, other], x[other], k)]
-                    parts.append((np.full(len(top), own), x[top], score[i, top]))
+                    other = np.flatnonzero(x != own)
+                    held = _longs(score[i, other])
+                    other, held = other[held >= least[i]], held[held >= least[i]]
+                    top = _best(held, x[other], k)
+                    parts.append((np.full(len(top), own), x[other][top], held[top]))
                 yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
     # equal queries get equal answers, so a query id asks once
