@@ -53,6 +53,13 @@ def leaderboard(comparisons: DataFrame) -> DataFrame:
     return rated.select(rank.alias("rank"), "model", "elo", "wins", "losses", "ties", (F.col("wins") / F.col("total")).alias("win_rate"), low.alias("low"), high.alias("high"))
 
 
+def model_stats(comparisons: DataFrame, model: str) -> DataFrame:
+    """One row of a model's rating: model, elo, wins, losses, ties, total, win_rate and ci_low, ci_high in per cent; none for an unknown model."""
+    row = leaderboard(comparisons).filter(F.col("model") == model)
+    total = F.col("wins") + F.col("losses") + F.col("ties")
+    return row.select("model", "elo", "wins", "losses", "ties", total.alias("total"), F.round(100 * F.col("win_rate"), 2).alias("win_rate"), F.round(100 * F.col("low"), 1).alias("ci_low"), F.round(100 * F.col("high"), 1).alias("ci_high"))
+
+
 def agreement(comparisons: DataFrame) -> DataFrame:
     """One row: over unordered model pairs with two votes at least, the mean share of the most frequent vote (position-relative)."""
     pair = [F.least("model_a", "model_b").alias("x"), F.greatest("model_a", "model_b").alias("y")]

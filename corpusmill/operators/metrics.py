@@ -96,6 +96,11 @@ def rouge(pairs: DataFrame, key: str = "id") -> DataFrame:
     return whole.agg(*((100 * F.avg(c)).alias(c) for c in ("rouge1", "rouge2", "rougeL")))
 
 
+def generation_report(pairs: DataFrame, key: str = "id") -> DataFrame:
+    """One row over (key, hyp, ref): the columns of bleu_report and of rouge."""
+    return bleu_report(pairs.withColumn("refs", F.array("ref")), key).crossJoin(rouge(pairs, key))  # one row each
+
+
 def perplexity(nll: Column, tokens: Column) -> Column:
     """Aggregate: exp(min(20, sum of NLL / tokens))."""
     return F.exp(F.least(F.sum(nll) / F.sum(tokens), F.lit(20.0)))

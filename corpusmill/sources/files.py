@@ -46,7 +46,7 @@ def read_wet(spark: SparkSession, path: str, language: str | None = None, least:
         for frame in frames:
             for file, content in zip(frame["path"], frame["content"], strict=True):
                 raw = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                rows = [(h.get("WARC-Target-URI", ""), h["_text"].strip(), h.get("WARC-Identified-Content-Language", ""), h.get("WARC-Date", "")) for h in _wet_records(raw) if h.get("WARC-Type") == "conversion"]
+                rows = [(h.get("WARC-Target-URI", ""), h["_text"].strip(), h.get("WARC-Identified-Content-Language", "unknown"), h.get("WARC-Date", "")) for h in _wet_records(raw) if h.get("WARC-Type") == "conversion"]
                 rows = [(*r, file, i) for i, r in enumerate(r for r in rows if (not language or language in r[2]) and len(r[1]) >= least)]
                 yield pd.DataFrame(rows, columns=["url", "text", "language", "timestamp", "warc_file", "n"])
 
@@ -68,6 +68,21 @@ def append_comparisons(df: DataFrame, path: str) -> None:
     df.filter(F.col("winner").isin("a", "b", "tie")).withColumn("comparison_id", F.coalesce("comparison_id", F.uuid())).write.mode("append").json(path)
 
 
+COMPARISON = "comparison_id STRING, prompt STRING, model_a STRING, model_b STRING, response_a STRING, response_b STRING, winner STRING, judge_id STRING, timestamp DOUBLE, metadata MAP<STRING, STRING>"
+
+
+def read_comparisons(spark: SparkSession, path: str) -> DataFrame:
+    """The comparison log; malformed lines and those without models or winner are left out. Replay it in the order of timestamp and comparison_id."""
+    return read_jsonl(spark, path, COMPARISON).filter("model_a IS NOT NULL AND model_b IS NOT NULL AND winner IN ('a', 'b', 'tie')").drop("doc_key", "source_file")
+
+
+def save_leaderboard(board: DataFrame, comparisons: DataFrame, path: str) -> None:
+    """A snapshot: one JSON record of timestamp, leaderboard (rows by rank) and total_comparisons. The board has one row a model."""
+    rows = board.agg(F.sort_array(F.collect_list(F.struct("rank", *(c for c in board.columns if c != "rank")))).alias("leaderboard"))
+    total = comparisons.agg(F.count("*").alias("total_comparisons"))
+    rows.crossJoin(total).select(F.unix_micros(F.current_timestamp()).cast("double").alias("timestamp") / 1e6, "leaderboard", "total_comparisons").toDF("timestamp", "leaderboard", "total_comparisons").write.mode("overwrite").json(path)  # one row each
+
+
 def latest_checkpoints(paths: DataFrame, keep: int) -> DataFrame:
     """The last checkpoints by the step in their name."""
     step = F.regexp_extract("path", r"(\d+)/?$", 1).try_cast("long")

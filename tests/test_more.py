@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import urls
-from corpusmill.operators import dedup, kernels, metrics, shaping, tokens
+from corpusmill.operators import arena, dedup, kernels, metrics, shaping, tokens
 from corpusmill.plans import files as plans
 from corpusmill.plans import pipelines
 from corpusmill.sources import files
@@ -203,3 +203,20 @@ def test_streams(spark, tmp_path):
     q = stateful.dedup_stream(stream).writeStream.format("memory").queryName("once").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.text for r in spark.table("once").collect()) == ["x", "y"]
+
+
+def test_comparison_log_and_snapshot(spark, tmp_path):
+    log = spark.createDataFrame([("1", "x", "y", "a", 1.0), ("2", "x", "y", "a", 2.0), ("3", "y", "x", "tie", 3.0), ("4", None, "x", "a", 4.0)], "comparison_id string, model_a string, model_b string, winner string, timestamp double")
+    files.append_comparisons(log, str(tmp_path / "log"))
+    back = files.read_comparisons(spark, str(tmp_path / "log"))
+    assert back.count() == 3
+    stats = arena.model_stats(back, "x").first()
+    assert (stats.wins, stats.ties, stats.total, stats.win_rate) == (2, 1, 3, 66.67) and arena.model_stats(back, "nobody").count() == 0
+    files.save_leaderboard(arena.leaderboard(back), back, str(tmp_path / "board"))
+    told = spark.read.json(str(tmp_path / "board")).first()
+    assert [r.model for r in told.leaderboard] == ["x", "y"] and told.total_comparisons == 3 and told.timestamp > 1e9
+
+
+def test_generation_report(spark):
+    got = metrics.generation_report(spark.createDataFrame([(1, "a b c d e", "a b c d e")], "id long, hyp string, ref string")).first()
+    assert got.bleu == pytest.approx(100) and got.rouge1 == pytest.approx(100) and got.rougeL == pytest.approx(100)
