@@ -172,18 +172,18 @@ def exact_dedup(spark, sf_dir):
 
 
 _SIGNED = "s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE w END) AS g FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents)), h AS (SELECT doc_id, list_transform(g, lambda x: CAST('0x' || substr(md5(x), 25, 8) AS BIGINT)) AS h FROM s), m AS (SELECT doc_id, list_transform(COEF, lambda c: coalesce(list_min(list_transform(h, lambda x: (x * c[1] + c[2]) % 4294967311)), 4294967295)) AS sig FROM h)"
-_SIGNED = _SIGNED.replace("COEF", "[" + ", ".join(f"[{a}::BIGINT, {b}::BIGINT]" for a, b in dedup.coefficients(16)) + "]")
+_SIGNED = _SIGNED.replace("COEF", "[" + ", ".join(f"[{a}::BIGINT, {b}::BIGINT]" for a, b in dedup.coefficients(128)) + "]")
 
 
 @query(f"WITH {_SIGNED} SELECT doc_id, md5(array_to_string(sig, ',')) AS signature FROM m")
 def minhash_signature(spark, sf_dir):
-    s = dedup.minhash(_read(spark, sf_dir, "documents"), perms=16)
+    s = dedup.minhash(_read(spark, sf_dir, "documents"))
     return s.select("doc_id", F.md5(F.concat_ws(",", F.col("signature").cast("array<string>"))).alias("signature"))
 
 
-@query(f"WITH {_SIGNED}, b AS (SELECT doc_id, i, sig[4 * i + 1:4 * i + 4] AS k FROM m, range(4) t(i)) SELECT DISTINCT x.doc_id AS earlier, y.doc_id AS later FROM b x JOIN b y ON x.i = y.i AND x.k = y.k AND x.doc_id < y.doc_id")
+@query(f"WITH {_SIGNED}, b AS (SELECT doc_id, i, sig[4 * i + 1:4 * i + 4] AS k FROM m, range(32) t(i)) SELECT DISTINCT x.doc_id AS earlier, y.doc_id AS later FROM b x JOIN b y ON x.i = y.i AND x.k = y.k AND x.doc_id < y.doc_id")
 def lsh_candidates(spark, sf_dir):
-    signed = dedup.minhash(_read(spark, sf_dir, "documents").select("doc_id", "text"), perms=16)
+    signed = dedup.minhash(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return dedup.candidate_edges(dedup.bands(signed))
 
 
