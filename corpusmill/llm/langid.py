@@ -23,8 +23,8 @@ ORDER = 3
 PAD = b"\0" * ORDER
 #: Bounds of the training sample: rows of one language, and bytes of one language. Whole rows are taken while the sum stays below, and none of more than an eighth of it.
 ROWS_PER_LANGUAGE, BYTES_PER_LANGUAGE = 512, 1_500_000
-#: Bits a byte of a text in no language: that of uniformly random bytes.
-NO_LANGUAGE = 8.0
+#: Bits a byte of a text in no language: beyond the 8 of random bytes, as a short text with a random key in it may cost a little more than those.
+NO_LANGUAGE = 10.0
 _SLICE = 1 << 18
 _LETTER = regex.compile(r"\p{L}")
 
@@ -217,7 +217,7 @@ def language_stage(docs: DataFrame, least_score: float = 0.5, most_bits: float =
     """Rows in a language that the model knows and is sure of; all columns as they were, whatever their names.
 
     Each row is judged by its own text, so a null or repeated doc_id changes nothing. Texts that are null or have no letter go, as do those
-    without a language of at least the score, and those that cost as many bits a byte as random bytes under the best one: they are in none.
+    without a language of at least the score, and those that cost `most_bits` a byte or more under the best one: they are in none.
     With nothing learned all go; an empty table gives no rows.
     """
     spark = docs.sparkSession
