@@ -144,7 +144,8 @@ class PartEnum:
             # a group with at most cells - chosen differences agrees on a choice; so many groups have more at most
             differ = cells - choices.shape[1]
             broken = (size + partner) * (100 - self.num) // (100 + self.num) // (differ + 1)
-            out.append((made.ravel(), max(1, groups - broken)) if weak > spare else (made[~empty], max(1, groups - broken - weak)))
+            # whoever has more weak groups than `spare` keeps all signatures, but its partner may have left out those of `spare` groups
+            out.append((made.ravel(), max(1, groups - broken - spare)) if weak > spare else (made[~empty], max(1, groups - broken - weak)))
         return out
 
     def signatures(self, h: np.ndarray) -> np.ndarray:

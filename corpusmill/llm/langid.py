@@ -84,6 +84,8 @@ class PPM:
         counts = [self._counts(texts[name]) for name in self.languages]
         width = len(self.languages)
         self.keys = [np.unique(np.concatenate([np.zeros(0, np.uint32), *(c[n][0] for c in counts)])) for n in range(ORDER + 1)]
+        for n in range(ORDER - 1, -1, -1):  # a context is a key itself, also one of padding, which no text's byte ends
+            self.keys[n] = np.unique(np.concatenate([self.keys[n], self.keys[n + 1] >> np.uint32(8)]))
         self.bits = [np.zeros((len(k) + 1, width), np.float32) for k in self.keys]
         #: escape[n][row]: what leaving a context of n bytes costs; its last row stands for an unseen context.
         self.escape = [np.zeros((1 if n == 0 else len(self.keys[n - 1]) + 1, width), np.float32) for n in range(ORDER + 1)]
