@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, decontam, jaccard_join, langid, pii, sharding, token_files, topk, url_filter, warc
+from corpusmill.llm import bpe, decontam, jaccard_join, langid, pii, sharding, snapshot_diff, token_files, topk, url_filter, warc
 from corpusmill.llm.common import table
 
 
@@ -56,7 +56,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_pii, op4_top_k, op5_bpe, op6_warc, op7_url_filter, op8_token_files, op9_sharding, op10_decontamination)}
+def op13_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return snapshot_diff.difference(docs, snapshot_diff.later_snapshot(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_pii, op4_top_k, op5_bpe, op6_warc, op7_url_filter, op8_token_files, op9_sharding, op10_decontamination, op13_snapshot_diff)}
 
 #: The others have no SQL: a trained model, a tokenizer or a file format decides; tests hold them against brute force.
 ORACLE_SQL = {
@@ -69,4 +74,24 @@ ORACLE_SQL = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
         ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op13_snapshot_diff": """
+        WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+        ), d AS (
+            SELECT doc_id, text, lang, source, xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 25 AS r
+            FROM documents, t
+        ), l AS (
+            SELECT CASE WHEN r IN (3, 4) THEN -1 - doc_id ELSE doc_id END AS doc_id, CASE WHEN r = 1 THEN coalesce(text, '') || '+' ELSE text END AS text,
+                CASE WHEN r = 2 THEN source ELSE lang END AS lang, CASE r WHEN 2 THEN lang WHEN 4 THEN NULL ELSE source END AS source
+            FROM d WHERE r <> 0
+            UNION ALL SELECT -1 - doc_id, text, lang, source FROM d WHERE r = 5
+        ), a AS (SELECT *, row_number() OVER (PARTITION BY text, lang ORDER BY doc_id) AS i FROM d WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.doc_id = d.doc_id)
+        ), b AS (SELECT *, row_number() OVER (PARTITION BY text, lang ORDER BY doc_id DESC) AS i FROM l WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.doc_id = l.doc_id)
+        ), p AS (
+            SELECT d.doc_id AS old_key, l.doc_id AS new_key, d.text AS t1, d.lang AS l1, d.source AS s1, l.text, l.lang, l.source FROM d JOIN l ON d.doc_id = l.doc_id
+            UNION ALL SELECT a.doc_id, b.doc_id, a.text, a.lang, a.source, b.text, b.lang, b.source FROM a FULL JOIN b ON a.text IS NOT DISTINCT FROM b.text AND a.lang IS NOT DISTINCT FROM b.lang AND a.i = b.i
+        ), c AS (
+            SELECT *, CASE WHEN old_key IS NULL OR new_key IS NULL THEN '' ELSE concat_ws(',', CASE WHEN t1 IS DISTINCT FROM text THEN 'text' END, CASE WHEN l1 IS DISTINCT FROM lang THEN 'lang' END, CASE WHEN s1 IS DISTINCT FROM source THEN 'source' END) END AS changed FROM p
+        )
+        SELECT coalesce(new_key, old_key) AS key, old_key, CASE WHEN old_key IS NULL THEN 'insert' WHEN new_key IS NULL THEN 'delete' WHEN old_key <> new_key THEN 'rekey' WHEN changed = '' THEN 'same' ELSE 'update' END AS op, changed,
+            CASE WHEN new_key IS NOT NULL THEN sha256(coalesce(text, '~') || chr(10) || coalesce(lang, '~') || chr(10) || coalesce(source, '~')) END AS row_sha256 FROM c""",
 }
