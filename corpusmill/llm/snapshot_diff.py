@@ -10,12 +10,13 @@ neighbours of different sides are pairs.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import Scratch, anti_join, quoted, semi_join
@@ -35,6 +36,18 @@ def _coded(rows: DataFrame, side: int, key: str, content: tuple[str, ...], compa
     return rows.select(F.lit(side).alias("side"), F.col(quoted(key)).cast("long").alias("key"), *(code(c, 1).alias(f"x{i}") for i, c in enumerate(compared)), of(2).alias("c1"), of(3).alias("c2"), sha.alias("sha"))
 
 
+@contextlib.contextmanager
+def _samples(spark: SparkSession, rows: int):
+    """For the actions inside, about so many sampled rows a range tell where ranges are cut; they go to the driver."""
+    key = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _ranked(rows: DataFrame, scratch: Scratch, name: str, group: list[str], order: list[Column]) -> DataFrame:
     """Adds place, from 0, of each row within its group in the order; rows come from a written table. No group meets in one task."""
     spark, count = rows.sparkSession, rows.count()
@@ -63,7 +76,8 @@ def _ranked(rows: DataFrame, scratch: Scratch, name: str, group: list[str], orde
             head, held, last = bool(first[-1]), int(place[-1]) + 1, g[:, -1]
 
     shape = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, place long, head boolean, part int"
-    local = scratch.write(name, dealt.mapInArrow(places, shape))
+    with _samples(spark, 20):
+        local = scratch.write(name, dealt.mapInArrow(places, shape))
     # of each range the first and the last group and how many rows they have there: one short row a range, whatever the table
     run = F.struct(*group)
     ends = local.groupBy("part").agg(F.min(run).alias("first"), F.max(run).alias("last"), F.max(F.struct(*group, "place"))["place"].alias("end"))
@@ -106,7 +120,7 @@ def difference(before: DataFrame, after: DataFrame, key: str = "doc_id", content
     """key (the later, else the earlier), old_key, op, changed and row_sha256 of each pair and each row without a partner.
 
     Rows with equal keys pair (`same`, or `update` where a compared column differs); where a key repeats, the i-th of its rows on either
-    side do, in the order of their columns' codes. A null key is equal to none. Of the rest, rows with equal content columns pair (`rekey`),
+    side do, in the order of a code of their columns. A null key is equal to none. Of the rest, rows with equal content columns pair (`rekey`),
     the i-th smallest earlier key with the i-th largest later one, a null being the smallest. What remains is `insert` or `delete`. Nulls
     equal only nulls. changed lists a pair's differing columns in the order given. row_sha256 is of the later row's compared columns,
     joined by line feeds, a null as `~`; null for deletes. Equal rows are exchangeable. Empty tables pair nothing; other columns, whatever their
@@ -117,13 +131,13 @@ def difference(before: DataFrame, after: DataFrame, key: str = "doc_id", content
     args = (key, tuple(content), tuple(compared))
     rows = scratch.write("coded", _coded(before, 0, *args).unionByName(_coded(after, 1, *args)))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
-    codes = [F.col(f"x{i}") for i in range(width)] + [F.col("c1"), F.col("c2")]
+    code = F.xxhash64(*(f"x{i}" for i in range(width)), "c1", "c2")
     names = rows.columns
     keyed = rows.filter("key IS NOT NULL")
     repeated = scratch.write("repeated", keyed.groupBy("key", "side").agg(F.count("*").alias("c")).filter("c > 1").select("key").distinct())
     if repeated.limit(1).count():
         again = scratch.write("again", semi_join(keyed, repeated, "key", "key"))
-        again = _ranked(again, scratch, "turns", ["key", "side"], codes)
+        again = _ranked(again, scratch, "turns", ["key", "side"], [code])
         keyed = anti_join(keyed, repeated, "key", "key").withColumn("place", F.lit(0).cast("long")).unionByName(again)
     else:
         keyed = keyed.withColumn("place", F.lit(0).cast("long"))
@@ -163,7 +177,7 @@ def difference(before: DataFrame, after: DataFrame, key: str = "doc_id", content
     older = F.col("side") == 0
     known = F.when(older, F.col("key").isNotNull()).otherwise(F.col("key").isNull()).cast("int")
     value = F.coalesce("key", F.lit(0))
-    placed = _ranked(left, scratch, "places", ["c1", "c2", "side"], [known, F.when(older, value).otherwise(F.bitwise_not(value)), *codes])
+    placed = _ranked(left, scratch, "places", ["c1", "c2", "side"], [known, F.when(older, value).otherwise(F.bitwise_not(value)), code])
 
     def couple(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = list(batches)
