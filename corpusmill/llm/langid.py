@@ -23,8 +23,10 @@ ORDER = 3
 PAD = b"\0" * ORDER
 #: Bounds of the training sample: rows of one language, and bytes of one language. Whole rows are taken while the sum stays below, and none of more than an eighth of it.
 ROWS_PER_LANGUAGE, BYTES_PER_LANGUAGE = 512, 1_500_000
-#: Bits a byte of a text in no language: beyond the 8 of random bytes, as a short text with a random key in it may cost a little more than those.
-NO_LANGUAGE = 10.0
+#: The typical word of a text in a learned language costs at most so many times the bits a byte that all but one in a thousand of the labelled rows not learned from do.
+SLACK = 2.25
+#: With fewer such rows, the bits a byte beyond which a text is in no language: more than the 8 of random bytes.
+LEAST_HELD, NO_LANGUAGE = 100, 10.0
 _SLICE = 1 << 18
 _LETTER = regex.compile(r"\p{L}")
 
@@ -107,6 +109,8 @@ class PPM:
                 self.escape[n][:contexts, j] = -np.log2(scale)
                 self.bits[n][: len(keys), j] = -np.log2(here)
                 below = here
+        #: Bits a byte of a typical word beyond which a text is in none of the languages.
+        self.most_bits = NO_LANGUAGE
         self._tables: list[_Grams] | None = None
 
     @staticmethod
@@ -140,16 +144,46 @@ class PPM:
         return out
 
     def totals(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of each whole text under each language. Long texts go through in slices that overlap by the context."""
+        """Bits of each whole text under each language."""
+        return self._measured(texts, False)[0]
+
+    def rated(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """totals(), and the bits a byte of each text's median word under its best language (words of one byte count if there are no others)."""
+        return self._measured(texts, True)
+
+    def _measured(self, texts: list[bytes], words: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Long texts go through in slices that overlap by the context."""
         joined = np.frombuffer(PAD + PAD.join(texts) + PAD, np.uint8)
         size = np.array([len(t) for t in texts], np.int64)
         start = np.cumsum(size + ORDER) - size - ORDER
         total = np.zeros((len(texts), len(self.languages)))
+        inside = joined[ORDER:] > 32
+        begins = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]])) if words else np.zeros(0, np.int64)
+        cost = np.zeros((len(begins), len(self.languages)))
         for low in range(0, len(joined) - ORDER, _SLICE):
             bits = self.code_lengths(joined[low : low + _SLICE + ORDER])
             upto = np.vstack([np.zeros((1, bits.shape[1])), np.cumsum(bits, axis=0, dtype=np.float64)])
             total += upto[np.clip(start + size - low, 0, len(bits))] - upto[np.clip(start - low, 0, len(bits))]
-        return total
+            if words:
+                own = np.flatnonzero(inside[low : low + len(bits)])
+                word = np.searchsorted(begins, own + low, side="right") - 1
+                first = int(word[0]) if len(word) else 0
+                for k in range(cost.shape[1]) if len(word) else ():
+                    sums = np.bincount(word - first, bits[own, k])
+                    cost[first : first + len(sums), k] += sums
+        typical = np.zeros(len(texts))
+        if len(begins):
+            ends = np.flatnonzero(inside & ~np.concatenate([inside[1:], [False]])) + 1
+            text = np.searchsorted(start, begins, side="right") - 1
+            rate = cost[np.arange(len(begins)), total.argmin(axis=1)[text]] / (ends - begins)
+            short = ends - begins < 2
+            fine = ~short | (np.bincount(text, ~short, len(texts)) == 0)[text]
+            text, rate = text[fine], rate[fine]
+            order = np.lexsort((rate, text))
+            count = np.bincount(text, minlength=len(texts))
+            some = np.flatnonzero(count)
+            typical[some] = rate[order][(np.cumsum(count) - count)[some] + (count[some] - 1) // 2]
+        return total, typical
 
 
 def held_out(doc_id: Column) -> Column:
@@ -158,39 +192,48 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, size: int = BYTES_PER_LANGUAGE, learn: Column | None = None) -> PPM:
-    """Fit on at most `rows` rows and about `size` bytes of each language: of each of `rows` hash slots the row with the least hash among those of at most size / 8 bytes.
+    """Fit on at most `rows` rows and `size` bytes of each language: of each of `rows` hash slots the row with the least hash among those of at most size / 8 bytes.
 
-    Only ids and labels are read to choose the rows; their texts are fetched by a join with the chosen keys. learn: the rows that may be used, by doc_id, text or lang.
+    most_bits is set by the rows with the largest hash of those slots, within the same bounds, where these are others. Only ids, labels and sizes are read to choose the
+    rows, and no more than the chosen ones' hashes and sizes, then their texts, go to the driver. learn: the rows that may be used, by doc_id, text or lang.
     """
     labelled = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= size // 8) & (F.lit(True) if learn is None else learn))
     keyed = usable.withColumn("h", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     keyed = keyed.withColumn("s", F.pmod(F.hash(F.col("h")), F.lit(rows)))
-    chosen = keyed.groupBy("lang", "s").agg(F.min("h").alias("h")).cache()
-    try:
-        picked = keyed.join(F.broadcast(chosen), ["lang", "s", "h"]).groupBy("lang", "s").agg(F.min("text").alias("text")).collect()
-    finally:
-        chosen.unpersist()
+    row = F.struct("h", F.octet_length("text").alias("n"))
+    chosen, held = [], {}
+    for r in sorted(keyed.groupBy("lang", "s").agg(F.min(row).alias("a"), F.max(row).alias("b")).collect(), key=lambda r: (r.lang, r.s)):
+        for use, x in enumerate((r.a, r.b)):
+            before = held.get((r.lang, use), 0)
+            if before + x.n <= size and (use == 0 or x.h != r.a.h):
+                held[r.lang, use] = before + x.n
+                chosen.append((r.lang, r.s, x.h, use))
+    wanted = docs.sparkSession.createDataFrame(chosen, "lang string, s int, h long, use int")
+    picked = keyed.join(F.broadcast(wanted), ["lang", "s", "h"]).groupBy("lang", "s", "use").agg(F.min("text").alias("text")).collect() if chosen else []
     texts: dict[str, list[bytes]] = {}
+    others: dict[str, list[bytes]] = {}
     for r in sorted(picked, key=lambda r: (r.lang, r.s)):
-        own = texts.setdefault(r.lang, [])
-        if not own or sum(map(len, own)) < size:
-            own.append(r.text.encode("utf-8", "replace"))
-    return PPM(texts)
+        (others if r.use else texts).setdefault(r.lang, []).append(r.text.encode("utf-8", "replace"))
+    model = PPM(texts)
+    told = [model.rated(own)[1] for own in others.values()]
+    if sum(map(len, told)) >= LEAST_HELD:
+        model.most_bits = SLACK * max(float(np.quantile(t, 0.999)) for t in told)
+    return model
 
 
-def _judged(ppm: PPM, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, score and bits a byte of each text."""
+def _judged(ppm: PPM, texts: list[str | None], words: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and bits a byte of each text, or of its median word."""
     known = [bool(t) and bool(ppm.languages) and _LETTER.search(t) is not None for t in texts]
     coded = [t.encode("utf-8", "replace") for t, ok in zip(texts, known, strict=True) if ok]
     names, score, rate = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     if coded:
-        total = ppm.totals(coded)
+        total, typical = ppm.rated(coded) if words else (ppm.totals(coded), None)
         best = total.argmin(axis=1)
         at = np.flatnonzero(known)
         least = total[np.arange(len(coded)), best]
         score[at] = 1 / np.exp2(np.maximum(least[:, None] - total, -1000)).sum(axis=1)
-        rate[at] = least / [len(c) for c in coded]
+        rate[at] = typical if words else least / [len(c) for c in coded]
         for i, b in zip(at, best, strict=True):
             names[i] = ppm.languages[b]
     return names, score, rate
@@ -215,12 +258,13 @@ def identify(docs: DataFrame, model: PPM) -> DataFrame:
     return rows.mapInArrow(predict, "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
-def language_stage(docs: DataFrame, least_score: float = 0.5, most_bits: float = NO_LANGUAGE) -> DataFrame:
+def language_stage(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """Rows in a language that the model knows and is sure of; all columns as they were, whatever their names.
 
     Each row is judged by its own text, so a null or repeated doc_id changes nothing. Texts that are null or have no letter go, as do those
-    without a language of at least the score, and those that cost `most_bits` a byte or more under the best one: they are in none.
-    With nothing learned all go; an empty table gives no rows.
+    without a language of at least the score, and those whose median word costs more bits a byte under the best one than the model's most_bits,
+    which labelled rows that it did not learn from set: they are in none. A few keys or numbers in a short text do not move the median; languages
+    that share most of their spelling with a learned one stay. With nothing learned all go; an empty table gives no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -228,8 +272,8 @@ def language_stage(docs: DataFrame, least_score: float = 0.5, most_bits: float =
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, score, rate = _judged(shared.value, batch.column(at).to_pylist())
-            fine = (np.array(names, object) != "und") & (score >= least_score) & (rate < most_bits)
+            names, score, rate = _judged(shared.value, batch.column(at).to_pylist(), words=True)
+            fine = (np.array(names, object) != "und") & (score >= least_score) & (rate <= shared.value.most_bits)
             yield batch.filter(pa.array(fine, pa.bool_()))
 
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # any name will do outside

@@ -75,6 +75,33 @@ def test_texts_in_no_learned_language_go(spark):
     assert {i for i, _ in _kept(langid.language_stage, spark, rows)} == set(range(30))
 
 
+def test_the_bound_of_the_language_stage_comes_from_rows_not_learned_from(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = langid.train(docs)
+    assert model.most_bits < langid.NO_LANGUAGE
+    said = {
+        "en": "The girl bought fresh bread at the market near the old church and then walked home with her friend", "keys": "token = b64b244acde2e3b0aa8f051af1ec018ebaba3add and of the house",
+        "nl": "Het meisje heeft vers brood gekocht op de markt bij de oude kerk en liep daarna met haar vriendin naar huis", "pl": "Dziewczyna kupiła świeży chleb na targu w pobliżu starego kościoła, a potem poszła do domu",
+        "ru": "съешь ещё этих мягких французских булок да выпей чаю", "ja": "明日は雨が降るでしょう", "null": None, "": "", "words": "x" * 300_000,
+    }
+    rates = dict(zip(said, langid._judged(model, list(said.values()), words=True)[2], strict=True))
+    assert all(rates[k] <= model.most_bits for k in ("en", "keys")) and all(rates[k] > model.most_bits for k in ("nl", "pl", "ru", "ja"))
+    slow = langid._judged(model, ["a bb ccc. " * 40_000, "é"], words=True)
+    assert slow[0][0] != "und" and len(slow[2]) == 2 and rates["null"] == rates[""] == 0
+
+
+def test_words_cost_what_their_bytes_cost():
+    model = langid.PPM({"x": [b"the cat sat on the mat"], "y": [b"der hund"]})
+    texts = [b"the hat  a dog\n", b"", b" ", b"a", b"der" * 5]
+    totals, typical = model.rated(texts)
+    assert np.allclose(totals, model.totals(texts))
+    for t, total, got in zip(texts, totals, typical, strict=True):
+        bits = model.code_lengths(np.frombuffer(langid.PAD + t, np.uint8))[:, total.argmin()] if t else np.zeros(0)
+        words = [m.span() for m in re.finditer(rb"[^\x00-\x20]+", t)]
+        rates = sorted(float(bits[a:b].sum()) / (b - a) for a, b in [w for w in words if w[1] - w[0] > 1] or words)
+        assert got == pytest.approx(rates[(len(rates) - 1) // 2] if rates else 0, rel=1e-5)
+
+
 def test_ppm_equals_a_naive_one():
     texts = {"x": [b"the cat sat on the mat", b"the hat"], "y": [b"der hund und die katze"]}
     model = langid.PPM(texts)
@@ -213,7 +240,7 @@ def _naive_leaks(items: dict[int, str], text: str) -> set[int]:
     said, out = tokens(text), set()
     for item, t in items.items():
         own = tokens(t)
-        if not any(kind(own, i, 0) in ("word", "name") for i in range(len(own))):
+        if len(own) < decontam.WINDOW and not any(kind(own, i, 0) in ("word", "name") for i in range(len(own))):
             continue
         size = min(decontam.WINDOW, len(own))
         theirs = [r for at in range(len(own) - size + 1) for r in readings(own, at, size)]
@@ -232,11 +259,15 @@ def test_decontamination_equals_plain_loops(spark):
     for t in list(benchmark.values())[:12]:
         words = t.split()
         texts += [t, "x " + t + " y", re.sub(r"\d+", lambda m: str(int(m.group()) % 1000 + 3), t), " ".join(dice.permutation(words)), " ".join(words[: len(words) // 2])]
-    texts += ["no number 5 km 7 kg at all", None, ""]
+    texts += ["no number 5 km 7 kg at all", None, "", "so 1 1 2 3 5 8 13 21 34 55 89 144 km and on", "1 1 2 3 5 8 13 21 34 99 is none", "12 km"]
+    benchmark |= {9001: "1 1 2 3 5 8 13 21 34 55 89", 9002: "12 km"}
+    items = spark.createDataFrame(list(benchmark.items()), "item_id long, text string")
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: set(r.item_ids) for r in decontam.contaminated(df, table(spark, SF, "benchmark")).collect()}
+    got = {r.doc_id: set(r.item_ids) for r in decontam.contaminated(df, items).collect()}
     want = {i: found for i, t in enumerate(texts) if (found := _naive_leaks(benchmark, t))}
-    assert got == want
+    assert got == want and any(9001 in found for found in got.values()) and not any(9002 in found for found in got.values())
+    with pytest.raises(ValueError, match="tokens"):
+        decontam.contaminated(df, items, 257)
 
 
 def test_pieces_forget_and_stay_right(monkeypatch):
