@@ -36,7 +36,7 @@ CANDIDATES = {
     "card": r"(?<![0-9])(?:[0-9]{12,19}+|[0-9]{3,6}(?:[ ./-][0-9]{2,6}+){2,4}+)(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+|00)?[0-9]{0,3}[ .-]?\(?[0-9]{2,5}\)?[ ./-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])",
 }
-_MAY_BE = {"email": r"(?i)[\[({ ]at[\])} ]|@", "ip": r"[0-9] ?[\[(]?\. ?", "card": r"[0-9](?:[ ./-]?[0-9]){8}", "phone": r"[0-9]\)?[ ./-][0-9]{3}"}
+_MAY_BE = {"email": r"(?i)[\[({ ]at[\])} ]|@", "ip": r"[0-9] ?[\[(]?\. ?", "card": r"[0-9](?:[ ./-]?[0-9]){6}", "phone": r"[0-9]\)?[ ./-][0-9]{3}"}
 #: Characters of context before and after a candidate.
 BEFORE, AFTER = 40, 12
 # Words before a span that speak for a kind of it, or against any.
