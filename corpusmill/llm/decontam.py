@@ -111,10 +111,10 @@ def _rows(ids: pa.Array, found) -> pa.RecordBatch:
 _SCHEMA = "hash long, pos long, size long, slots array<string>"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:  # window: at most 256
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row for each document that holds a benchmark window: doc_id, n_items, n_windows (long) and the sorted item_ids.
 
-    Null or empty texts on either side match nothing; an item without words (numbers and units only) matches nothing; number-dense windows of other items match literally; equal items are all reported.
+    Null or empty texts on either side match nothing; an item of fewer tokens than a window that are all numbers and units matches nothing, as any text may hold them; other number-dense windows match literally; equal items are all reported.
     Repeated doc_ids count as one document, null doc_ids as one as well. Empty tables give no rows.
     """
     found = _consistent(docs, benchmark, window, F.col("doc_id").cast("long"), "long")
@@ -124,6 +124,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
 def _consistent(docs: DataFrame, benchmark: DataFrame, window: int, key: Column, key_type: str) -> DataFrame:
     """id (the key), pos and item_id of each window of a document that is one of an item with its slots consistent."""
+    if not 0 < window <= len(_FACTORS):
+        raise ValueError(f"a window has 1 to {len(_FACTORS)} tokens")
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "decontam")
@@ -135,7 +137,7 @@ def _consistent(docs: DataFrame, benchmark: DataFrame, window: int, key: Column,
                 tokens = _TOKENS.findall(text or "")
                 size = min(window, len(tokens))
                 every = np.full(_BITMAP, -1, np.int64).view(_U)
-                worded = any(_KNOWN[t] & 3 in (_WORD, _NAME) for t in tokens)
+                worded = len(tokens) >= window or any(_KNOWN[t] & 3 in (_WORD, _NAME) for t in tokens)
                 found.append([w for w in template_windows(text, size, every, literal=worded) if w[2] == size] if tokens else [])
             yield _rows(batch.column(0), found)
 
