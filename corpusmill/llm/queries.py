@@ -44,7 +44,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_files(table(spark, sf_dir, "documents"))
-    return token_files.read_files(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_files.read_files(manifest, ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

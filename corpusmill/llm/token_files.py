@@ -7,6 +7,8 @@ high bits). The header has the documents' ids and sizes and the start of every b
 
 from __future__ import annotations
 
+import functools
+import os
 import struct
 import uuid
 import zlib
@@ -16,11 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from corpusmill.llm.bpe import encoder, tokenizer_path
+from corpusmill.llm.bpe import tokenizer_path
 from corpusmill.llm.common import Scratch, bounded_batches
 from corpusmill.llm.files import Reader, make_folder, put
-from corpusmill.llm.pieces import text_bytes
+from corpusmill.llm.pieces import PieceTable, text_bytes
 
 BLOCK, PERCENTILE = 128, 95
 #: A file is closed beyond so many ids.
@@ -28,6 +31,22 @@ FILE_IDS = 1_000_000
 _MAGIC = b"PFOR0001"
 
 
+@functools.lru_cache(maxsize=2)
+def library_table(path: str) -> PieceTable:
+    """Texts encoded by the tokenizers library: it is asked once for all new pieces of a batch, whose ids are then kept."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks fill the cores
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+
+    def learn(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in library.encode_batch_fast([p.decode("utf-8") for p in new], add_special_tokens=False)]
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for own in ids for i in own), np.uint32, int(length.sum())), length
+
+    return PieceTable(learn)
+
+
 def _places(width: int) -> Iterator[tuple[int, int, int]]:
     """Of each of a block's values: its place, the 64-bit word where its bits begin, and the first bit there."""
     return ((i, i * width >> 6, i * width & 63) for i in range(BLOCK))
@@ -136,7 +155,7 @@ def write_files(docs: DataFrame, path: str | None = None, end_id: int = 2) -> Da
     rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").withColumn("part", F.spark_partition_id())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, seq, held, size = encoder(file), 0, [], 0
+        library, seq, held, size = library_table(file), 0, [], 0
 
         def close(part: int) -> pa.RecordBatch:
             doc_ids, null, sizes, ids = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -151,7 +170,7 @@ def write_files(docs: DataFrame, path: str | None = None, end_id: int = 2) -> Da
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, at = bpe.encode_bytes(*text_bytes(batch.column(1)))
+            ids, at = library.encode(*text_bytes(batch.column(1)))
             part, doc_ids = batch.column(2)[0].as_py(), batch.column(0)
             held.append((np.array(doc_ids.fill_null(0)), np.array(doc_ids.is_null()), np.diff(at) + 1, np.insert(ids, at[1:], np.uint32(end_id))))
             size += len(held[-1][3])
@@ -173,10 +192,12 @@ def write_files(docs: DataFrame, path: str | None = None, end_id: int = 2) -> Da
     return manifest.join(F.broadcast(base), "part").select("path", "part", "seq", first, "docs", "ids")
 
 
-def read_files(manifest: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens, ids_crc32 and ids of each document, from the files alone and their places in the manifest."""
+def read_files(manifest: DataFrame, ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens, ids_crc32 and, if wanted, ids of each document, from the files alone and their places in the manifest."""
     spark = manifest.sparkSession
 
+    want = ids
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -192,9 +213,10 @@ def read_files(manifest: DataFrame) -> DataFrame:
                 for low in range(0, n, 500):
                     own = range(low, min(n, low + 500))
                     lists = [ids[at[i] : at[i] + sizes[i]] for i in own]
-                    values = ([None if null[i] else int(doc_ids[i]) for i in own], [first + int(at[i]) for i in own], [int(sizes[i]) for i in own], [zlib.crc32(x.astype("<u4").tobytes()) for x in lists], [x.astype(np.int32) for x in lists])
+                    values = ([None if null[i] else int(doc_ids[i]) for i in own], [first + int(at[i]) for i in own], [int(sizes[i]) for i in own], [zlib.crc32(x.astype("<u4").tobytes()) for x in lists], [x.astype(np.int32) if want else None for x in lists])
                     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     spread_out = manifest.select("path", "first").repartition(max(2, min(10_000, spark.sparkContext.defaultParallelism * 2)))
-    return spread_out.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    found = spread_out.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return found if ids else found.drop("ids")
