@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.functions import urls
-from corpusmill.operators import arena, dedup, kernels, metrics, quality, rewards, safety, shaping, tokens
-from corpusmill.plans import files, pipelines
+from corpusmill.operators import arena, dedup, kernels, language, metrics, quality, rewards, safety, shaping, tokens
+from corpusmill.plans import examples, files, pipelines
+from corpusmill.sources import files as source_files
+from corpusmill.sources import shared, wet
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -298,7 +300,7 @@ def pair_freq(spark, sf_dir):
 
 
 def _trained(spark, sf_dir) -> tokens.BPE:
-    return tokens.BPE.train(_read(spark, sf_dir, "documents"), 600, 2)
+    return tokens.BPE.train(_read(spark, sf_dir, "documents"), 50257, 2)
 
 
 @query()
@@ -314,9 +316,19 @@ def bpe_encode(spark, sf_dir):
     return ids.select("doc_id", F.size("ids").alias("n"), (b.decode_column(F.col("ids")) == F.col("text")).alias("round_trip"))
 
 
-@query("WITH RECURSIVE d AS (SELECT doc_id, n_chars AS n, row_number() OVER (ORDER BY doc_id) AS i FROM documents), f AS (SELECT i, doc_id, n, 0 AS shard_id, n AS held FROM d WHERE i = 1 UNION ALL SELECT d.i, d.doc_id, d.n, CASE WHEN f.held >= 50000 THEN f.shard_id + 1 ELSE f.shard_id END, CASE WHEN f.held >= 50000 THEN d.n ELSE f.held + d.n END FROM f JOIN d ON d.i = f.i + 1) SELECT doc_id, n, shard_id FROM f")
+#: Token ids of a tokenizer without merges: the byte after four specials; an end token (3) closes a document. Texts under ten characters are not tokenized.
+_BYTES = "list_transform(range(1, strlen(text) + 1), lambda i: 4 + CAST('0x' || substr(h, 2 * i - 1, 2) AS INT))"
+_IDS = f"t AS (SELECT doc_id, list_append({_BYTES}, 3) AS ids FROM (SELECT doc_id, text, hex(encode(text)) AS h FROM documents WHERE length(text) >= 10))"
+
+
+def _tokenized(spark, sf_dir) -> DataFrame:
+    return files.encoded(_read(spark, sf_dir, "documents"), tokens.BPE.of_bytes())
+
+
+@query("WITH RECURSIVE d AS (SELECT doc_id, strlen(text) + 1 AS n, row_number() OVER (ORDER BY doc_id) AS i FROM documents WHERE length(text) >= 10), f AS (SELECT i, doc_id, n, 0 AS shard_id, n AS held FROM d WHERE i = 1 UNION ALL SELECT d.i, d.doc_id, d.n, CASE WHEN f.held >= 50000 THEN f.shard_id + 1 ELSE f.shard_id END, CASE WHEN f.held >= 50000 THEN d.n ELSE f.held + d.n END FROM f JOIN d ON d.i = f.i + 1) SELECT doc_id, n, shard_id FROM f")
 def token_shards(spark, sf_dir):
-    return tokens.assign_shards(_read(spark, sf_dir, "documents").withColumn("n", F.col("n_chars")), 50_000)
+    _checkpoints(spark)
+    return tokens.assign_shards(_tokenized(spark, sf_dir), 50_000)
 
 
 @query()
@@ -324,12 +336,93 @@ def shard_split(spark, sf_dir):
     return tokens.split_shards(token_shards(spark, sf_dir).groupBy("shard_id").agg(F.sum("n").alias("tokens")))
 
 
-@query("WITH d AS (SELECT doc_id, list_transform(string_split(text, ''), lambda c: unicode(c)) AS ids FROM documents), w AS (SELECT doc_id, ids, unnest(range((len(ids) - 1) // 128)) AS w FROM d) SELECT doc_id, w, md5(array_to_string(ids[w * 128 + 1:w * 128 + 128], ',')) AS inputs, md5(array_to_string(ids[w * 128 + 2:w * 128 + 129], ',')) AS labels FROM w")
+@query(f"WITH {_IDS}, w AS (SELECT doc_id, ids, unnest(range((len(ids) - 1) // 128)) AS w FROM t) SELECT doc_id, w, md5(array_to_string(ids[w * 128 + 1:w * 128 + 128], ',')) AS inputs, md5(array_to_string(ids[w * 128 + 2:w * 128 + 129], ',')) AS labels FROM w")
 def training_windows(spark, sf_dir):
-    ids = F.transform(F.split("text", ""), lambda c: F.expr("0") + F.ascii(c))
-    rows = _read(spark, sf_dir, "documents").withColumn("ids", ids).select("doc_id", F.posexplode(tokens.token_windows(F.col("ids"), 128)).alias("w", "x"))
-    told = lambda c: F.md5(F.concat_ws(",", F.col(c).cast("array<string>")))
-    return rows.select("doc_id", F.col("w").cast("long").alias("w"), told("x.input_ids").alias("inputs"), told("x.labels").alias("labels"))
+    rows = _tokenized(spark, sf_dir).select("doc_id", F.posexplode(tokens.token_windows(F.col("ids"), 128)).alias("w", "x"))
+    return rows.select("doc_id", F.col("w").cast("long").alias("w"), _ids_md5("x.input_ids").alias("inputs"), _ids_md5("x.labels").alias("labels"))
+
+
+def _ids_md5(c: str) -> Column:
+    return F.md5(F.concat_ws(",", F.col(c).cast("array<string>")))
+
+
+@query(f"WITH {_IDS}, o AS (SELECT ids, sum(len(ids)) OVER (ORDER BY doc_id) - len(ids) AS o FROM t), r AS (SELECT (o + unnest(range(len(ids))))::BIGINT AS pos, unnest(ids) AS id FROM o), i AS (SELECT pos // 512 AS w, md5(string_agg(id, ',' ORDER BY pos)) AS inputs FROM r GROUP BY 1), l AS (SELECT (pos - 1) // 512 AS w, md5(string_agg(id, ',' ORDER BY pos)) AS labels FROM r WHERE pos > 0 GROUP BY 1) SELECT w AS \"window\", inputs, labels FROM i JOIN l USING (w) WHERE w < (SELECT max(pos) // 512 FROM r)")
+def file_windows(spark, sf_dir):
+    """Documents to token files of about 200,000 tokens each, read back as one stream of windows."""
+    _checkpoints(spark)
+    folder = shared.folder(spark, "bins")
+    ids = _tokenized(spark, sf_dir)
+    placed = tokens.assign_shards(ids, 200_000).select(F.col("doc_id").alias("_k"), "shard_id")
+    tokens.write_bins(ids.join(placed, F.col("doc_id") == F.col("_k")), folder).write.format("noop").mode("overwrite").save()
+    return tokens.file_windows(spark, folder, 512).select("window", _ids_md5("input_ids").alias("inputs"), _ids_md5("labels").alias("labels"))
+
+
+_TURNS = """t AS (SELECT conv_id, turn, role, CASE WHEN role IN ('system', 'user', 'assistant') THEN '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) ELSE '' END AS text FROM conversations),
+    b AS (SELECT conv_id, turn, list_transform(range(1, strlen(text) + 1), lambda i: {'id': 4 + CAST('0x' || substr(hex(encode(text)), 2 * i - 1, 2) AS INT), 'own': role = 'assistant' AND i > 22}) AS b FROM t),
+    c AS (SELECT conv_id, flatten(list(b ORDER BY turn))[1:2048] AS b FROM b GROUP BY conv_id)"""
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, len(b)::INT AS n_ids, len(list_filter(b, lambda x: x.own))::INT AS n_labels, md5(array_to_string(list_transform(b, lambda x: CASE WHEN x.own THEN x.id ELSE -100 END), ',')) AS labels FROM c")
+def sft_labels(spark, sf_dir):
+    """Conversations to ids and labels, the loss on answers and their end marks only."""
+    x = examples.conversation_examples(_read(spark, sf_dir, "conversations"), tokens.BPE.of_bytes())
+    n = F.aggregate("attention_mask", F.lit(0), lambda a, v: a + v)
+    own = F.size(F.filter("labels", lambda v: v != -100))
+    return x.select("conv_id", n.alias("n_ids"), own.alias("n_labels"), F.md5(F.concat_ws(",", F.slice("labels", F.lit(1), n).cast("array<string>"))).alias("labels"))
+
+
+_STRIDED = """e AS (SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, value FROM events), n AS (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id),
+    w AS (SELECT doc_id, n, unnest(range(CASE WHEN n <= 24 THEN 1 ELSE 1 + ceil((n - 24) / 10.0)::INT END)) AS w FROM n), b AS (SELECT doc_id, w, n, w * 10 AS b, least(w * 10 + 24, n) AS e, CASE WHEN w = 0 THEN 0 ELSE least(w * 10 + 14, n) END AS o FROM w),
+    l AS (SELECT b.*, pos, value / 40 + 1.0 / (pos - b + 1) AS nll FROM b JOIN e ON e.doc_id = b.doc_id AND pos >= b AND pos < b.e)"""
+
+
+@query(f"WITH {_STRIDED}, o AS (SELECT sum(nll) AS s FROM l WHERE pos >= o), m AS (SELECT doc_id, w, avg(nll) * any_value(e - b) AS s FROM l WHERE pos >= b + CASE WHEN w > 0 THEN 10 ELSE 0 END GROUP BY doc_id, w), t AS (SELECT sum(n) AS n, count(*) AS k FROM n) SELECT round(o.s / n, 6) AS nll, round(exp(least(o.s / n, 20)), 4) AS perplexity, round((SELECT sum(s) FROM m) / n, 6) AS text_nll, k AS sequences FROM o, t")
+def strided_perplexity(spark, sf_dir):
+    """Each user's events as a sequence whose losses depend on how far a window has read."""
+    from pyspark.sql import Window
+
+    e = _read(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).alias("pos"), "value")
+    lengths = e.groupBy("doc_id").agg(F.count("*").alias("length"))
+    windows = lengths.select("doc_id", F.explode(metrics.stride_windows(F.col("length"), 24, 10)).alias("w")).select("doc_id", "w.window", "w.begin", "w.end")
+    nll = e.join(windows, "doc_id").filter("pos >= begin AND pos < end").select("doc_id", "window", "pos", (F.col("value") / 40 + 1.0 / (F.col("pos") - F.col("begin") + 1)).alias("nll"))
+    own, text = (metrics.strided_perplexity(nll, lengths, 24, 10, weighted=x) for x in (False, True))
+    return own.crossJoin(text.select(F.col("nll").alias("text_nll"))).select(_r(F.col("nll")).alias("nll"), _r(F.col("perplexity"), 4).alias("perplexity"), _r(F.col("text_nll")).alias("text_nll"), "sequences")  # one row each
+
+
+_GRAM_SQL = """g AS (SELECT doc_id, lang, list_transform(string_split(regexp_replace(lower(substr(text, 1, 500)), '\\P{L}+', ' ', 'g'), ''), lambda c: unicode(c)::BIGINT) AS c FROM documents WHERE length(text) >= 3),
+    b AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(c) - 1), lambda i: ((c[i] * 31 + c[i + 1]) * 31 + c[i + 2]) % 4096)) AS b FROM g),
+    n AS (SELECT lang, b, count(*) AS n FROM b WHERE lang IS NOT NULL GROUP BY ALL), t AS (SELECT lang, sum(n) AS t FROM n GROUP BY lang),
+    s AS (SELECT doc_id, t.lang, sum(ln((coalesce(n.n, 0) + 1) / (t.t + 4096))) AS s FROM b CROSS JOIN t LEFT JOIN n ON n.lang = t.lang AND n.b = b.b GROUP BY ALL)"""
+
+
+@query(f"WITH {_GRAM_SQL} SELECT d.doc_id, CASE WHEN regexp_matches(substr(text, 1, 500), '\\p{{L}}') THEN coalesce(l, 'unknown') ELSE 'unknown' END AS language FROM documents d LEFT JOIN (SELECT doc_id, arg_max(lang, (round(s, 6), lang)) AS l FROM s GROUP BY doc_id) x USING (doc_id)")
+def detect_language(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    found = language.TrigramDetector.train(docs, chars=500)
+    return docs.select("doc_id", found.detect(F.col("text"))["language"].alias("language"))
+
+
+def _levels(depth: int) -> str:
+    """A table f<i> of each level: URLs by their place, cut by nothing yet."""
+    steps = [f"f{d} AS (SELECT v AS u, {d} AS depth, row_number() OVER (ORDER BY min(r), v) + (SELECT max(r) FROM f{d - 1}) AS r FROM g JOIN f{d - 1} ON f{d - 1}.u = g.u WHERE " + " AND ".join(f"v NOT IN (SELECT u FROM f{k})" for k in range(d)) + " GROUP BY v)" for d in range(1, depth + 1)]
+    return ", ".join(["f0 AS (SELECT 'p0' AS u, 0 AS depth, 1 AS r)", *steps])
+
+
+@query("WITH k AS (SELECT count(*) AS n FROM pages), g AS (SELECT DISTINCT 'p' || page_id AS u, 'p' || (page_id * m + m) % n AS v FROM pages, k, (VALUES (3), (5), (7)) t(m)), " + _levels(4) + " SELECT u AS url, depth FROM (" + " UNION ALL ".join(f"SELECT * FROM f{d}" for d in range(5)) + ") WHERE r <= (SELECT n // 10 FROM k)")
+def crawl_budget(spark, sf_dir):
+    """A crawl of a graph over the pages, four levels deep, that may take a tenth of them."""
+    _checkpoints(spark)
+    pages = _read(spark, sf_dir, "pages")
+    n = pages.count()
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    links = pages.select(name(F.col("page_id")).alias("url"), F.explode(F.array(*(name((F.col("page_id") * m + m) % n) for m in (3, 5, 7)))).alias("link")).distinct()
+    return urls.crawl(links, pages.filter("page_id = 0").select(name(F.col("page_id")).alias("url")), 4, n // 10)
+
+
+@query("WITH o AS (SELECT *, row_number() OVER (ORDER BY item_id) AS i FROM benchmark), h AS (SELECT string_agg('Question: ' || text || chr(10) || 'Answer: ' || item_id || chr(10) || chr(10), '' ORDER BY i) AS t FROM o WHERE i <= 3) SELECT item_id, md5(t || 'Question: ' || text || chr(10) || 'Answer: ') AS prompt FROM o, h WHERE i > 8")
+def few_shot_prompts(spark, sf_dir):
+    rows = _read(spark, sf_dir, "benchmark").withColumn("answer", F.col("item_id").cast("string"))
+    return metrics.few_shot(rows, "item_id", "text", most=None).select("item_id", F.md5("prompt").alias("prompt"))
 
 
 @query("SELECT conv_id, count(*)::INT AS n_turns, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
@@ -415,11 +508,18 @@ def code_reward(spark, sf_dir):
     return _read(spark, sf_dir, "events").select("event_id", rewards.code_reward(said, F.when(k != 2, F.concat(out, F.lit("\n"))), truth).alias("reward"))
 
 
-@query("SELECT event_id, CASE event_id % 2 WHEN 0 THEN 1.0 ELSE 0.0 END AS json_reward, CASE WHEN len(string_split(event_type, '_')) > 0 THEN 1.0 ELSE 0.0 END AS concise_reward FROM events")
+_WORDY = "SELECT event_id, CASE event_id % 2 WHEN 0 THEN 1.0 ELSE 0.0 END AS json_reward, event_id % 320 + 1 AS n, event_id % 5 AS b FROM events"
+
+
+@query(f"SELECT event_id, json_reward, CASE WHEN n <= 50 THEN 1.0 WHEN n <= 100 THEN 0.5 ELSE round(greatest(0, 1 - (n - 100) / 200), 6) END AS concise_reward, least(1, round(b / 4 * 2, 6)) AS bullet_reward FROM ({_WORDY})")
 def format_reward(spark, sf_dir):
+    """JSON that holds and that doesn't, answers of 1 to 320 words, lists of four lines of which none to four are bullets."""
     e = _read(spark, sf_dir, "events")
     said = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat("props", F.lit("}")))
-    return e.select("event_id", rewards.format_reward(said, F.lit("json")).alias("json_reward"), rewards.format_reward(F.col("event_type"), F.lit("concise")).alias("concise_reward"))
+    wordy = F.repeat(F.concat("event_type", F.lit(" ")), (F.col("event_id") % 320 + 1).cast("int"))
+    lines = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.concat(F.when(i <= F.col("event_id") % 5, " - ").otherwise("x "), F.col("event_type"))), "\n")
+    reward = lambda text, kind: rewards.format_reward(text, F.lit(kind))
+    return e.select("event_id", reward(said, "json").alias("json_reward"), _r(reward(wordy, "concise")).alias("concise_reward"), _r(reward(lines, "bullet_list")).alias("bullet_reward"))
 
 
 def _duels(spark, sf_dir) -> DataFrame:
@@ -603,3 +703,13 @@ def robots_allowed(spark, sf_dir):
     pages = _read(spark, sf_dir, "pages")
     rules = pages.select(urls.host(F.col("url")).alias("host")).distinct().withColumn("content", F.lit("User-agent: *\nDisallow: /en/\n"))
     return urls.can_fetch(pages, rules).select("page_id", "allowed")
+
+
+@query(r"""WITH d AS (SELECT doc_id, coalesce(lang, 'unknown') AS language, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents)
+    SELECT 'http://site.example/' || doc_id AS url, language, length(t) AS n, sha256(t) AS content_hash FROM d WHERE length(t) >= 200""")
+def wet_records(spark, sf_dir):
+    """All documents as conversion records of gzip archives, read back by byte ranges."""
+    folder = shared.folder(spark, "wet")
+    docs = _read(spark, sf_dir, "documents").select(F.concat(F.lit("http://site.example/"), "doc_id").alias("url"), "text", F.col("lang").alias("language"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"))
+    wet.write(docs, folder)
+    return source_files.read_wet(spark, folder, split=1 << 20).select("url", "language", F.length("text").cast("long").alias("n"), "content_hash")

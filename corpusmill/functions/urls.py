@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
-from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
+from urllib.parse import parse_qsl, urlencode, urljoin, urlparse, urlunparse
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
@@ -20,19 +20,19 @@ JUNK = (r"/wp-login\.php", r"/wp-admin/", r"/cart/?$", r"/checkout/?$", r"\?add-
 
 def _normal(url: str | None) -> str | None:
     try:
-        u = urlsplit(url.strip())
+        u = urlparse(url.strip())
         scheme, host = u.scheme.lower(), u.netloc.lower()
         for end, kind in ((":80", "http"), (":443", "https")):
             if scheme == kind:
                 host = host.removesuffix(end)
-        return urlunsplit((scheme, host, u.path.rstrip("/") or "/", urlencode(sorted(parse_qsl(u.query))), ""))
+        return urlunparse((scheme, host, u.path.rstrip("/") or "/", u.params, urlencode(sorted(parse_qsl(u.query))), ""))
     except (ValueError, AttributeError):
         return url
 
 
 @F.pandas_udf(t.StringType())
 def normalize_url(urls: pd.Series) -> pd.Series:
-    """Lower-case scheme and host, no default port, sorted query without blank values, no fragment; what can't be parsed stays as it is."""
+    """Lower-case scheme and host, no default port, sorted query without blank values, no fragment; parameters of the last segment (`;x`) stay behind the path; what can't be parsed stays as it is."""
     return urls.map(_normal)
 
 
@@ -98,13 +98,23 @@ def can_fetch(pages: DataFrame, robots: DataFrame, agent: str = "*", url: str =
 
 
 def fetch_times(pages: DataFrame, order: str, delay_s: float = 1.0, url: str = "url", start: str | None = None) -> DataFrame:
-    """Adds fetch_s: when each URL is fetched if the URLs of a host keep `delay_s` seconds apart, in the order of a column. start: when it is asked for (default 0)."""
-    w = Window.partitionBy("_h").orderBy(order)
+    """Adds fetch_s: when each URL is fetched if the URLs of a host keep `delay_s` seconds apart, in the order of a column. start: when it is asked for (default 0).
+
+    A scan in two levels: ranges of (host, order) are counted and folded on their own, then each range learns what the ones before hold of its host. A host with half of all rows spreads over many ranges.
+    """
     asked = F.col(start).cast("double") if start else F.lit(0.0)
-    place = F.row_number().over(w) - 1
-    told = pages.withColumn("_h", host(F.col(url))).withColumn("_place", place)
+    dealt = pages.withColumns({"_h": F.coalesce(host(F.col(url)), F.lit("")), "_asked": asked}).repartitionByRange("_h", order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    inside = Window.partitionBy("_p", "_h").orderBy(order)
+    told = dealt.withColumn("_place", F.row_number().over(inside) - 1)
     # the latest of all earlier demands, each with a delay for every row between
-    return told.withColumn("fetch_s", F.max(asked - F.col("_place") * delay_s).over(w) + F.col("_place") * delay_s).drop("_h", "_place")
+    told = told.withColumn("_most", F.max(F.col("_asked") - F.col("_place") * delay_s).over(inside))
+    earlier = Window.partitionBy("_h").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a host
+    sums = told.groupBy("_p", "_h").agg(F.count("*").alias("_n"), F.max("_most").alias("_m"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    sums = sums.withColumn("_held", F.max(F.col("_m") - F.col("_before") * delay_s).over(earlier)).select("_p", "_h", "_before", "_held")
+    both = told.join(sums, ["_p", "_h"])
+    most = F.greatest(F.col("_most") - F.col("_before") * delay_s, F.coalesce("_held", F.lit(float("-inf"))))
+    return both.withColumn("fetch_s", most + (F.col("_before") + F.col("_place")) * delay_s).select(*(c for c in both.columns if c in pages.columns), "fetch_s")
 
 
 def url_hash(url: Column) -> Column:
@@ -149,16 +159,7 @@ def crawl_size(seeds: Column, links: Column, depth: Column) -> Column:
 
 def chunk(df: DataFrame, order: str, size: int) -> DataFrame:
     """Adds `chunk`: consecutive groups of a size, by the global order."""
-    spark, keys = df.sparkSession, df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    keys = keys.checkpoint()
-    counts = sorted(keys.groupBy("_p").count().collect())
-    base, rows = 0, []
-    for p, n in counts:
-        rows.append((p, base))
-        base += n
-    offsets = spark.createDataFrame(rows, t.StructType([t.StructField("_p", t.IntegerType()), t.StructField("_b", t.LongType())]))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1 + F.col("_b")
-    return keys.join(F.broadcast(offsets), "_p").withColumn("chunk", F.floor(place / size)).drop("_p", "_b")
+    return _ranked(df, order).withColumn("chunk", F.floor((F.col("_rank") - 1) / size)).drop("_rank")
 
 
 class _Page(HTMLParser):
@@ -209,14 +210,43 @@ def extract_links(pages: DataFrame, url: str = "url") -> DataFrame:
     return links.filter(is_valid(F.col("link"))).select(url, "link").distinct()
 
 
-def crawl(links: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """(url, depth) by breadth-first search over a table of links (url, link): each URL at its least depth. Every level is one anti-join and is checkpointed."""
-    found = seeds.select("url").distinct().withColumn("depth", F.lit(0)).checkpoint()
-    frontier = found
+def accepted(responses: DataFrame, order: str, least: int = 100) -> DataFrame:
+    """Responses that a crawler keeps: status 200, an HTML content type, text of the least length, the first of each content by the order column. Adds content_hash. Columns: status, content_type, text."""
+    fine = (F.col("status") == 200) & F.contains(F.lower("content_type"), F.lit("text/html")) & (F.length("text") >= least)
+    told = responses.filter(F.coalesce(fine, F.lit(False))).withColumn("content_hash", F.sha2("text", 256))
+    return _first_of(told, F.col("content_hash"), order)
+
+
+def _ranked(df: DataFrame, *order: str) -> DataFrame:
+    """Adds _rank, from 1, by the order of columns over all rows: places inside ranges plus the counts of the ranges before, of which there is one row each."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    before, rows = 0, []
+    for p, n in sorted(dealt.groupBy("_p").count().collect()):
+        rows.append((p, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(rows, "_p int, _b long")
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + F.col("_b")
+    return dealt.join(F.broadcast(offsets), "_p").withColumn("_rank", place).drop("_p", "_b")
+
+
+def crawl(links: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int | None = None) -> DataFrame:
+    """(url, depth) by breadth-first search over a table of links (url, link): each URL at its least depth. Every level is one anti-join and is checkpointed.
+
+    max_pages: so many URLs at most, the first by depth, then by the place of the first page that links to them, then by URL. A level that goes beyond is cut by its places over all partitions.
+    """
+    found = seeds.select("url").distinct().withColumn("depth", F.lit(0))
+    found = (_ranked(found, "url") if max_pages else found.withColumn("_rank", F.lit(0).cast("long"))).checkpoint()
+    frontier, count = found, found.count() if max_pages else 0
     for depth in range(1, max_depth + 1):
-        nxt = links.join(frontier.select("url"), "url", "left_semi").select(F.col("link").alias("url")).distinct().join(found.select("url"), "url", "left_anti")
-        frontier = nxt.withColumn("depth", F.lit(depth)).checkpoint()
-        if not frontier.limit(1).count():
+        if max_pages and count >= max_pages:
+            break
+        reached = links.join(frontier.select("url", "_rank"), "url").groupBy(F.col("link").alias("url")).agg(F.min("_rank").alias("_from"))
+        new = reached.join(found.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))
+        new = _ranked(new, "_from", "url").withColumn("_rank", F.col("_rank") + count) if max_pages else new.withColumn("_rank", F.lit(0).cast("long"))
+        frontier = new.select("url", "depth", "_rank").checkpoint()
+        more = frontier.count() if max_pages else frontier.limit(1).count()
+        if not more:
             break
+        count += more
         found = found.unionByName(frontier).checkpoint()
-    return found
+    return found.filter(F.col("_rank") <= max_pages).select("url", "depth") if max_pages else found.select("url", "depth")

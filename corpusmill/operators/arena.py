@@ -27,11 +27,15 @@ def wilson(wins: Column, total: Column, z: float = 1.96) -> tuple[Column, Column
     return F.when(total == 0, 0.0).otherwise(F.greatest(F.lit(0.0), (middle - half) / scale)), F.when(total == 0, 1.0).otherwise(F.least(F.lit(1.0), (middle + half) / scale))
 
 
-def elo(comparisons: DataFrame, k: float = 32.0, start: float = 1000.0) -> DataFrame:
-    """(model, elo) after all comparisons in the order of comparison_id. Ratings depend on that order, so one task folds the sorted (id, a, b, winner) stream; its state is one number a model."""
+def elo(comparisons: DataFrame, k: float = 32.0, start: float = 1000.0, before: DataFrame | None = None) -> DataFrame:
+    """(model, elo) after all comparisons in the order of comparison_id. Ratings depend on that order, so one task folds the sorted (id, a, b, winner) stream; its state is one number a model.
+
+    before: ratings (model, elo) to start from, a row a model; they are given back with what the comparisons make of them.
+    """
+    held = {r.model: r.elo for r in before.select("model", "elo").collect()} if before is not None else {}
 
     def fold(it):
-        rating: dict[str, float] = {}
+        rating: dict[str, float] = dict(held)
         for frame in it:
             for a, b, w in zip(frame["model_a"], frame["model_b"], frame["winner"], strict=True):
                 ra, rb = rating.get(a, start), rating.get(b, start)

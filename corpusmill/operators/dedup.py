@@ -70,29 +70,29 @@ def candidate_edges(banded: DataFrame, key: str = "doc_id") -> DataFrame:
     return x.join(y, same).select(F.col(f"x.{key}").alias("earlier"), F.col(f"y.{key}").alias("later")).distinct()
 
 
-def greedy_keep(ids: DataFrame, edges: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The ids kept when each id is dropped iff an earlier kept one is its neighbour (the lexicographically first independent set).
+def greedy_keep(ids: DataFrame, buckets: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The ids kept when each id is dropped iff it shares a bucket with an earlier kept one (the lexicographically first independent set). buckets: (key, bucket), a row for each bucket of an id.
 
-    Each round keeps open ids without an open or kept earlier neighbour and drops those with a kept one; the first open id is always settled, so rounds end. They are checkpointed.
+    Buckets are never made into pairs. In a round every bucket names its least open id; an id that is the least of all its buckets is kept, the others of these
+    buckets are dropped, and rows of settled ids go. The least open id is always settled, so rounds end; rows only get fewer. They are checkpointed.
     """
-    edges = edges.checkpoint()
-    open_ids = edges.select(F.col("later").alias(key)).distinct().checkpoint()
-    dropped = open_ids.limit(0)
+    rows = buckets.select(F.col(key).alias("_i"), F.col("bucket").alias("_b")).distinct().checkpoint()
+    dropped = rows.select("_i").limit(0)
     while True:
-        if not open_ids.limit(1).count():
-            later = dropped.withColumnRenamed(key, "_d")
-            return ids.join(later, ids[key] == later["_d"], "left_anti")
-        live = edges.join(dropped.withColumnRenamed(key, "earlier"), "earlier", "left_anti")
-        waits = live.join(open_ids.withColumnRenamed(key, "earlier"), "earlier", "left_semi").select(F.col("later").alias(key)).distinct()
-        hit = live.join(open_ids.withColumnRenamed(key, "earlier"), "earlier", "left_anti").select(F.col("later").alias(key)).distinct()
-        gone = open_ids.join(hit, key, "left_semi").checkpoint()
+        # a bucket of one id says nothing
+        least = rows.groupBy("_b").agg(F.min("_i").alias("_m"), F.max("_i").alias("_n")).filter("_m < _n").select("_b", "_m")
+        marked = rows.join(least, "_b").checkpoint()
+        if not marked.limit(1).count():
+            return ids.join(dropped, ids[key] == dropped["_i"], "left_anti")
+        kept = marked.groupBy("_i").agg(F.min("_m").alias("_m")).filter("_m = _i").select("_i")
+        gone = marked.join(kept.select(F.col("_i").alias("_m")), "_m", "left_semi").filter("_i > _m").select("_i").distinct().checkpoint()
         dropped = dropped.unionByName(gone).checkpoint()
-        open_ids = open_ids.join(gone, key, "left_anti").join(waits, key, "left_semi").checkpoint()
+        rows = marked.select("_i", "_b").join(gone, "_i", "left_anti").join(kept, "_i", "left_anti").checkpoint()
 
 
 def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", perms: int = 128) -> DataFrame:
     """Rows that share no signature band with an earlier kept one. Rows with an equal signature fall to the first of them before any pair is made."""
     signed = minhash(df.select(key, text), perms, text).select(key, "signature")
     first = signed.groupBy("signature").agg(F.min(key).alias(key)).select(key, "signature").checkpoint()
-    kept = greedy_keep(first.select(key), candidate_edges(bands(first, key=key), key), key)
+    kept = greedy_keep(first.select(key), bands(first, key=key).select(key, F.struct("band", "band_key").alias("bucket")), key)
     return df.join(kept.select(F.col(key).alias("_k")), df[key] == F.col("_k"), "left_semi")

@@ -106,6 +106,45 @@ def perplexity(nll: Column, tokens: Column) -> Column:
     return F.exp(F.least(F.sum(nll) / F.sum(tokens), F.lit(20.0)))
 
 
+def stride_windows(length: Column, size: int, stride: int) -> Column:
+    """Windows of a sequence, an array of (window, begin, end, own): they begin `stride` apart, hold at most `size` tokens, and the first that reaches the end is the last. Each token is owned by the first window that holds it: a window owns `own` to `end`."""
+    if not 0 < stride <= size:
+        raise ValueError("the stride is at least 1 and at most the size")
+    last = F.when(length <= size, 0).otherwise(F.ceil((length - size) / stride)).cast("int")
+    begin = lambda k: k * stride
+    end = lambda k: F.least(begin(k) + size, length)
+    one = lambda k: F.struct(k.alias("window"), begin(k).cast("int").alias("begin"), end(k).cast("int").alias("end"), F.when(k == 0, 0).otherwise(end(k - 1)).cast("int").alias("own"))
+    return F.when(length > 0, F.transform(F.sequence(F.lit(0), last), one)).otherwise(F.array())
+
+
+def strided_examples(rows: DataFrame, size: int = 1024, stride: int = 512, key: str = "doc_id", ids: str = "ids", ignore: int = -100) -> DataFrame:
+    """(key, window, begin, input_ids, labels) of the windows of token sequences: labels are the ids that the window owns, `ignore` before them. Empty sequences have none."""
+    w = F.col("w")
+    cut = lambda a, b: F.slice(F.col(ids), a + 1, b - a)
+    told = rows.select(key, ids, F.explode(stride_windows(F.size(ids), size, stride)).alias("w"))
+    return told.select(key, "w.window", "w.begin", cut(w["begin"], w["end"]).alias("input_ids"), F.concat(F.array_repeat(F.lit(ignore), w["own"] - w["begin"]), cut(w["own"], w["end"])).alias("labels"))
+
+
+def strided_perplexity(nll: DataFrame, lengths: DataFrame, size: int = 1024, stride: int = 512, key: str = "doc_id", weighted: bool = False, least: int = 1) -> DataFrame:
+    """One row over token losses (key, window, pos, nll) and sequence lengths (key, length): nll a token, perplexity (exp of it, at most of 20) and sequences.
+
+    Each token counts once, by the loss in the window that owns it. weighted: as the text evaluation does, a window's mean loss over the tokens that are not among its first `stride` ones (all, in
+    the first window) counts for all its tokens, so overlaps count twice. Sequences under `least` tokens are left out; without any the perplexity is infinite.
+    """
+    longest = lengths.filter(F.col("length") >= least)
+    windows = longest.select(key, "length", F.explode(stride_windows(F.col("length"), size, stride)).alias("w")).select(key, "length", "w.*")
+    both = nll.join(windows, [key, "window"])
+    if weighted:
+        counts = (F.col("pos") >= F.col("begin") + F.when(F.col("window") > 0, stride).otherwise(0)) & (F.col("pos") < F.col("end"))
+        means = both.filter(counts).groupBy(key, "window").agg((F.avg("nll") * F.first(F.col("end") - F.col("begin"))).alias("s"))
+    else:
+        means = both.filter((F.col("pos") >= F.col("own")) & (F.col("pos") < F.col("end"))).groupBy(key).agg(F.sum("nll").alias("s"))
+    total = longest.agg(F.sum("length").alias("n"), F.count("*").alias("sequences"))
+    out = means.agg(F.sum("s").alias("s")).crossJoin(total)  # one row each
+    mean = F.when(F.col("sequences") > 0, F.coalesce("s", F.lit(0.0)) / F.col("n")).otherwise(float("inf"))
+    return out.select(mean.alias("nll"), F.when(F.col("sequences") > 0, F.exp(F.least(mean, F.lit(20.0)))).otherwise(float("inf")).alias("perplexity"), "sequences")
+
+
 def choose(scores: DataFrame, example: str = "example", choice: str = "choice", logp: str = "logp") -> DataFrame:
     """(example, pred): the choice of the highest mean token log-probability, the first of equals."""
     mean = scores.groupBy(example, choice).agg(F.avg(logp).alias("s"))
@@ -141,6 +180,18 @@ def first_answer(text: Column, patterns=ANSWERS) -> Column:
 
 
 def answer_accuracy(df: DataFrame, response: str = "response", gold: str = "gold", skip: int = 0, most: int | None = None, order: str = "id") -> DataFrame:
-    """String equality of extracted answers over an ordered slice of a benchmark."""
+    """String equality, commas aside, of extracted answers over an ordered slice of a benchmark."""
     rows = df.orderBy(order).limit(skip + most).offset(skip) if most else df
-    return rows.agg(F.avg((F.coalesce(first_answer(F.col(response)) == F.col(gold), F.lit(False))).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+    return rows.agg(F.avg((F.coalesce(F.replace(first_answer(F.col(response)), F.lit(","), F.lit("")) == F.replace(gold, F.lit(","), F.lit("")), F.lit(False))).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+
+
+def few_shot(df: DataFrame, order: str = "id", question: str = "question", answer: str = "answer", shots: int = 8, shown: int = 3, most: int | None = 100) -> DataFrame:
+    """Rows behind the first `shots` by an order column, at most `most` of them, with `prompt`: the first `shown` rows with their answers, then the row's question. The report reads no more of a benchmark than this."""
+    first = df.orderBy(order).limit(shots)
+    head = first.orderBy(order).limit(min(shots, shown))
+    line = F.concat(F.lit("Question: "), F.coalesce(question, F.lit("")), F.lit("\nAnswer: "))
+    told = head.select(F.struct(F.col(order).alias("o"), F.concat(line, F.coalesce(answer, F.lit("")), F.lit("\n\n")).alias("t")).alias("x"))
+    before = told.agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "").alias("_before"))  # of `shown` rows
+    last = first.agg(F.max(order).alias("_last"))  # one row; the order column is a key
+    rest = df.crossJoin(F.broadcast(last)).filter((F.col(order) > F.col("_last")) | F.lit(shots < 1)).drop("_last")
+    return (rest.orderBy(order).limit(most) if most else rest).crossJoin(F.broadcast(before)).withColumn("prompt", F.concat("_before", line)).drop("_before")  # one row

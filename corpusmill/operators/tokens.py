@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.sources import shared
+
 #: Contractions, words and punctuation with an optional space before, white space.
 PRETOKENS = r"(?U)'(?:s|t|re|ve|m|ll|d)| ?\w+| ?[^\s\w]+|\s+(?!\S)|\s+"
 SPECIALS = ("<pad>", "<unk>", "<bos>", "<eos>")
@@ -54,6 +56,12 @@ class BPE:
         self._byte = {s: b for b, s in enumerate(self._symbol)}
         self._back = {i: t for t, i in vocab.items()}
         self._seen: dict[str, list[int]] = {}
+        self._placed: dict[str, tuple[list[int], list[int]]] = {}
+
+    @classmethod
+    def of_bytes(cls, specials: tuple[str, ...] = SPECIALS) -> BPE:
+        """Without merges: each byte is a token, its id the byte after the specials."""
+        return cls({t: i for i, t in enumerate([*specials, *symbols()])}, [], specials)
 
     @classmethod
     def train(cls, docs: DataFrame, vocab_size: int, min_frequency: int = 2, specials: tuple[str, ...] = SPECIALS) -> BPE:
@@ -117,6 +125,17 @@ class BPE:
             self._seen[word] = [self.vocab.get(p, unknown) for p in parts]
         return self._seen[word]
 
+    def _placed_word(self, word: str) -> tuple[list[int], list[int]]:
+        """ids of a word and the character, counted from its own start, that holds the first byte of each."""
+        if word not in self._placed:
+            if len(self._placed) > 100_000:
+                self._placed.clear()
+            ids = self._word(word)
+            char = np.repeat(np.arange(len(word)), [len(c.encode("utf-8", "replace")) for c in word]) if word else np.zeros(0, int)
+            size = [len(self._back[i]) for i in ids]  # a symbol is a byte
+            self._placed[word] = ids, char[np.cumsum(size) - size].tolist()
+        return self._placed[word]
+
     def encode_words(self, words) -> list[int]:
         return [i for w in words for i in self._word(w)]
 
@@ -135,6 +154,26 @@ class BPE:
 
         return ids(pretokens(text))
 
+    def encode_placed(self, text: Column) -> Column:
+        """(ids, starts) of a text column: starts are the places, in characters, where tokens begin (that of the character, if it is cut)."""
+        own = self
+
+        @F.pandas_udf("ids array<int>, starts array<int>")
+        def placed(words: pd.Series) -> pd.DataFrame:
+            ids, starts = [], []
+            for row in words:
+                at, i, s = 0, [], []
+                for w in row:
+                    own_ids, own_starts = own._placed_word(w)
+                    i += own_ids
+                    s += [at + x for x in own_starts]
+                    at += len(w)
+                ids.append(i)
+                starts.append(s)
+            return pd.DataFrame({"ids": ids, "starts": starts})
+
+        return placed(pretokens(text))
+
     def decode_column(self, ids: Column) -> Column:
         own = self
 
@@ -196,22 +235,130 @@ def clip(ids: Column, most: int = 65535) -> Column:
     return F.transform(ids, lambda i: F.least(i, F.lit(most)))
 
 
+class _Closing:
+    """What a run of documents makes of the tokens that are held when it begins: the tokens held at its end, and the shards closed.
+
+    Only the first document at which a shard closes depends on what was held. `at` are the totals up to each document that may be it (ascending, the
+    last one being the first to reach the limit), `held` and `closed` what follows from each; `total` is all tokens. So there are no more steps than
+    documents in the first shard, however long the run.
+    """
+
+    def __init__(self, at: np.ndarray, held: np.ndarray, closed: np.ndarray, total: int, limit: int):
+        few = np.searchsorted(at, limit) + 1
+        at, held, closed = at[:few], held[:few], closed[:few]
+        last = np.ones(len(at), bool)  # of steps with one outcome the last one says it all
+        last[:-1] = (held[1:] != held[:-1]) | (closed[1:] != closed[:-1])
+        self.at, self.held, self.closed, self.total, self.limit = at[last], held[last], closed[last], total, limit
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, limit: int) -> _Closing:
+        upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        count = len(sizes)
+        # where the next shard closes, if one closed at a place; beyond the last such place nothing closes
+        follow = np.searchsorted(upto, upto + limit)
+        end = np.arange(count + 1)
+        closed = np.zeros(count + 1, np.int64)
+        jump, hops = np.where(follow <= count, follow, end), (follow <= count).astype(np.int64)
+        while True:
+            end, closed = jump, hops
+            jump, hops = end[end], closed + closed[end]
+            if (jump == end).all():
+                break
+        return cls(upto[1:], (upto[count] - upto[end])[1:], closed[1:] + 1, int(upto[count]), limit)
+
+    def __call__(self, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(held at the end, shards closed) for numbers of tokens held before."""
+        held = np.asarray(held, np.int64)
+        if not len(self.at):
+            return held + self.total, np.zeros_like(held)
+        which = np.minimum(np.searchsorted(self.at, self.limit - held), len(self.at) - 1)
+        none = held + self.total < self.limit
+        return np.where(none, held + self.total, self.held[which]), np.where(none, 0, self.closed[which])
+
+    def then(self, other: _Closing) -> _Closing:
+        held, closed = other(self.held)
+        return _Closing(np.concatenate([self.at, self.total + other.at]), np.concatenate([held, other.held]), np.concatenate([self.closed + closed, other.closed]), self.total + other.total, self.limit)
+
+
+#: So many neighbouring runs are joined at once, and a task holds about so many sizes.
+_FAN, _RUN_ROWS = 16, 1_000_000
+_CLOSING = "node long, at array<long>, held array<long>, closed array<long>, total long"
+
+
 def assign_shards(lengths: DataFrame, limit: int, key: str = "doc_id", n: str = "n") -> DataFrame:
-    """Adds shard_id: a shard closes after the document that reaches the limit. A fold over (key, length) pairs in key order; texts take no part."""
+    """(key, n, shard_id) in key order: a shard closes after the document that reaches the limit. A null size counts as 0; texts take no part.
+
+    A scan over functions: each range of documents becomes the function from the tokens held on entry to those held on exit and the shards closed;
+    neighbouring ones are composed in a tree, what enters each is handed down again, and then all ranges are cut at once.
+    """
+    if limit < 1:
+        raise ValueError("the limit is at least one token")
+    spark = lengths.sparkSession
+    rows = lengths.select(key, n).checkpoint()
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // _RUN_ROWS))
+    ordered = rows.repartitionByRange(ranges, key).sortWithinPartitions(key).withColumn("_node", F.spark_partition_id().cast("long")).checkpoint()
+
+    def row(node: int, f: _Closing) -> pd.DataFrame:
+        return pd.DataFrame([(node, f.at, f.held, f.closed, f.total)], columns=["node", "at", "held", "closed", "total"])
+
+    def function(r) -> _Closing:
+        return _Closing(np.asarray(r.at, np.int64), np.asarray(r.held, np.int64), np.asarray(r.closed, np.int64), int(r.total), limit)
+
+    def summed(frames):
+        node, sizes = None, []
+        for frame in frames:
+            if len(frame):
+                node = int(frame["_node"].iloc[0])
+                sizes.append(frame[n].fillna(0).to_numpy(np.int64))
+        if sizes:
+            yield row(node, _Closing.of(np.concatenate(sizes), limit))
+
+    def joined(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        whole = None
+        for r in frame.sort_values("node").itertuples():
+            whole = function(r) if whole is None else whole.then(function(r))
+        return row(int(group[0]), whole)
+
+    def handed(_: tuple, frame: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        held, shard, out = int(entry["held"].iloc[0]), int(entry["shard"].iloc[0]), []
+        for r in frame.sort_values("node").itertuples():
+            out.append((r.node, held, shard))
+            after, closed = function(r)(np.array([held]))
+            held, shard = int(after[0]), shard + int(closed[0])
+        return pd.DataFrame(out, columns=["node", "held", "shard"])
+
+    up = F.floor(F.col("node") / _FAN).cast("long")
+    levels = [ordered.select("_node", n).mapInPandas(summed, _CLOSING).checkpoint()]
+    width = ranges
+    while width > 1:
+        levels.append(levels[-1].groupBy(up.alias("up")).applyInPandas(joined, _CLOSING).checkpoint())
+        width = -(-width // _FAN)
+    entries = spark.createDataFrame([(0, 0, 0)], "node long, held long, shard long")
+    for level in levels[-2::-1]:
+        entries = level.groupBy(up.alias("up")).cogroup(entries.groupBy(F.col("node").alias("up"))).applyInPandas(handed, "node long, held long, shard long").checkpoint()
+
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lengths.select(key, n).schema) + ", shard_id int"
 
-    def fold(it):
-        held, shard = 0, 0
-        for frame in it:
-            out = []
-            for v in frame[n].tolist():
-                out.append(shard)
-                held += v
+    def cut(frames):
+        held = shard = None
+        for frame in frames:
+            if not len(frame):
+                continue
+            if held is None:
+                held, shard = int(frame["_held"].iloc[0]), int(frame["_shard"].iloc[0])
+            upto = np.cumsum(frame[n].fillna(0).to_numpy(np.int64))
+            out, at, before = np.zeros(len(frame), np.int32), 0, -held
+            while at < len(frame):  # one step a shard
+                end = min(int(np.searchsorted(upto, before + limit)) + 1, len(frame))
+                out[at:end] = shard
+                at, held = end, int(upto[end - 1]) - before
                 if held >= limit:
-                    held, shard = 0, shard + 1
-            yield frame.assign(shard_id=pd.array(out, dtype="int32"))
+                    before, held, shard = int(upto[end - 1]), 0, shard + 1
+            yield frame[[key, n]].assign(shard_id=out)
 
-    return lengths.select(key, n).orderBy(key).coalesce(1).mapInPandas(fold, schema)
+    # one short row a range
+    entered = entries.select(F.col("node").alias("_node"), F.col("held").alias("_held"), F.col("shard").alias("_shard"))
+    return ordered.join(F.broadcast(entered), "_node").select(key, n, "_held", "_shard").mapInPandas(cut, schema)
 
 
 def token_windows(ids: Column, size: int) -> Column:
@@ -241,29 +388,69 @@ def to_bytes(ids: list[int]) -> bytes:
 
 
 def write_bins(shards: DataFrame, folder: str, split: str = "train", ids: str = "ids", order: str = "doc_id") -> DataFrame:
-    """One flat little-endian uint16 file a shard, <split>_<shard>.bin; returns (shard_id, path, tokens). Each shard is one sorted partition."""
+    """One flat little-endian uint16 file a shard, <split>_<shard>.bin, in a folder (or URI) that all executors see; returns (shard_id, path, tokens). A shard is one sorted run of rows, written as it comes."""
 
     def write(it):
-        held: dict[int, list[bytes]] = {}
+        shard, file, tokens = None, None, 0
+
+        def close():
+            file.close()
+            return pd.DataFrame({"shard_id": [shard], "path": [file.path], "tokens": [tokens]})
+
         for frame in it:
             for s, v in zip(frame["shard_id"], frame[ids], strict=True):
-                held.setdefault(int(s), []).append(to_bytes(v))
-        for s, parts in held.items():
-            path = f"{folder}/{split}_{s:05d}.bin"
-            with open(f"{path}.{os.getpid()}", "wb") as f:
-                f.write(b"".join(parts))
-            os.replace(f"{path}.{os.getpid()}", path)
-            yield pd.DataFrame({"shard_id": [s], "path": [path], "tokens": [sum(map(len, parts)) // 2]})
-
-    os.makedirs(folder, exist_ok=True)
+                if s != shard:
+                    if file:
+                        yield close()
+                    shard, file, tokens = int(s), shared.Replacement(f"{folder}/{split}_{s:05d}.bin"), 0
+                file.write(to_bytes(v))
+                tokens += len(v)
+        if file:
+            yield close()
+
+    shared.make_folder(folder)
     return shards.select("shard_id", order, ids).repartition("shard_id").sortWithinPartitions("shard_id", order).mapInPandas(write, "shard_id int, path string, tokens long")
 
 
 def read_bins(spark, folder: str, split: str = "train") -> DataFrame:
-    """(path, ids) of the token files."""
+    """(path, ids) of the token files, each whole."""
 
     @F.pandas_udf("array<int>")
     def decode(content: pd.Series) -> pd.Series:
         return content.map(lambda b: np.frombuffer(b, "<u2").astype(np.int32))
 
     return spark.read.format("binaryFile").load(f"{folder}/{split}_*.bin").select("path", decode("content").alias("ids"))
+
+
+def file_windows(spark, folder: str, size: int, split: str = "train", batch: int = 1024) -> DataFrame:
+    """(window, input_ids, labels) of the token files of a split as one stream, in the order of their names: windows of a size, labels shifted by one; (tokens - 1) // size of them.
+
+    An index of where each file begins in the stream tells which byte ranges a window needs, so windows run on over the borders of files and a task reads only its own.
+    No file of the split is an error; fewer than two tokens give no window.
+    """
+    found = [(path, n // 2) for path, n in shared.listed(folder, ".bin") if path.rpartition("/")[2].startswith(f"{split}_")]
+    if not found:
+        raise FileNotFoundError(f"no {split} token files in {folder}")
+    begins = np.concatenate([[0], np.cumsum([n for _, n in found])])
+    count = max(0, (int(begins[-1]) - 1) // size)
+
+    def read(it):
+        store, _ = shared.opened(folder)
+        for frame in it:
+            for first in frame["id"] * batch:
+                last = min(first + batch, count)
+                low, high = first * size, last * size + 1
+                parts = []
+                for k in range(int(np.searchsorted(begins, low, "right")) - 1, len(found)):
+                    a, b = max(low, int(begins[k])), min(high, int(begins[k + 1]))
+                    if begins[k] >= high:
+                        break
+                    if a < b:
+                        with store.open_input_file(found[k][0]) as f:
+                            parts.append(np.frombuffer(f.read_at(2 * (b - a), 2 * (a - int(begins[k]))), "<u2"))
+                ids = np.concatenate(parts).astype(np.int32)
+                inputs, labels = (ids[o : o + (last - first) * size].reshape(-1, size) for o in (0, 1))
+                yield pd.DataFrame({"window": np.arange(first, last), "input_ids": list(inputs), "labels": list(labels)})
+
+    tasks = -(-count // batch)
+    return spark.range(0, tasks, 1, max(1, min(tasks, 10_000))).mapInPandas(read, "window long, input_ids array<int>, labels array<int>")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators import dedup
+from corpusmill.sources import wet
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of JSON lines; malformed and blank lines are left out. Adds doc_key: content_hash, else the md5 of the line, and the file's path."""
@@ -26,32 +26,29 @@ def wet_paths(spark: SparkSession, path: str, segments: int) -> DataFrame:
     return spark.read.text(path).withColumn("i", F.monotonically_increasing_id()).orderBy("i").limit(segments).select(F.col("value").alias("path"))
 
 
-def _wet_records(content: bytes) -> Iterator[dict[str, str]]:
-    at = 0
-    while (at := content.find(b"WARC/1.", at)) >= 0:
-        end = content.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        head = dict(x.split(": ", 1) for x in content[at:end].decode("utf-8", "replace").split("\r\n") if ": " in x)
-        size = int(head.get("Content-Length", 0))
-        yield head | {"_text": content[end + 4 : end + 4 + size].decode("utf-8", "replace")}
-        at = end + 4 + size
-
-
-def read_wet(spark: SparkSession, path: str, language: str | None = None, least: int = 200, cap: int | None = None) -> DataFrame:
-    """url, text, language, timestamp, content_hash, warc_file of conversion records; cap bounds the records of one file."""
-    import gzip
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for file, content in zip(frame["path"], frame["content"], strict=True):
-                raw = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                rows = [(h.get("WARC-Target-URI", ""), h["_text"].strip(), h.get("WARC-Identified-Content-Language", "unknown"), h.get("WARC-Date", "")) for h in _wet_records(raw) if h.get("WARC-Type") == "conversion"]
-                rows = [(*r, file, i) for i, r in enumerate(r for r in rows if (not language or language in r[2]) and len(r[1]) >= least)]
-                yield pd.DataFrame(rows, columns=["url", "text", "language", "timestamp", "warc_file", "n"])
-
-    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "url string, text string, language string, timestamp string, warc_file string, n long")
-    return found.filter(F.col("n") < cap if cap else F.lit(True)).drop("n").withColumn("content_hash", F.sha2("text", 256))
+def read_wet(spark: SparkSession, path: str, language: str | None = None, least: int = 200, cap: int | None = None, split: int = wet.SPLIT) -> DataFrame:
+    """url, text, language, timestamp, content_hash, warc_file of conversion records of at least `least` characters, whose language holds `language` if one is given. cap bounds the records of one file, the first ones of it.
+
+    Archives are read by ranges of `split` bytes.
+    """
+    found = wet.records(spark, path, split).filter((F.col("type") == "conversion") & (F.length("text") >= least))
+    if language:
+        found = found.filter(F.col("language").contains(language))
+    if cap:
+        place = F.row_number().over(Window.partitionBy("warc_file").orderBy("start"))
+        found = found.withColumn("_n", place).filter(F.col("_n") <= cap)
+    return found.select("url", "text", "language", "timestamp", "warc_file").withColumn("content_hash", F.sha2("text", 256))
+
+
+def process_wet(spark: SparkSession, paths: list[str], target: str, language: str | None = None, cap: int | None = None) -> int:
+    """Extract the records of archives, the first of each content in the order of paths, files and places, and write them as JSON lines with their source; returns how many."""
+    whole = None
+    for i, path in enumerate(paths):
+        part = read_wet(spark, path, language, cap=cap).withColumn("_place", F.struct(F.lit(i).alias("path"), "warc_file", F.monotonically_increasing_id().alias("row")))
+        whole = part if whole is None else whole.unionByName(part)
+    kept = dedup.exact_dedup(whole, "_place").withColumn("source", F.lit("common_crawl")).drop("_place")
+    kept.write.mode("overwrite").json(target)
+    return spark.read.text(target).count()
 
 
 def read_index(spark: SparkSession, path: str, schema: str, limit: int) -> DataFrame:

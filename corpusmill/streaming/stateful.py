@@ -3,34 +3,70 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpusmill.operators import arena
+from corpusmill.sources import shared
+
 
 def dedup_stream(docs: DataFrame, ts: str = "ts", text: str = "text", delay: str = "1 hour") -> DataFrame:
     """The first row of each text within the watermark's delay."""
     return docs.withColumn("content_hash", F.sha2(F.coalesce(text, F.lit("")), 256)).withWatermark(ts, delay).dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def rate_limit_stream(events: DataFrame, limit: int, window_s: float) -> DataFrame:
-    """(event_id, user_id, allowed) of events (event_id, user_id, ts); each user's state is at most `limit` admitted times."""
+def rate_limit_stream(events: DataFrame, limit: int, window_s: float, delay: str = "1 hour") -> DataFrame:
+    """(event_id, user_id, allowed) of events (event_id, user_id, ts); each user's state is at most `limit` admitted times, and goes once the watermark is a window past the last of them.
+
+    Events of one trigger are taken in the order of their time; one that comes later than the delay is dropped.
+    """
 
     def fold(key: tuple, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
-        for frame in frames:
-            out = []
-            frame = frame.sort_values(["s", "event_id"])
-            for s in frame["s"]:
-                held = [h for h in held if h > s - window_s]
-                out.append(len(held) < limit)
-                if out[-1]:
-                    held.append(float(s))
-            yield pd.DataFrame({"event_id": frame["event_id"], "user_id": key[0], "allowed": out})
-        state.update((held,))
-
-    rows = events.select("event_id", "user_id", F.col("ts").cast("timestamp").cast("double").alias("s"))
-    return rows.groupBy("user_id").applyInPandasWithState(fold, "event_id long, user_id long, allowed boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+        rows = pd.concat(list(frames)).sort_values(["s", "event_id"])
+        allowed = []
+        for s in rows["s"]:
+            held = [h for h in held if h > s - window_s]
+            allowed.append(len(held) < limit)
+            if allowed[-1]:
+                held.append(float(s))
+        if held:
+            state.update((held,))
+            state.setTimeoutTimestamp(max(int((held[-1] + window_s) * 1000), state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "allowed": allowed})
+
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    rows = timed.select("event_id", "user_id", "ts", F.col("ts").cast("double").alias("s"))
+    return rows.groupBy("user_id").applyInPandasWithState(fold, "event_id long, user_id long, allowed boolean", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def rating_stream(comparisons: DataFrame, path: str, checkpoint: str, **elo):
+    """A writer, to be started, that keeps ratings up to date: each trigger folds its new comparisons, in the order of their ids, into the snapshot before it and writes the next, `path`/version=<trigger>.
+
+    A trigger that runs again after a failure starts from the same snapshot and writes the same one again. ratings() reads the last snapshot.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        before = ratings(batch.sparkSession, path, number)
+        arena.elo(batch, before=before, **elo).write.mode("overwrite").parquet(f"{path}/version={number}")
+
+    return comparisons.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+
+
+def ratings(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
+    """(model, elo) of the last snapshot, of those before a version if one is given; None if there is none."""
+    store, root = shared.opened(path)
+    found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    numbers = [int(f.base_name.removeprefix("version=")) for f in found if f.base_name.startswith("version=")]
+    numbers = [n for n in numbers if below is None or n < below]
+    return spark.read.parquet(f"{path}/version={max(numbers)}") if numbers else None
 
 
 def windowed_counts(events: DataFrame, size: str = "1 day", delay: str = "1 hour") -> DataFrame:

@@ -57,8 +57,8 @@ def test_redaction_order(spark):
 
 def test_greedy_chain(spark):
     ids = spark.createDataFrame([(1,), (2,), (3,), (4,)], "doc_id long")
-    edges = spark.createDataFrame([(1, 2), (2, 3)], "earlier long, later long")
-    assert sorted(r[0] for r in dedup.greedy_keep(ids, edges).collect()) == [1, 3, 4]
+    buckets = spark.createDataFrame([(1, 1), (2, 1), (2, 2), (3, 2)], "doc_id long, bucket long")
+    assert sorted(r[0] for r in dedup.greedy_keep(ids, buckets).collect()) == [1, 3, 4]
 
 
 def test_near_dedup(spark):

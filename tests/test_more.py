@@ -138,8 +138,8 @@ def test_exact_dedup_of_null_orders(spark):
 
 def test_greedy_keep_of_a_long_chain(spark):
     ids = spark.range(1, 31).withColumnRenamed("id", "doc_id")
-    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 30)], "earlier long, later long")
-    assert sorted(r[0] for r in dedup.greedy_keep(ids, edges).collect()) == list(range(1, 31, 2))
+    buckets = spark.createDataFrame([(i + k, i) for i in range(1, 30) for k in (0, 1)], "doc_id long, bucket long")
+    assert sorted(r[0] for r in dedup.greedy_keep(ids, buckets).collect()) == list(range(1, 31, 2))
 
 
 def test_batch_encoding(spark):

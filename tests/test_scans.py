@@ -1,0 +1,207 @@
+"""Scans, windows and streams against plain loops."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpusmill.functions import urls
+from corpusmill.operators import arena, dedup, language, metrics, tokens
+from corpusmill.plans import examples
+from corpusmill.streaming import stateful
+
+
+@pytest.fixture(scope="module", autouse=True)
+def checkpoints(spark, tmp_path_factory):
+    spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
+
+
+def _closed(sizes, limit):
+    held, shard, out = 0, 0, []
+    for n in sizes:
+        out.append(shard)
+        held += n
+        if held >= limit:
+            held, shard = 0, shard + 1
+    return out, held, shard
+
+
+def test_closing_functions_compose():
+    dice = random.Random(3)
+    for _ in range(300):
+        limit = dice.randint(1, 40)
+        parts = [[dice.choice([0, 1, 2, 5, 50]) for _ in range(dice.randint(0, 12))] for _ in range(3)]
+        whole = None
+        for p in parts:
+            f = tokens._Closing.of(np.array(p, np.int64), limit)
+            whole = f if whole is None else whole.then(f)
+        for held in range(limit):
+            _, after, closed = _closed([held, *(x for p in parts for x in p)], limit)
+            got = whole(np.array([held]))
+            assert (int(got[0][0]), int(got[1][0])) == (after, closed)
+        assert len(whole.at) <= sum(map(len, parts))
+
+
+@pytest.mark.parametrize("limit", [1, 37, 10**9])
+def test_shards_close_as_in_a_plain_loop(spark, monkeypatch, limit):
+    monkeypatch.setattr(tokens, "_RUN_ROWS", 20)
+    monkeypatch.setattr(tokens, "_FAN", 3)
+    dice = random.Random(limit)
+    sizes = [dice.choice([0, 1, 3, 9, 40]) for _ in range(700)]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, n long").repartition(5)
+    got = [r.shard_id for r in tokens.assign_shards(df, limit).orderBy("doc_id").collect()]
+    assert got == _closed(sizes, limit)[0]
+    assert tokens.assign_shards(df.limit(0), limit).count() == 0
+    with pytest.raises(ValueError, match="limit"):
+        tokens.assign_shards(df, 0)
+
+
+def test_a_bucket_of_many_is_settled_in_linear_rows(spark):
+    dice = random.Random(1)
+    rows = [(i, 0) for i in range(10_000)] + [(dice.randrange(12_000), dice.randrange(1, 900)) for _ in range(3_000)]
+    kept, seen = set(), {}
+    mine = {}
+    for i, b in rows:
+        mine.setdefault(i, set()).add(b)
+    for i in sorted(mine):
+        if not any(b in seen for b in mine[i]):
+            kept.add(i)
+            seen |= dict.fromkeys(mine[i])
+    ids = spark.createDataFrame([(i,) for i in sorted(mine)] + [(99_999,)], "doc_id long")
+    got = {r.doc_id for r in dedup.greedy_keep(ids, spark.createDataFrame(rows, "doc_id long, bucket long")).collect()}
+    assert got == kept | {99_999}
+
+
+def test_windows_run_over_the_borders_of_files(spark, tmp_path):
+    ids = np.random.default_rng(2).integers(0, 60_000, 1003).tolist()
+    for files in (1, 7):
+        rows = [(k, k * 1000 // files, ids[k * 1003 // files : (k + 1) * 1003 // files]) for k in range(files)]
+        df = spark.createDataFrame(rows, "doc_id long, at int, ids array<int>").withColumn("shard_id", F.col("doc_id").cast("int"))
+        assert tokens.write_bins(df, str(tmp_path / f"b{files}")).agg(F.sum("tokens")).first()[0] == 1003
+        got = tokens.file_windows(spark, str(tmp_path / f"b{files}"), 50, batch=3).orderBy("window").collect()
+        assert [(r.window, r.input_ids, r.labels) for r in got] == [(w, ids[w * 50 : w * 50 + 50], ids[w * 50 + 1 : w * 50 + 51]) for w in range(20)]
+    tokens.write_bins(df.limit(1).withColumn("ids", F.array(F.lit(1))), str(tmp_path / "one")).collect()
+    assert tokens.file_windows(spark, str(tmp_path / "one"), 50).count() == 0
+    with pytest.raises(FileNotFoundError):
+        tokens.file_windows(spark, str(tmp_path / "one"), 50, split="val")
+
+
+def test_token_starts_and_labels(spark):
+    texts = ["Don't stop é😀 now", "", None, "a  b\n\tc", "日本 日本"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bpe in (tokens.BPE.of_bytes(), tokens.BPE.train(docs, 300, 1)):
+        for r in docs.withColumn("p", bpe.encode_placed(F.col("text"))).select("text", "p.*", bpe.encode(F.col("text")).alias("plain")).collect():
+            text = r.text or ""
+            size = np.cumsum([0, *(len(bpe._back[i]) for i in r.ids)])
+            char = [k for k, c in enumerate(text) for _ in c.encode()]
+            assert r.ids == r.plain and r.starts == [char[s] for s in size[:-1]]
+    turns = spark.createDataFrame([(1, 0, "user", "hé"), (1, 1, "assistant", "yö"), (2, 0, "user", "only")], "conv_id long, turn long, role string, text string")
+    bpe = tokens.BPE.of_bytes()
+    got = {r.conv_id: r for r in examples.conversation_examples(turns, bpe, most=64).collect()}
+    whole = "<|im_start|>user\nhé<|im_end|>\n<|im_start|>assistant\nyö<|im_end|>\n".encode()
+    ids, own = [b + 4 for b in whole], len("yö<|im_end|>\n".encode())
+    assert got[1].input_ids == ids[:64] and got[1].labels == ([-100] * (len(ids) - own) + ids[-own:])[:64]
+    assert set(got[2].labels) == {-100} and sum(got[2].attention_mask) == len("<|im_start|>user\nonly<|im_end|>\n") and len(got[2].input_ids) == 64
+
+
+def test_sft_and_preferences_from_files(spark, tmp_path):
+    (tmp_path / "s.jsonl").write_text('{"instruction": "add", "input": "1 2", "output": "3"}\n{"prompt": "q", "response": "a"}\n{"messages": [{"role": "assistant", "content": "m"}]}\n{"prompt": "no answer"}\nbroken\n')
+    bpe = tokens.BPE.of_bytes()
+    back = lambda ids: bpe.decode([i for i in ids if i >= 4])
+    got = sorted((back(r.input_ids), back([i for i in r.labels if i >= 0])) for r in examples.load_sft(spark, str(tmp_path / "s.jsonl"), bpe, most=200).collect())
+    turn = lambda r, t: f"<|im_start|>{r}\n{t}<|im_end|>\n"
+    assert got == sorted([(turn("user", "add\n1 2") + turn("assistant", "3"), "3<|im_end|>\n"), (turn("user", "q") + turn("assistant", "a"), "a<|im_end|>\n"), (turn("assistant", "m"), "m<|im_end|>\n")])
+    (tmp_path / "p.jsonl").write_text('{"prompt": "q", "chosen": "good", "rejected": "b"}\n{"prompt": "q"}\n')
+    (r,) = examples.load_preferences(spark, str(tmp_path / "p.jsonl"), bpe, most=30).collect()
+    assert back(r.chosen_input_ids) == "Human: q\nAssistant: good" and back(r.rejected_input_ids) == "Human: q\nAssistant: b" and len(r.rejected_input_ids) == 30 and sum(r.rejected_attention_mask) == 21
+
+
+def test_strides(spark):
+    rows = spark.createDataFrame([(n, list(range(n))) for n in (0, 1, 9, 10, 11, 14, 15, 40)], "doc_id long, ids array<int>")
+    got = {}
+    for r in metrics.strided_examples(rows, 10, 4).collect():
+        got.setdefault(r.doc_id, []).append((r.window, r.begin, r.input_ids, r.labels))
+    for n in (1, 9, 10, 11, 14, 15, 40):
+        want, before = [], 0
+        for k, begin in enumerate(range(0, n, 4)):
+            end = min(begin + 10, n)
+            want.append((k, begin, list(range(begin, end)), [-100] * (before - begin) + list(range(before, end))))
+            before = end
+            if end == n:
+                break
+        assert sorted(got[n]) == want
+    assert 0 not in got
+    none = metrics.strided_perplexity(spark.createDataFrame([], "doc_id long, window int, pos int, nll double"), spark.createDataFrame([], "doc_id long, length int")).first()
+    assert math.isinf(none.perplexity) and none.sequences == 0
+
+
+def test_crawl_budget_and_fetch_predicates(spark):
+    links = spark.createDataFrame([("a", "c"), ("a", "b"), ("b", "e"), ("c", "d"), ("c", "a"), ("d", "f"), ("e", "f")], "url string, link string")
+    seeds = spark.createDataFrame([("a",)], "url string")
+    order = ["a", "b", "c", "e", "d", "f"]
+    for most in (1, 2, 3, 4, 5, 6, 50):
+        assert {r.url for r in urls.crawl(links, seeds, 5, most).collect()} == set(order[:most])
+    assert {(r.url, r.depth) for r in urls.crawl(links, seeds, 1).collect()} == {("a", 0), ("b", 1), ("c", 1)}
+    said = spark.createDataFrame([(1, 200, "text/HTML; x", "t" * 100), (2, 200, "text/html", "t" * 100), (3, 404, "text/html", "u" * 100), (4, 200, "image/png", "v" * 100), (5, 200, "text/html", "w"), (6, None, None, None), (7, 200, "text/html", "z" * 100)], "id long, status int, content_type string, text string")
+    assert sorted(r.id for r in urls.accepted(said, "id").collect()) == [1, 7]
+    odd = spark.createDataFrame([("http://A/b/;x?z=1&y=2#f",), ("HTTP://h:80/p;q",)], "url string")
+    assert [r[0] for r in odd.select(urls.normalize_url("url")).collect()] == ["http://a/b;x?y=2&z=1", "http://h/p;q"]
+
+
+def test_a_host_with_half_of_the_rows_spreads(spark):
+    dice = random.Random(5)
+    rows = [(i, "http://hot/" + str(i) if i % 2 else f"http://h{i % 7}/x", dice.uniform(0, 300)) for i in range(600)] + [(600, None, 1.0)]
+    last, want = {}, {}
+    for i, u, at in rows:
+        h = urls.urlparse(u).netloc if u else ""
+        last[h] = want[i] = max(at, last.get(h, -1e18) + 1.5)
+    df = spark.createDataFrame(rows, "i long, url string, at double")
+    got = {r.i: r.fetch_s for r in urls.fetch_times(df, "i", 1.5, start="at").collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+def test_trigram_detector(spark):
+    docs = spark.createDataFrame([("the house and the tree", "en"), ("das haus und der baum", "de"), (None, "de"), ("x", None)] * 3, "text string, lang string")
+    d = language.TrigramDetector.train(docs)
+    ask = spark.createDataFrame([("the tree",), ("der baum",), ("12 34",), ("",), (None,), ("THE HOUSE" * 500,)], "text string")
+    got = [(r.d.language, r.d.confidence) for r in ask.select(d.detect(F.col("text")).alias("d")).collect()]
+    assert [g[0] for g in got] == ["en", "de", "unknown", "unknown", "unknown", "en"] and got[2][1] == 0 and 0.5 < got[0][1] <= 1
+    assert language.TrigramDetector.train(docs.limit(0)).detect(F.col("text")) is not None
+    assert ask.select(language.TrigramDetector.train(docs.limit(0)).detect(F.col("text")).alias("d")).first().d.language == "unknown"
+
+
+def test_few_shot(spark):
+    rows = spark.createDataFrame([(i, f"q{i}", f"a{i}") for i in range(6)], "id long, question string, answer string")
+    got = [(r.id, r.prompt) for r in metrics.few_shot(rows, shots=3, shown=2, most=2).orderBy("id").collect()]
+    head = "Question: q0\nAnswer: a0\n\nQuestion: q1\nAnswer: a1\n\n"
+    assert got == [(3, head + "Question: q3\nAnswer: "), (4, head + "Question: q4\nAnswer: ")]
+
+
+def test_ratings_of_a_stream_equal_those_of_the_table(spark, tmp_path):
+    dice = random.Random(2)
+    rows = [(i, *dice.sample("abcd", 2), dice.choice(["a", "b", "tie"])) for i in range(90)]
+    whole = spark.createDataFrame(rows, "comparison_id long, model_a string, model_b string, winner string")
+    want = {r.model: r.elo for r in arena.elo(whole).collect()}
+    for k in range(3):
+        whole.filter(F.floor(F.col("comparison_id") / 30) == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = stateful.rating_stream(spark.readStream.schema(whole.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+    assert {r.model: r.elo for r in stateful.ratings(spark, str(tmp_path / "out")).collect()} == pytest.approx(want)
+    assert stateful.ratings(spark, str(tmp_path / "none")) is None
+
+
+def test_state_of_the_rate_limit_goes(spark, tmp_path):
+    at = lambda s: f"timestamp '2024-01-01 00:00:00' + interval {s} seconds"
+    batches = [[(0, 1, 0), (1, 1, 1), (2, 1, 2), (3, 2, 5)], [(4, 2, 20_000)], [(5, 2, 20_001), (6, 1, 20_002)]]
+    shape = "event_id long, user_id long, ts timestamp"
+    state = []
+    for k, b in enumerate(batches):
+        spark.createDataFrame([(e, u) for e, u, _ in b], "event_id long, user_id long").withColumn("ts", F.expr("CASE event_id " + " ".join(f"WHEN {e} THEN {at(s)}" for e, _, s in b) + " END")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = stateful.rate_limit_stream(spark.readStream.schema(shape).parquet(str(tmp_path / "in")), 2, 10.0).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(90)
+        state.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert {r.event_id: r.allowed for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {0: True, 1: True, 2: False, 3: True, 4: True, 5: True, 6: True}
+    assert state[0] == 2 and state[1] == 1  # user 1 had nothing within a window of the watermark
+
