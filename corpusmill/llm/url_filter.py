@@ -1,6 +1,8 @@
 """URL filter: host and path rules, and for other URLs gradient-boosted trees on lexical features.
 
-Only SQL functions run on the rows. The trees are fitted on the driver from a bounded sample of URLs that the rules label.
+Only SQL functions run on the rows. The trees are fitted on the driver from a bounded sample of labelled URLs. A URL is labelled by the
+words of its host: those of a fixed list speak for spam, adverts or adult pages. The trees never see words, only the lexical form, so that they judge hosts
+with other words by what such hosts look like.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from corpusmill.llm.gbt import BoostedTrees
 
 #: (rule, verdict); a rule is a host and the start of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+#: Words of hosts that label a URL as one to block.
+SPAM = ("ad", "adult", "ads", "banner", "bet", "bets", "betting", "casino", "click", "dating", "escort", "jackpot", "loan", "loans", "lottery", "payday", "pharmacy", "pills", "poker", "popup", "porn", "replica", "sex", "slots", "spam", "track", "tracker", "viagra", "warez", "xxx")
 #: Labelled rows of each verdict that training may use, one of each hash slot. Suffixes with statistics of their own.
 SAMPLE, SUFFIXES = 2000, 24
 
@@ -67,13 +71,14 @@ def _ruled(pages: DataFrame, rules, key: str, column: str) -> DataFrame:
 def judge(pages: DataFrame, rules=RULES, key: str = "page_id", column: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict and score for every row; a null url or one without `://` has empty parts.
 
-    verdict is the rule's, else `block` where the trees say at least one half. Without labelled URLs of both verdicts everything else is allowed.
+    verdict is the rule's, else `block` where the trees say at least one half. Where no host or every host has a word of the list, there is nothing to learn and everything else is allowed.
     Repeated rows are judged alike, each by its url alone; an empty table gives no rows.
     """
     base = _ruled(pages, rules, key, column)
     blocked = F.col("rule").isin([r for r, v in rules if v == "block"])
     told = base.withColumns(_features(F.col("_url"), F.col("host"), F.col("path")) | _suffixes(F.col("host"), F.col("path")))
-    model, rates, _ = _train(base, blocked)
+    rows = _sample(base)
+    model, rates = _fitted(rows, np.arange(len(rows)))
     if model is None:
         score = F.lit(0.0)
     else:
@@ -90,9 +95,13 @@ def _rate(rates: dict[str, float], suffix: Column) -> Column:
     return F.lit(0.5) if out is None else out.otherwise(0.5)
 
 
-def _sample(base: DataFrame, blocked: Column) -> list:
-    """Labelled URLs with their features: of each of SAMPLE hash slots of each verdict the row with the least hash, so no task and no driver holds more."""
-    hashed = base.filter(F.col("rule").isNotNull()).withColumns({"label": blocked.cast("double"), "h": F.xxhash64("_url")})
+def _spam(host: Column) -> Column:
+    return F.arrays_overlap(F.split(host, r"[.\-]"), F.array(*map(F.lit, SPAM)))
+
+
+def _sample(base: DataFrame) -> list:
+    """Labelled URLs with their features: of each of SAMPLE hash slots of each label the row with the least hash, so no task and no driver holds more."""
+    hashed = base.filter(F.col("host") != "").withColumns({"label": _spam(F.col("host")).cast("double"), "h": F.xxhash64("_url")})
     chosen = hashed.groupBy("label", F.pmod(F.hash("h"), F.lit(SAMPLE)).alias("slot")).agg(F.min(F.struct("h", "_url", "host", "path")).alias("r")).select("label", "r.*")
     url, host, path = F.col("_url"), F.col("host"), F.col("path")
     return chosen.select("label", "host", *(c.alias(n) for n, c in (_features(url, host, path) | _suffixes(host, path)).items()), "h").orderBy("label", "h").collect()
@@ -113,32 +122,34 @@ def _shares(values: list[str], hosts: list[str], y: np.ndarray) -> tuple[np.ndar
     return np.array([r if v in best else 0.5 for r, v in zip(rows, values, strict=True)]), {v: share(*total[v]) for v in best}
 
 
-def _train(base: DataFrame, blocked: Column) -> tuple[BoostedTrees | None, dict, dict]:
-    """The trees, the suffix shares, and how often they are right on hosts held out of another fit (a quarter of the hosts; also `always`, the share of the commoner label there)."""
-    rows = _sample(base, blocked)
-    y = np.array([r.label for r in rows])
+def _numeric(row) -> list[str]:
+    return [c for c in row.__fields__ if c not in ("label", "host", "h", "host_suffix", "file_suffix")]
+
+
+def _fitted(rows: list, at: np.ndarray) -> tuple[BoostedTrees | None, dict]:
+    """The trees and the suffix shares of the rows at some places; no trees where these have one label."""
+    y = np.array([rows[i].label for i in at])
     if len(np.unique(y)) < 2:
-        return None, {}, {}
-    numeric = [c for c in rows[0].__fields__ if c not in ("label", "host", "h", "host_suffix", "file_suffix")]
-    hosts = [r.host for r in rows]
-
-    def fitted(at: np.ndarray) -> tuple[BoostedTrees, dict]:
-        mine = [rows[i] for i in at]
-        shares = {c: _shares([r[c] for r in mine], [r.host for r in mine], y[at]) for c in ("host_suffix", "file_suffix")}
-        x = np.array([[*(float(r[c]) for c in numeric), *(shares[c][0][i] for c in shares)] for i, r in enumerate(mine)])
-        return BoostedTrees([*numeric, *shares], trees=30).fit(x, y[at]), {c: s[1] for c, s in shares.items()}
-
-    away = np.array([zlib.crc32(h.encode()) % 4 == 0 for h in hosts])
-    told = {}
-    if away.any() and len(np.unique(y[~away])) == 2:
-        model, rates = fitted(np.flatnonzero(~away))
-        x = np.array([[*(float(r[c]) for c in numeric), *(rates[c].get(r[c], 0.5) for c in rates)] for r in (rows[i] for i in np.flatnonzero(away))])
-        told = {"rows": int(away.sum()), "right": float(((model.score(x) >= 0.5) == (y[away] > 0)).mean()), "always": float(max(y[away].mean(), 1 - y[away].mean()))}
-    model, rates = fitted(np.arange(len(y)))
-    return model, rates, told
-
-
-def held_out_accuracy(pages: DataFrame, rules=RULES, key: str = "page_id", column: str = "url") -> dict:
-    """rows, right and always (see _train) of the rule-labelled URLs of hosts that the trees did not see."""
-    base = _ruled(pages, rules, key, column)
-    return _train(base, F.col("rule").isin([r for r, v in rules if v == "block"]))[2]
+        return None, {}
+    mine, numeric = [rows[i] for i in at], _numeric(rows[0])
+    shares = {c: _shares([r[c] for r in mine], [r.host for r in mine], y) for c in ("host_suffix", "file_suffix")}
+    x = np.array([[*(float(r[c]) for c in numeric), *(shares[c][0][i] for c in shares)] for i, r in enumerate(mine)])
+    return BoostedTrees([*numeric, *shares], trees=30).fit(x, y), {c: s[1] for c, s in shares.items()}
+
+
+def _matrix(rows: list, rates: dict) -> np.ndarray:
+    return np.array([[*(float(r[c]) for c in _numeric(r)), *(rates[c].get(r[c], 0.5) for c in rates)] for r in rows])
+
+
+def held_out_accuracy(pages: DataFrame, rules=RULES, key: str = "page_id", column: str = "url", folds: int = 4) -> dict:
+    """rows, right (share), always (that of the commoner label), precision and recall of `block` for labelled URLs, each judged by trees that saw no URL of its host."""
+    rows = _sample(_ruled(pages, rules, key, column))
+    fold = np.array([zlib.crc32(r.host.encode()) % folds for r in rows])
+    y, said = np.array([r.label for r in rows]), np.zeros(len(rows))
+    for k in range(folds):
+        model, rates = _fitted(rows, np.flatnonzero(fold != k))
+        away = np.flatnonzero(fold == k)
+        if model is not None and len(away):
+            said[away] = model.score(_matrix([rows[i] for i in away], rates)) >= 0.5
+    hit = float((said * y).sum())
+    return {"rows": len(y), "right": float((said == y).mean()), "always": float(max(y.mean(), 1 - y.mean())), "precision": hit / max(float(said.sum()), 1), "recall": hit / max(float(y.sum()), 1)}

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import hard_negatives, jaccard_join, langid, licenses, queries, snapshot_diff
+from corpusmill.llm import hard_negatives, jaccard_join, langid, licenses, queries, snapshot_diff, url_filter
 from corpusmill.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -210,3 +210,30 @@ def test_ppm_equals_a_naive_one_on_every_class_of_bytes(text):
         padded = langid.PAD + text
         want = sum(-np.log2(chance(counts, padded[i - langid.ORDER : i], langid.ORDER, padded[i])) for i in range(langid.ORDER, len(padded)))
         assert model.totals([text])[0][j] == pytest.approx(want, rel=1e-4)
+
+
+def test_url_trees_as_sql_equal_their_plain_form_and_know_unseen_hosts(spark):
+    pages = table(spark, "/root/testdata/sf0.1", "pages")
+    told = url_filter.held_out_accuracy(pages)
+    assert told["right"] > told["always"] + 0.03 and told["precision"] > 0.8 and told["recall"] > 0.8
+    base = url_filter._ruled(pages, url_filter.RULES, "page_id", "url")
+    rows = url_filter._sample(base)
+    model, rates = url_filter._fitted(rows, np.arange(len(rows)))
+    url, host, path = F.col("_url"), F.col("host"), F.col("path")
+    features = url_filter._features(url, host, path) | url_filter._suffixes(host, path)
+    plain = base.select("page_id", *(c.alias(n) for n, c in features.items())).orderBy("page_id").collect()
+    x = np.array([[*(float(r[c]) for c in model.features if c not in rates), *(rates[c].get(r[c], 0.5) for c in rates)] for r in plain])
+    got = {r.page_id: r for r in url_filter.judge(pages).collect()}
+    for r, score in zip(plain, model.score(x), strict=True):
+        assert got[r.page_id].score == pytest.approx(float(score), abs=1e-9)
+        if got[r.page_id].rule is None:
+            assert got[r.page_id].verdict == ("block" if score >= 0.5 else "allow")
+
+
+def test_url_filter_of_odd_rows(spark):
+    urls = [None, "", "http://", "http://a-b.example.org/" + "x/" * 60_000, "HTTP://Casino-1.EXAMPLE.net?q#f", "HTTP://Casino-1.EXAMPLE.net?q#f", "://", "http://é.example.org/ü"]
+    df = spark.createDataFrame([(1 if i < 4 else i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    got = url_filter.judge(df).collect()
+    assert len(got) == len(urls) and [(r.host, r.rule) for r in got if r.page_id in (4, 5)] == [("casino-1.example.net", "net/")] * 2
+    assert all(r.verdict in ("allow", "block") and 0 <= r.score <= 1 for r in got)
+    assert url_filter.judge(df.filter("page_id = 7")).first().verdict == "allow"
