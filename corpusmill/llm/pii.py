@@ -47,7 +47,7 @@ _WORDS = {
     "says_phone": r"(?i)(phone|tel|call|mobile|cell|fax|dial|whatsapp|sms)",
     "says_other": r"(?i)(order|isbn|version|serial|invoice|ticket|token|hash|sha|commit|build|doi|issn|sku|part|total|count|population|figure|page|pages|\bno\.|nr\.|#|\$|€|£|=)",
 }
-FEATURES = ["is_email", "is_ip", "is_card", "is_phone", "length", "digits", "luhn", "separators", "grouped", "plus", "paren", "marks", "glued", "quoted", "zeros", *_WORDS]
+FEATURES = ["is_email", "is_ip", "is_card", "is_phone", "length", "digits", "luhn", "separators", "grouped", "plus", "paren", "marks", "spelled", "leading", "glued", "quoted", "zeros", *_WORDS]
 
 
 def _let(value: Column, body) -> Column:
@@ -134,7 +134,7 @@ def _features(kind: str, c: Column) -> Column:
     told |= {
         "length": flag(F.length(s)), "digits": flag(F.length(d)), "luhn": flag(_luhn(d)), "separators": flag(F.length(F.regexp_replace(s, r"[^ ./-]", ""))),
         "grouped": flag(s.rlike(r"^[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}$|^[0-9]{16}$")), "plus": flag(s.rlike(r"^\+|^00")), "paren": flag(F.contains(s, F.lit("("))),
-        "marks": flag(F.regexp_count(s, F.lit(r"[\[({]"))),
+        "marks": flag(F.regexp_count(s, F.lit(r"[\[({]"))), "spelled": flag(s.rlike(r"(?i) dot |[\[({]dot[\])}]")), "leading": flag(F.startswith(s, F.lit("0"))),
         "glued": flag(c["before"].rlike(r"[\p{L}\p{N}_./:-]$") | c["after"].rlike(r"^[\p{L}\p{N}_/%]|^[.,][0-9]")), "quoted": flag(c["before"].rlike("[\"'=]$")), "zeros": flag(d.rlike("0{5,}$")),
     }
     told |= {name: flag(c["before"].rlike(pattern)) for name, pattern in _WORDS.items()}
@@ -165,7 +165,7 @@ def _cases(seed: int, count: int) -> list[tuple[str, int, int, str]]:
     four = lambda s, by: by.join(s[i : i + 4] for i in range(0, len(s), 4))
     good = {
         "card": [lambda: digits(16), lambda: luhn(16), lambda: four(digits(16), " "), lambda: four(digits(16), "-"), lambda: luhn(15)],
-        "phone": [lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"+{r.randint(1, 99)} {digits(3)} {digits(3)} {digits(4)}", lambda: f"00{r.randint(1, 99)} {digits(3)} {digits(4)}{digits(3)}"],
+        "phone": [lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"+{r.randint(1, 99)} {digits(3)} {digits(3)} {digits(4)}", lambda: f"00{r.randint(1, 99)} {digits(3)} {digits(4)}{digits(3)}", lambda: f"00{r.randint(1, 99)} {digits(2)} {digits(6)} {digits(2)}", lambda: f"0{digits(r.choice((2, 3, 4)))} {digits(3)}{digits(1)} {digits(4)}"],
         "email": [lambda: f"{words(1)}{digits(2)} at {words(1)} dot com", lambda: f"{words(1)}[at]{words(1)}[dot]org", lambda: f"{words(1)} (at) {words(1)} (dot) net", lambda: f"{words(1)}.{words(1)} [at] {words(1)}.com"],
         "ip": [lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)).replace(".", "[.]"), lambda: " . ".join(str(r.randint(0, 255)) for _ in range(4)), lambda: ".".join(str(r.randint(0, 255)) for _ in range(4))],
     }

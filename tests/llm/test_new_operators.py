@@ -2,15 +2,18 @@
 
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import hard_negatives, jaccard_join, langid, licenses, queries, snapshot_diff, url_filter
+from corpusmill.llm import hard_negatives, jaccard_join, langid, licenses, pii, queries, snapshot_diff, url_filter
 from corpusmill.llm.common import table
 
+import personal_cases
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -237,3 +240,26 @@ def test_url_filter_of_odd_rows(spark):
     assert len(got) == len(urls) and [(r.host, r.rule) for r in got if r.page_id in (4, 5)] == [("casino-1.example.net", None)] * 2
     assert all(r.verdict in ("allow", "block") and 0 <= r.score <= 1 for r in got)
     assert url_filter.judge(df.filter("page_id = 7")).first().verdict == "allow"
+
+
+@pytest.mark.parametrize("name", ["CASES", "UNSEEN"])
+def test_personal_data_in_sentences_written_by_hand(spark, name):
+    """Recall of marked spans, and precision of the spans that the trees add to the base ones, which stay whatever they are. A span is right if it overlaps a marked one of its kind."""
+    rows, truth = [], []
+    for i, line in enumerate(getattr(personal_cases, name).strip().split("\n")):
+        m = re.search(r"\[\[(\w+):(.*?)\]\](?!\])", line)
+        rows.append((i, line[: m.start()] + m[2] + line[m.end() :] if m else line))
+        truth.append((m[1], m.start(), m.start() + len(m[2])) if m else None)
+    got = {r.doc_id: r for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    added = right = lost = 0
+    recall = {}
+    for kind in pii.KINDS:
+        overlaps = lambda i, s: truth[i] is not None and truth[i][0] == kind and s[0] < truth[i][2] and s[1] > truth[i][1]  # noqa: B023, E731
+        new = [(i, tuple(s)) for i, r in got.items() for s in r[f"all_{kind}"] if s not in r[f"base_{kind}"]]
+        added, right = added + len(new), right + sum(overlaps(*f) for f in new)
+        wanted = [i for i, t in enumerate(truth) if t and t[0] == kind]
+        missed = [i for i in wanted if not any(overlaps(i, s) for s in got[i][f"all_{kind}"])]
+        recall[kind], lost = 1 - len(missed) / len(wanted), lost + len(missed)
+        print(name, kind, recall[kind], [rows[i][1] for i in missed], [rows[i][1][s[0] : s[1]] for i, s in new if not overlaps(i, s)])
+    print(name, "added", added, right, recall)
+    assert right >= 0.9 * added and min(recall.values()) >= 0.8 and lost <= 0.1 * sum(t is not None for t in truth), (added, right, recall)
