@@ -81,5 +81,10 @@ def format_reward(response: Column, kind: Column) -> Column:
     return F.when(k == "json", valid.cast("double")).when(k == "bullet_list", F.least(F.lit(1.0), bullets * 2)).when(k == "concise", concise).otherwise(0.0)
 
 
+def passed(score: Column, task: Column) -> Column:
+    """Whether an answer counts as right: a full reward, for formats 0.8 of it."""
+    return score >= F.when(task == "format", 0.8).otherwise(1.0)
+
+
 def reward(task: Column, response: Column, truth: Column, stdout: Column) -> Column:
     return F.when(task == "math", math_reward(response, truth)).when(task == "code", code_reward(response, stdout, truth)).when(task == "format", format_reward(response, truth)).otherwise(0.0)
