@@ -293,12 +293,19 @@ def crawl_depths(spark, sf_dir):
     return urls.crawl(links, pages.filter("page_id = 0").select("url"), 3)
 
 
-@query()
+#: The words that a byte-level pre-tokenizer cuts. White space gives its last character to what follows, for which the SQL's patterns have no look-ahead: a mark cuts there first.
+_WORD_SQL = r"""p AS (SELECT unnest(string_split(regexp_replace(text, '(\s+)(\s\S)', '\1' || chr(1) || '\2', 'g'), chr(1))) AS p FROM documents),
+    w AS (SELECT unnest(regexp_extract_all(p, chr(39) || '(?:s|t|re|ve|m|ll|d)| ?[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+| ?[^\s\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+|\s+')) AS word FROM p), f AS (SELECT word, count(*) AS freq FROM w GROUP BY word)"""
+
+
+@query(f"WITH {_WORD_SQL} SELECT word, freq FROM f")
 def word_freq(spark, sf_dir):
     return tokens.word_frequencies(_read(spark, sf_dir, "documents")).select("word", "freq")
 
 
-@query()
+@query(f"""WITH {_WORD_SQL}, b AS (SELECT b, b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b >= 174 AS plain FROM range(256) t(b)), s AS (SELECT list(CASE WHEN plain THEN chr(b::INT) ELSE chr((255 + n)::INT) END ORDER BY b) AS s FROM (SELECT *, row_number() OVER (PARTITION BY plain ORDER BY b) AS n FROM b)),
+    h AS (SELECT freq, list_transform(range(1, strlen(word) + 1), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i - 1, 2) AS INT) + 1) AS h FROM f), q AS (SELECT freq, h, unnest(range(1, len(h))) AS i FROM h WHERE len(h) > 1)
+    SELECT s[h[i]] AS "left", s[h[i + 1]] AS "right", sum(freq)::BIGINT AS freq FROM q, s GROUP BY ALL""")
 def pair_freq(spark, sf_dir):
     return tokens.pair_frequencies(tokens.word_frequencies(_read(spark, sf_dir, "documents")))
 
