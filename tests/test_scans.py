@@ -217,3 +217,14 @@ def test_pipelines_detect_languages(spark):
     assert {r.tags.language for r in files.tagged(docs, d.detect).collect()} == {"en", "de"}
     scores = spark.createDataFrame([("format", 0.8), ("format", 0.79), ("math", 0.9), ("code", 1.0)], "task string, score double")
     assert [r[0] for r in scores.select(rewards.passed(F.col("score"), F.col("task"))).collect()] == [True, False, False, True]
+
+
+@pytest.mark.parametrize(("size", "least"), [(330, 2), (100_000, 3)])
+def test_training_in_rounds_equals_the_driver_loop(spark, size, least):
+    """Letters of few kinds, so that pairs meet end to end, tie and come up again."""
+    dice = random.Random(size)
+    pool = ["".join(dice.choice("abcé") for _ in range(dice.randint(1, 9))) for _ in range(30)] + ["aaaa", "aaaaaaa", "abababab"]
+    texts = ["banana bandana ananas aaaa aaaaaaa abababab", "the cat that sat there, the hat", *(" ".join(dice.choices(pool, k=30)) for _ in range(9))]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(99, None), (98, "")], "doc_id long, text string")
+    want, got = tokens.BPE.train(docs, size, least), tokens.BPE.train_in_rounds(docs, size, least)
+    assert got.merges == want.merges and got.vocab == want.vocab and len(got.merges) > 30
