@@ -17,6 +17,10 @@ def dedup_stream(docs: DataFrame, ts: str = "ts", text: str = "text", delay: str
     return docs.withColumn("content_hash", F.sha2(F.coalesce(text, F.lit("")), 256)).withWatermark(ts, delay).dropDuplicatesWithinWatermark(["content_hash"])
 
 
+#: A watermark starts at 1970, and rows from before it would be late. The clock that it follows is this many seconds ahead.
+_CLOCK_S = 200 * 365 * 86400
+
+
 def rate_limit_stream(events: DataFrame, limit: int, window_s: float, delay: str = "1 hour") -> DataFrame:
     """(event_id, user_id, allowed) of events (event_id, user_id, ts); each user's state is at most `limit` admitted times, and goes once the watermark is a window past the last of them.
 
@@ -37,13 +41,13 @@ def rate_limit_stream(events: DataFrame, limit: int, window_s: float, delay: str
                 held.append(float(s))
         if held:
             state.update((held,))
-            state.setTimeoutTimestamp(max(int((held[-1] + window_s) * 1000), state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(int((held[-1] + window_s + _CLOCK_S) * 1000), state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
         yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "allowed": allowed})
 
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    rows = timed.select("event_id", "user_id", "ts", F.col("ts").cast("double").alias("s"))
+    s = F.col("ts").cast("timestamp").cast("double")
+    rows = events.select("event_id", "user_id", s.alias("s"), F.timestamp_seconds(s + _CLOCK_S).alias("clock")).withWatermark("clock", delay)
     return rows.groupBy("user_id").applyInPandasWithState(fold, "event_id long, user_id long, allowed boolean", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
