@@ -46,6 +46,13 @@ def _checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(found)
 
 
+def _short_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Texts cut into words or ids are large as Python objects: fewer of them in an Arrow batch; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def _r(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits)
 
@@ -322,6 +329,7 @@ def bpe_merges(spark, sf_dir):
 
 @query()
 def bpe_encode(spark, sf_dir):
+    _short_batches(spark)
     b = _trained(spark, sf_dir)
     ids = _read(spark, sf_dir, "documents").withColumn("ids", b.encode(F.col("text"), eos=True))
     return ids.select("doc_id", F.size("ids").alias("n"), (b.decode_column(F.col("ids")) == F.col("text")).alias("round_trip"))
@@ -333,6 +341,7 @@ _IDS = f"t AS (SELECT doc_id, list_append({_BYTES}, 3) AS ids FROM (SELECT doc_i
 
 
 def _tokenized(spark, sf_dir) -> DataFrame:
+    _short_batches(spark)
     return files.encoded(_read(spark, sf_dir, "documents"), tokens.BPE.of_bytes())
 
 
@@ -376,6 +385,7 @@ _TURNS = """t AS (SELECT conv_id, turn, role, CASE WHEN role IN ('system', 'user
 @query(f"WITH {_TURNS} SELECT conv_id, len(b)::INT AS n_ids, len(list_filter(b, lambda x: x.own))::INT AS n_labels, md5(array_to_string(list_transform(b, lambda x: CASE WHEN x.own THEN x.id ELSE -100 END), ',')) AS labels FROM c")
 def sft_labels(spark, sf_dir):
     """Conversations to ids and labels, the loss on answers and their end marks only."""
+    _short_batches(spark)
     x = examples.conversation_examples(_read(spark, sf_dir, "conversations"), tokens.BPE.of_bytes())
     n = F.aggregate("attention_mask", F.lit(0), lambda a, v: a + v)
     own = F.size(F.filter("labels", lambda v: v != -100))
