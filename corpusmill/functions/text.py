@@ -24,6 +24,11 @@ def paragraphs(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"\n\n+"), strip), lambda x: x != "")
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often the body or a lambda in it names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total_length(a: Column) -> Column:
     return F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions import text as T
+
 # Fixed values: (start, end) of each role.
 TEMPLATES = {
     "chatml": {"system": ("<|im_start|>system\n", "<|im_end|>\n"), "user": ("<|im_start|>user\n", "<|im_end|>\n"), "assistant": ("<|im_start|>assistant\n", "<|im_end|>\n")},
@@ -33,16 +35,20 @@ def conversations(turns: DataFrame, template: str = "chatml") -> DataFrame:
     return turns.groupBy("conv_id").agg(ordered.alias("m")).select("conv_id", F.size("m").alias("n_turns"), format_messages(F.col("m"), template).alias("text"))
 
 
+def _said(message: Column, template: str) -> Column:
+    return F.coalesce(F.length(wrapped(message["role"], message["content"], template)), F.lit(0))
+
+
 def char_mask(messages: Column, template: str = "chatml") -> Column:
-    """(start, end) character ranges of assistant contents with their end marks in the formatted text; the loss is taken there."""
-    step = lambda s, m: F.struct((s["at"] + F.length(wrapped(m["role"], m["content"], template))).alias("at"), F.when(m["role"] == "assistant", F.concat(s["spans"], F.array(F.struct((s["at"] + len(TEMPLATES[template]["assistant"][0])).alias("start"), (s["at"] + F.length(wrapped(m["role"], m["content"], template))).alias("end"))))).otherwise(s["spans"]).alias("spans"))
+    """(start, end) character ranges of assistant contents with their end marks in the formatted text; the loss is taken there. A message without content is no part of that text."""
+    step = lambda s, m: F.struct((s["at"] + _said(m, template)).alias("at"), F.when(m["role"] == "assistant", F.concat(s["spans"], F.array(F.struct((s["at"] + len(TEMPLATES[template]["assistant"][0])).alias("start"), (s["at"] + _said(m, template)).alias("end"))))).otherwise(s["spans"]).alias("spans"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
     return F.aggregate(messages, start, step, lambda s: s["spans"])
 
 
 def label_mask(ids: Column, starts: Column, spans: Column) -> Column:
-    """ids where a token starts inside a span, -100 elsewhere."""
-    return F.zip_with(ids, starts, lambda i, at: F.when(F.exists(spans, lambda s: (s["start"] <= at) & (at < s["end"])), i).otherwise(-100))
+    """ids where a token starts inside a span, -100 elsewhere. The spans are bound first, not found again for every token."""
+    return T.let(spans, lambda spans: F.zip_with(ids, starts, lambda i, at: F.when(F.exists(spans, lambda s: (s["start"] <= at) & (at < s["end"])), i).otherwise(-100)))
 
 
 def alpaca(instruction: Column, given: Column, response: Column) -> Column:
@@ -106,5 +112,6 @@ def collate_preferences(df: DataFrame, by: str, chosen: str = "chosen_input_ids"
 def padded_example(ids: Column, starts: Column, spans: Column, most: int = 2048, pad: int = 0) -> Column:
     """(input_ids, labels, attention_mask) of length `most`: ids cut and padded, labels the ids whose token starts inside a span and -100 elsewhere."""
     width = F.lit(most)
+    ids, starts = F.slice(ids, F.lit(1), width), F.slice(starts, F.lit(1), width)
     ones = F.transform(ids, lambda _: F.lit(1))
     return F.struct(_padded(ids, width, pad).alias("input_ids"), _padded(label_mask(ids, starts, spans), width, -100).alias("labels"), _padded(ones, width, 0).alias("attention_mask"))

@@ -203,9 +203,23 @@ class BPE:
         raw = b"".join(b"" if p in self.specials and skip_special else p.encode() if p in self.specials else bytes(self._byte[c] for c in p) for p in parts)
         return raw.decode("utf-8", "replace")
 
+    def _of_bytes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """ids of a text where nothing merges, and the character to which each byte belongs."""
+        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        table = np.array([self.vocab.get(s, self.vocab.get("<unk>", 0)) for s in self._symbol], np.int32)
+        return table[raw], (np.cumsum((raw & 0xC0) != 0x80) - 1).astype(np.int32)
+
     def encode(self, text: Column, bos: bool = False, eos: bool = False) -> Column:
-        """ids of a text column: words are cut in the JVM, merges run in Arrow batches."""
+        """ids of a text column: words are cut in the JVM, merges run in Arrow batches. Without merges a text need not be cut."""
         own = self
+        if not self.merges:
+            first, last = (np.array([self.vocab[s]] if on else [], np.int32) for s, on in (("<bos>", bos), ("<eos>", eos)))
+
+            @F.pandas_udf("array<int>")
+            def plain(texts: pd.Series) -> pd.Series:
+                return texts.map(lambda x: np.concatenate([first, own._of_bytes(x)[0], last]))
+
+            return plain(F.coalesce(text, F.lit("")))
 
         @F.pandas_udf("array<int>")
         def ids(words: pd.Series) -> pd.Series:
@@ -216,6 +230,13 @@ class BPE:
     def encode_placed(self, text: Column) -> Column:
         """(ids, starts) of a text column: starts are the places, in characters, where tokens begin (that of the character, if it is cut)."""
         own = self
+        if not self.merges:
+
+            @F.pandas_udf("ids array<int>, starts array<int>")
+            def plain(texts: pd.Series) -> pd.DataFrame:
+                return pd.DataFrame([own._of_bytes(x) for x in texts], columns=["ids", "starts"])
+
+            return plain(F.coalesce(text, F.lit("")))
 
         @F.pandas_udf("ids array<int>, starts array<int>")
         def placed(words: pd.Series) -> pd.DataFrame:

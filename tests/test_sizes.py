@@ -1,0 +1,35 @@
+"""What grew faster than its input, or held too much at once."""
+
+import time
+
+from pyspark.sql import functions as F
+
+from corpusmill.operators import shaping, tokens
+from corpusmill.plans import examples
+
+
+def test_answer_spans_are_found_once_a_conversation(spark):
+    """Found again for every token, these took minutes."""
+    turns = spark.range(100).select(F.col("id").alias("conv_id"), F.explode(F.sequence(F.lit(0), F.lit(59))).alias("turn"))
+    turns = turns.withColumns({"role": F.when(F.col("turn") % 2 == 0, "user").otherwise("assistant"), "text": F.repeat(F.lit("word "), 40)})
+    began = time.time()
+    x = examples.conversation_examples(turns, tokens.BPE.of_bytes()).select(F.size(F.filter("labels", lambda v: v != -100)).alias("n")).distinct().collect()
+    assert time.time() - began < 30
+    text = "".join(f"<|im_start|>{('user', 'assistant')[k % 2]}\n{'word ' * 40}<|im_end|>\n" for k in range(60))[:2048]
+    assert [r.n for r in x] == [sum(len(p.split("<|im_end|>\n")[0] + "<|im_end|>\n") if "<|im_end|>\n" in p else len(p) for p in text.split("<|im_start|>assistant\n")[1:])]
+
+
+def test_a_message_without_content_moves_no_span(spark):
+    df = spark.createDataFrame([([("user", None), ("assistant", "ab")],)], "m array<struct<role string, content string>>")
+    r = df.select(shaping.format_messages(F.col("m")).alias("t"), shaping.char_mask(F.col("m")).alias("s")).first()
+    assert [r.t[s.start : s.end] for s in r.s] == ["ab<|im_end|>\n"]
+
+
+def test_bytes_as_tokens_with_their_places(spark):
+    b = tokens.BPE.of_bytes()
+    texts = ["", " ab  c's\n\n é€😀", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", b.encode(F.col("t"), bos=True, eos=True).alias("i"), b.encode_placed(F.col("t")).alias("p")).collect():
+        raw = (r.t or "").encode()
+        assert r.i == [2, *(4 + x for x in raw), 3] and r.p.ids == r.i[1:-1]
+        assert r.p.starts == [k for k, c in enumerate(r.t or "") for _ in c.encode()]
