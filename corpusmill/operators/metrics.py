@@ -14,24 +14,41 @@ def grams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.concat_ws(" ", F.slice(words, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
-def _counts(df: DataFrame, key: str, words: str, n: int, name: str) -> DataFrame:
-    return df.select(key, F.explode(grams(F.col(words), n)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias(name))
+def _all_grams(words: Column, orders: range) -> Column:
+    """(n, gram) of all n-grams of all orders."""
+    of = lambda n: F.transform(grams(words, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+    return F.flatten(F.array(*map(of, orders)))
+
+
+def _matched(words: DataFrame, key: str, orders: range) -> DataFrame:
+    """(key, n, gram, ch, cr) over (key, h, r: array of word arrays): how often the hypothesis has a gram, and the reference that has it most.
+
+    One count of all grams meets in a group-by. Grams are far more than the rows they come from, so a join of counts must not be left to an estimate of size from the files, which would broadcast them.
+    """
+    texts = words.select(key, F.posexplode(F.concat(F.array("h"), F.coalesce("r", F.array().cast("array<array<string>>")))).alias("ref", "w"))
+    each = texts.select(key, "ref", F.explode(_all_grams(F.col("w"), orders)).alias("g")).groupBy(key, "ref", "g.n", "g.gram").agg(F.count("*").alias("c"))
+    said, other = F.when(F.col("ref") == 0, F.col("c")), F.when((F.col("ref") > 0) & F.col(key).isNotNull(), F.col("c"))
+    return each.groupBy(key, "n", "gram").agg(F.coalesce(F.max(said), F.lit(0)).alias("ch"), F.coalesce(F.max(other), F.lit(0)).alias("cr"))
+
+
+def _totals(words: DataFrame, key: str, order: int) -> DataFrame:
+    """One row: of each order n the clipped matches m<n> and the grams h<n> of the hypotheses."""
+    of = lambda n, c: F.coalesce(F.sum(F.when(F.col("n") == n, c)), F.lit(0))
+    sums = [x for n in range(1, order + 1) for x in (of(n, F.least("ch", "cr")).alias(f"m{n}"), of(n, F.col("ch")).alias(f"h{n}"))]
+    return _matched(words, key, range(1, order + 1)).agg(*sums)
 
 
 def overlap(pairs: DataFrame, n: int, key: str = "id") -> DataFrame:
-    """Per row of (key, hyp, ref): clipped n-gram matches m, and the numbers h and r of n-grams. Gram counts meet in a hash join, not in arrays."""
+    """Per row of (key, hyp, ref): clipped n-gram matches m, and the numbers h and r of n-grams. Gram counts meet in a group-by, not in arrays."""
     w = pairs.select(key, T.words(F.col("hyp")).alias("h"), T.words(F.col("ref")).alias("r"))
-    both = _counts(w, key, "h", n, "ch").join(_counts(w, key, "r", n, "cr"), [key, "gram"]).groupBy(key).agg(F.sum(F.least("ch", "cr")).alias("m"))
+    both = _matched(w.withColumn("r", F.array("r")), key, range(n, n + 1)).groupBy(key).agg(F.sum(F.least("ch", "cr")).alias("m"))
     size = lambda c: F.greatest(F.size(c) - n + 1, F.lit(0)).cast("long")
-    return w.select(key, size("h").alias("h"), size("r").alias("r")).join(both, key, "left").select(key, F.coalesce("m", F.lit(0)).cast("long").alias("m"), "h", "r")
+    return w.select(key, size("h").alias("h"), size("r").alias("r")).join(both.hint("merge"), key, "left").select(key, F.coalesce("m", F.lit(0)).cast("long").alias("m"), "h", "r")
 
 
 def bleu(pairs: DataFrame, key: str = "id", order: int = 4) -> DataFrame:
     """One row: corpus BLEU (0 to 100) of one reference a hypothesis. Orders with grams but no match count 1e-10; orders without grams are left out of the sum but not of its divisor."""
-    total = None
-    for n in range(1, order + 1):
-        row = overlap(pairs, n, key).agg(F.sum("m").alias(f"m{n}"), F.sum("h").alias(f"h{n}"))
-        total = row if total is None else total.crossJoin(row)  # one row each
+    total = _totals(pairs.select(key, T.words(F.col("hyp")).alias("h"), F.array(T.words(F.col("ref"))).alias("r")), key, order)
     lengths = pairs.agg(F.sum(F.size(T.words(F.col("hyp")))).alias("hyp"), F.sum(F.size(T.words(F.col("ref")))).alias("ref"))
     logs = sum((F.when(F.col(f"h{n}") > 0, F.log(F.greatest(F.col(f"m{n}") / F.greatest(F.col(f"h{n}"), F.lit(1)), F.lit(1e-10)))).otherwise(0.0) for n in range(1, order + 1)), F.lit(0.0))
     penalty = F.when(F.col("hyp") >= F.col("ref"), 1.0).when(F.col("hyp") == 0, 0.0).otherwise(F.exp(1 - F.col("ref") / F.greatest(F.col("hyp"), F.lit(1))))
@@ -45,13 +62,7 @@ def bleu_report(rows: DataFrame, key: str = "id", hyp: str = "hyp", refs: str =
     Orders with grams but no match count 1e-10; orders without grams are 0 and are left out of the sum but not of its divisor.
     """
     words = rows.select(key, T.words(F.col(hyp)).alias("h"), F.transform(F.col(refs), lambda r: T.words(r)).alias("r"))
-    each = words.select(key, F.posexplode("r").alias("ref", "w"))
-    total = words.agg(F.sum(F.size("h")).alias("hyp"), F.sum(F.array_min(F.transform("r", lambda r: F.size(r)))).alias("ref"))
-    for n in range(1, order + 1):
-        said = _counts(words, key, "h", n, "ch")
-        most = each.select(key, "ref", F.explode(grams(F.col("w"), n)).alias("gram")).groupBy(key, "ref", "gram").agg(F.count("*").alias("c")).groupBy(key, "gram").agg(F.max("c").alias("cr"))
-        row = said.join(most, [key, "gram"], "left").agg(F.coalesce(F.sum(F.least("ch", F.coalesce("cr", F.lit(0)))), F.lit(0)).alias(f"m{n}"), F.coalesce(F.sum("ch"), F.lit(0)).alias(f"h{n}"))
-        total = total.crossJoin(row)  # one row each
+    total = words.agg(F.sum(F.size("h")).alias("hyp"), F.sum(F.array_min(F.transform("r", lambda r: F.size(r)))).alias("ref")).crossJoin(_totals(words, key, order))  # one row each
     share = {n: F.when(F.col(f"h{n}") > 0, F.greatest(F.col(f"m{n}") / F.col(f"h{n}"), F.lit(1e-10))).otherwise(0.0) for n in range(1, order + 1)}
     logs = sum((F.when(p > 0, F.log(p)).otherwise(0.0) for p in share.values()), F.lit(0.0))
     penalty = F.when(F.col("hyp") >= F.col("ref"), 1.0).when(F.col("hyp") > 0, F.exp(1 - F.col("ref") / F.col("hyp"))).otherwise(0.0)
