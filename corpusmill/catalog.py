@@ -348,7 +348,7 @@ def _tokenized(spark, sf_dir) -> DataFrame:
 @query("WITH RECURSIVE d AS (SELECT doc_id, strlen(text) + 1 AS n, row_number() OVER (ORDER BY doc_id) AS i FROM documents WHERE length(text) >= 10), f AS (SELECT i, doc_id, n, 0 AS shard_id, n AS held FROM d WHERE i = 1 UNION ALL SELECT d.i, d.doc_id, d.n, CASE WHEN f.held >= 50000 THEN f.shard_id + 1 ELSE f.shard_id END, CASE WHEN f.held >= 50000 THEN d.n ELSE f.held + d.n END FROM f JOIN d ON d.i = f.i + 1) SELECT doc_id, n, shard_id FROM f")
 def token_shards(spark, sf_dir):
     _checkpoints(spark)
-    return tokens.assign_shards(_tokenized(spark, sf_dir), 50_000)
+    return tokens.assign_shards(files.counted(_read(spark, sf_dir, "documents"), tokens.BPE.of_bytes()), 50_000)
 
 
 @query()
@@ -371,9 +371,12 @@ def file_windows(spark, sf_dir):
     """Documents to token files of about 200,000 tokens each, read back as one stream of windows."""
     _checkpoints(spark)
     folder = shared.folder(spark, "bins")
-    ids = _tokenized(spark, sf_dir)
-    placed = tokens.assign_shards(ids, 200_000).select(F.col("doc_id").alias("_k"), "shard_id")
-    tokens.write_bins(ids.join(placed, F.col("doc_id") == F.col("_k")), folder).write.format("noop").mode("overwrite").save()
+    _short_batches(spark)
+    bpe = tokens.BPE.of_bytes()
+    docs = files.counted(_read(spark, sf_dir, "documents"), bpe).select("doc_id", "text", "n")
+    placed = tokens.assign_shards(docs, 200_000).select(F.col("doc_id").alias("_k"), "shard_id")
+    dealt = docs.join(placed.hint("merge"), F.col("doc_id") == F.col("_k")).select("doc_id", "text", "shard_id")
+    tokens.write_bins(dealt, folder, ids=bpe.encode(F.col("text"), eos=True)).write.format("noop").mode("overwrite").save()
     return tokens.file_windows(spark, folder, 512).select("window", _ids_md5("input_ids").alias("inputs"), _ids_md5("labels").alias("labels"))
 
 

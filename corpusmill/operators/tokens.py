@@ -227,6 +227,18 @@ class BPE:
 
         return ids(pretokens(text))
 
+    def count(self, text: Column) -> Column:
+        """The number of ids of a text column, which stay where they are made. Without merges it is that of the bytes."""
+        own = self
+        if not self.merges:
+            return F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
+
+        @F.pandas_udf("long")
+        def n(words: pd.Series) -> pd.Series:
+            return words.map(lambda w: sum(len(own._word(x)) for x in w))
+
+        return n(pretokens(text))
+
     def encode_placed(self, text: Column) -> Column:
         """(ids, starts) of a text column: starts are the places, in characters, where tokens begin (that of the character, if it is cut)."""
         own = self
@@ -483,8 +495,8 @@ def to_bytes(ids: list[int]) -> bytes:
     return np.minimum(np.asarray(ids), 65535).astype("<u2").tobytes()
 
 
-def write_bins(shards: DataFrame, folder: str, split: str = "train", ids: str = "ids", order: str = "doc_id") -> DataFrame:
-    """One flat little-endian uint16 file a shard, <split>_<shard>.bin, in a folder (or URI) that all executors see; returns (shard_id, path, tokens). A shard is one sorted run of rows, written as it comes."""
+def write_bins(shards: DataFrame, folder: str, split: str = "train", ids: str | Column = "ids", order: str = "doc_id") -> DataFrame:
+    """One flat little-endian uint16 file a shard, <split>_<shard>.bin, in a folder (or URI) that all executors see; returns (shard_id, path, tokens). A shard is one sorted run of rows, written as it comes. ids may be a column made of others, such as BPE.encode of a text: rows are dealt with these, which are shorter, and encoded where they are written."""
 
     def write(it):
         shard, file, tokens = None, None, 0
@@ -494,7 +506,7 @@ def write_bins(shards: DataFrame, folder: str, split: str = "train", ids: str =
             return pd.DataFrame({"shard_id": [shard], "path": [file.path], "tokens": [tokens]})
 
         for frame in it:
-            for s, v in zip(frame["shard_id"], frame[ids], strict=True):
+            for s, v in zip(frame["shard_id"], frame["_ids"], strict=True):
                 if s != shard:
                     if file:
                         yield close()
@@ -505,7 +517,9 @@ def write_bins(shards: DataFrame, folder: str, split: str = "train", ids: str =
             yield close()
 
     shared.make_folder(folder)
-    return shards.select("shard_id", order, ids).repartition("shard_id").sortWithinPartitions("shard_id", order).mapInPandas(write, "shard_id int, path string, tokens long")
+    dealt = shards.select("shard_id", order, ids) if isinstance(ids, str) else shards
+    dealt = dealt.repartition("shard_id").sortWithinPartitions("shard_id", order)
+    return dealt.select("shard_id", (F.col(ids) if isinstance(ids, str) else ids).alias("_ids")).mapInPandas(write, "shard_id int, path string, tokens long")
 
 
 def read_bins(spark, folder: str, split: str = "train") -> DataFrame:

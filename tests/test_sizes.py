@@ -2,10 +2,11 @@
 
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusmill.operators import metrics, shaping, tokens
-from corpusmill.plans import examples
+from corpusmill.plans import examples, files
 
 
 def test_answer_spans_are_found_once_a_conversation(spark):
@@ -49,3 +50,19 @@ def test_gram_counts_are_not_broadcast(spark):
 def test_grams_of_null_and_empty_texts(spark):
     pairs = spark.createDataFrame([(1, "a b", "a b"), (2, None, "a"), (3, "", ""), (None, "a b", "a b")], "id long, hyp string, ref string")
     assert sorted((r.id or 0, r.m, r.h, r.r) for r in metrics.overlap(pairs, 1).collect()) == [(0, 0, 2, 2), (1, 2, 2, 2), (2, 0, 0, 1), (3, 0, 0, 0)]
+
+
+def test_texts_are_dealt_to_shards_and_encoded_there(spark, tmp_path):
+    b = tokens.BPE.of_bytes()
+    docs = files.counted(spark.createDataFrame([(k, f"text {k} é " * (1 + k % 3)) for k in range(20)] + [(99, "short")], "doc_id long, text string"), b)
+    want = {r.doc_id: r.ids for r in files.encoded(docs, b).collect()}
+    assert {r.doc_id: r.n for r in docs.collect()} == {k: len(v) for k, v in want.items()}
+    dealt = docs.withColumn("shard_id", F.floor(F.col("doc_id") / 7).cast("int")).select("doc_id", "text", "shard_id")
+    made = tokens.write_bins(dealt, f"file://{tmp_path}", ids=b.encode(F.col("text"), eos=True))
+    plan = made._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert next(i for i, x in enumerate(plan) if "ArrowEvalPython" in x) < next(i for i, x in enumerate(plan) if "Repartition" in x)  # above it: later
+    assert made.agg(F.sum("tokens")).first()[0] == sum(map(len, want.values()))
+    got = [i for k in range(3) for i in np.frombuffer((tmp_path / f"train_{k:05d}.bin").read_bytes(), "<u2").tolist()]
+    assert got == [i for k in sorted(want) for i in want[k]]
+    merged = tokens.BPE.train(docs, 270, 1)
+    assert docs.select((merged.count(F.col("text")) == F.size(merged.encode(F.col("text")))).alias("ok")).filter("ok").count() == docs.count() == 16
