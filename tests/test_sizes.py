@@ -1,11 +1,14 @@
 """What grew faster than its input, or held too much at once."""
 
 import time
+from hashlib import md5
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import metrics, shaping, tokens
+from corpusmill import catalog
+from corpusmill.operators import dedup, metrics, quality, shaping, tokens
 from corpusmill.plans import examples, files
 
 
@@ -66,3 +69,34 @@ def test_texts_are_dealt_to_shards_and_encoded_there(spark, tmp_path):
     assert got == [i for k in sorted(want) for i in want[k]]
     merged = tokens.BPE.train(docs, 270, 1)
     assert docs.select((merged.count(F.col("text")) == F.size(merged.encode(F.col("text")))).alias("ok")).filter("ok").count() == docs.count() == 16
+
+
+@pytest.mark.parametrize("name", ["html_links", "html_text", "crawl_depths", "normalize_refined", "refinedweb_pipeline", "refinedweb_stats", "dolma_pipeline", "minhash_signature", "lsh_candidates", "near_dedup", "gopher_filter", "tag_documents"])
+def test_texts_meet_python_in_short_batches(spark, name, monkeypatch):
+    """A batch of 10,000 texts or pages makes a worker's memory grow with its partition."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was, seen = spark.conf.get(key), []
+    spark.conf.set(key, "10000")
+    monkeypatch.setattr(catalog, "_read", lambda *_: seen.append(spark.conf.get(key)) or (_ for _ in ()).throw(KeyError))
+    try:
+        with pytest.raises(KeyError):
+            catalog.QUERIES[name](spark, "nowhere")
+        assert seen == ["500"]
+    finally:
+        spark.conf.set(key, was)
+
+
+def test_most_frequent_grams_and_short_hashes(spark):
+    texts = ["b a b a c", "a b  a\nb", "x", "", None, "p q r p q s p"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+
+    def share(t, n):
+        ws = t.split()
+        all_grams = [" ".join(ws[i : i + n]) for i in range(len(ws) - n + 1)]
+        best = max(dict.fromkeys(all_grams), key=all_grams.count, default="")
+        return len(best) * all_grams.count(best) / max(1, len(t))
+
+    assert [r.gram_share for r in quality.top_gram_share(df).select("gram_share").collect()] == [[share(t or "", n) for n in (2, 3, 4)] for t in texts]
+    for r in dedup.minhash(df, 4).collect():
+        hashes = [int(md5(g.encode()).hexdigest()[-8:], 16) for g in dedup.shingles(r.text)]
+        assert r.signature == [min(((a * h + b) % dedup.MODULUS for h in hashes), default=2**32 - 1) for a, b in dedup.coefficients(4)]
