@@ -43,7 +43,7 @@ def minhash(df: DataFrame, perms: int = 128, text: str = "text", to: str = "sign
     a, b = (np.array(x, np.uint64)[:, None] for x in zip(*coefficients(perms), strict=True))
 
     def one(t: str | None) -> np.ndarray:
-        h = np.array([int.from_bytes(md5(g.encode("utf-8", "replace")).digest()[-4:], "big") for g in shingles(t)], np.uint64)
+        h = np.frombuffer(b"".join([md5(g.encode("utf-8", "replace")).digest()[-4:] for g in shingles(t)]), ">u4").astype(np.uint64)
         least = np.full(perms, (1 << 32) - 1, np.uint64)
         for low in range(0, len(h), 4096):
             least = np.minimum(least, ((a * h[low : low + 4096] + b) % np.uint64(MODULUS)).min(axis=1)) if low else ((a * h[:4096] + b) % np.uint64(MODULUS)).min(axis=1)
