@@ -5,6 +5,7 @@ Every filter adds one struct (passed, score, reasons); all checks run, so every
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -85,12 +86,9 @@ def top_gram_share(df: DataFrame, text: str = "text", sizes: tuple[int, ...] = (
         def one(t: str) -> list[float]:
             ws, out = t.split(), []
             for n in sizes:
-                counts: dict[str, int] = {}
-                for i in range(len(ws) - n + 1):
-                    g = " ".join(ws[i : i + n])
-                    counts[g] = counts.get(g, 0) + 1
-                best = max(counts, key=counts.get, default="")  # the first of equals
-                out.append(len(best) * counts.get(best, 0) / max(1, len(t)))
+                counts = Counter(zip(*(ws[k:] for k in range(n)), strict=False))  # words hold no space, so they need not be joined
+                best = max(counts, key=counts.get, default=())  # the first of equals
+                out.append(len(" ".join(best)) * counts[best] / max(1, len(t)))
             return out
 
         return texts.map(one)
