@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill import catalog
+from corpusmill.functions import text
 from corpusmill.operators import dedup, metrics, quality, shaping, tokens
 from corpusmill.plans import examples, files
 
@@ -100,3 +101,10 @@ def test_most_frequent_grams_and_short_hashes(spark):
     for r in dedup.minhash(df, 4).collect():
         hashes = [int(md5(g.encode()).hexdigest()[-8:], 16) for g in dedup.shingles(r.text)]
         assert r.signature == [min(((a * h + b) % dedup.MODULUS for h in hashes), default=2**32 - 1) for a, b in dedup.coefficients(4)]
+
+
+def test_strip_takes_all_unicode_white_space_by_trimming(spark):
+    df = spark.range(0x3100).filter("id > 0 AND NOT (id BETWEEN 55296 AND 57343)").withColumn("c", F.decode(F.encode(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')"), "UTF-8"), "UTF-8"))
+    df = df.withColumn("t", F.concat("c", F.lit(" \n"), "c", F.lit("a \tb"), "c", F.lit("\n　"), "c"))
+    assert df.filter(text.strip(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).count() == 0
+    assert "regexp" not in df.select(text.strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
