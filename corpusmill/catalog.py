@@ -329,7 +329,7 @@ def pair_freq(spark, sf_dir):
 
 
 def _trained(spark, sf_dir) -> tokens.BPE:
-    return tokens.BPE.train(_read(spark, sf_dir, "documents"), 50257, 2)
+    return tokens.BPE.train_in_rounds(_read(spark, sf_dir, "documents"), 50257, 2)
 
 
 @query()
@@ -340,8 +340,8 @@ def bpe_merges(spark, sf_dir):
 
 @query()
 def bpe_encode(spark, sf_dir):
-    _short_batches(spark)
     b = _trained(spark, sf_dir)
+    _short_batches(spark)  # words of training are short
     ids = _read(spark, sf_dir, "documents").withColumn("ids", b.encode(F.col("text"), eos=True))
     return ids.select("doc_id", F.size("ids").alias("n"), (b.decode_column(F.col("ids")) == F.col("text")).alias("round_trip"))
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators import bpe_training
 from corpusmill.sources import shared
 
 #: Contractions, words and punctuation with an optional space before, white space.
@@ -99,7 +100,7 @@ class BPE:
                     changed.add(p)
                     if p in where:
                         where[p].discard(w)
-                words[w] = new = _merged(old, pair, made)
+                words[w] = new = bpe_training.merged(old, pair, made)
                 for p in zip(new, new[1:], strict=False):
                     counts[p] += freqs[w]
                     where[p].add(w)
@@ -112,63 +113,12 @@ class BPE:
         return cls(vocab, merges, specials)
 
     @classmethod
-    def train_in_rounds(cls, docs: DataFrame, vocab_size: int, min_frequency: int = 2, specials: tuple[str, ...] = SPECIALS, candidates: int = 256) -> BPE:
-        """The same as train(), for words that no driver holds: words and pair counts stay on the cluster, and only the first pairs by count, `candidates` of them, come to the driver in a round.
-
-        A round takes as many of these as cannot disturb each other (see _undisturbed), applies them to all words and adds what changed to the counts. Rounds are checkpointed.
-        """
-        words = word_frequencies(docs, min_frequency).select("first.doc_id", "first.pos", "freq", "word")
-        table, shape = symbols(), {f.name: f.dataType.simpleString() for f in words.schema}
-        place = f"doc_id {shape['doc_id']}, pos {shape['pos']}"
-        schema = f"{place}, freq long, parts array<string>, left string, right string, n long, step long, at long"
-        vocab = {t: i for i, t in enumerate([*specials, *table])}
-        merges: list[tuple[str, str]] = []
-
-        def rows(frames, steps: list[tuple[int, tuple[str, str]]], start: bool):
-            """Words, and of each batch of them the changes of pair counts with the first place where a pair came up."""
-            for frame in frames:
-                kept, changes = [], {}
-
-                def count(parts, sign, step, doc_id, pos, freq, changes=changes):
-                    for at, pair in enumerate(zip(parts, parts[1:], strict=False)):
-                        was = changes.get(pair)
-                        born = (step, doc_id, pos, at) if sign > 0 else None
-                        changes[pair] = ((was[0] if was else 0) + sign * freq, min((b for b in (was and was[1], born) if b is not None), default=None))
-
-                for r in frame.itertuples(index=False):
-                    parts = [table[b] for b in r.word.encode("utf-8", "replace")] if start else list(r.parts)
-                    if start:
-                        count(parts, 1, -1, r.doc_id, r.pos, r.freq)
-                    for step, pair in steps:
-                        if pair in zip(parts, parts[1:], strict=False):
-                            count(parts, -1, step, r.doc_id, r.pos, r.freq)
-                            parts = _merged(parts, pair, pair[0] + pair[1])
-                            count(parts, 1, step, r.doc_id, r.pos, r.freq)
-                    if len(parts) > 1:  # a word of one symbol changes no more
-                        kept.append((r.doc_id, r.pos, r.freq, parts, None, None, None, None, None))
-                kept += [(b[1] if b else None, b[2] if b else None, None, None, *pair, n, b[0] if b else None, b[3] if b else None) for pair, (n, b) in changes.items()]
-                yield pd.DataFrame(kept, columns=["doc_id", "pos", "freq", "parts", "left", "right", "n", "step", "at"]).astype({c: "Int64" for c in ("pos", "freq", "n", "step", "at")} | ({"doc_id": "Int64"} if shape["doc_id"] in ("int", "bigint") else {}))
-
-        def counted(changes: DataFrame) -> DataFrame:
-            return changes.groupBy("left", "right").agg(F.sum("n").alias("n"), F.min(F.when(F.col("born.step").isNotNull(), F.col("born"))).alias("born")).checkpoint()
-
-        told = F.struct("step", "doc_id", "pos", "at").alias("born")
-        made = words.mapInPandas(lambda frames: rows(frames, [], True), schema).checkpoint()
-        counts = counted(made.filter("left IS NOT NULL").select("left", "right", "n", told))
-        while len(vocab) < vocab_size:
-            first = counts.filter(F.col("n") >= min_frequency).orderBy(F.desc("n"), "born").limit(candidates).collect()
-            steps = []
-            for pair in _undisturbed([(r.left, r.right) for r in first]):
-                if len(vocab) >= vocab_size:
-                    break
-                steps.append((len(merges), pair))
-                merges.append(pair)
-                vocab.setdefault(pair[0] + pair[1], len(vocab))
-            if not steps:
-                break
-            made = made.filter("parts IS NOT NULL").select("doc_id", "pos", "freq", "parts").mapInPandas(lambda frames, steps=steps: rows(frames, steps, False), schema).checkpoint()
-            counts = counted(counts.unionByName(made.filter("left IS NOT NULL").select("left", "right", "n", told)))
-        return cls(vocab, merges, specials)
+    def train_in_rounds(cls, docs: DataFrame, vocab_size: int, min_frequency: int = 2, specials: tuple[str, ...] = SPECIALS, runs: int = bpe_training.RUNS, candidates: int = bpe_training.CANDIDATES) -> BPE:
+        """The same as train(), for words that no driver holds: words and pair counts stay on the cluster, and a round brings at most `runs` runs of symbols and `candidates` pairs to the driver (see bpe_training)."""
+        table = symbols()
+        trainer = bpe_training.Trainer(table, {t: i for i, t in enumerate([*specials, *table])}, vocab_size, min_frequency)
+        trainer.train(word_frequencies(docs, min_frequency), runs, candidates)
+        return cls(trainer.vocab, trainer.merges, specials)
 
     def _word(self, word: str) -> list[int]:
         if word not in self._seen:
@@ -179,7 +129,7 @@ class BPE:
                 best = min(zip(parts, parts[1:], strict=False), key=lambda p: self.ranks.get(p, len(self.ranks)))
                 if best not in self.ranks:
                     break
-                parts = _merged(parts, best, best[0] + best[1])
+                parts = bpe_training.merged(parts, best, best[0] + best[1])
             unknown = self.vocab.get("<unk>", 0)
             self._seen[word] = [self.vocab.get(p, unknown) for p in parts]
         return self._seen[word]
@@ -294,34 +244,6 @@ class BPE:
             return cls(vocab, merges, tuple(json.load(f)["special_tokens"]))
 
 
-def _undisturbed(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """As many of the first pairs, in descending order of their counts, as merge one after another whatever the merges before them do.
-
-    A merge of (a, b) changes the counts of pairs that end in a or begin with b, and its new pairs (x, ab) and (ab, y) are no more frequent than (x, a) and (b, y) were, which stand behind those
-    taken here or are among them. So a pair is safe if none before it meets it end to end. A pair of twice the same symbol may bring up itself again and is the last.
-    """
-    out: list[tuple[str, str]] = []
-    for pair in pairs:
-        if any(pair[0] == b or pair[1] == a for a, b in out):
-            break
-        out.append(pair)
-        if pair[0] == pair[1]:
-            break
-    return out
-
-
-def _merged(parts: list[str], pair: tuple[str, str], made: str) -> list[str]:
-    out, i = [], 0
-    while i < len(parts):
-        if i + 1 < len(parts) and parts[i] == pair[0] and parts[i + 1] == pair[1]:
-            out.append(made)
-            i += 2
-        else:
-            out.append(parts[i])
-            i += 1
-    return out
-
-
 def pad(ids: Column, size: Column, value: int = 0) -> tuple[Column, Column]:
     """(ids of exactly a size, attention mask)."""
     n = F.least(F.size(ids), size)

@@ -1,5 +1,6 @@
 """What grew faster than its input, or held too much at once."""
 
+import random
 import time
 from hashlib import md5
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import catalog
 from corpusmill.functions import text
-from corpusmill.operators import dedup, metrics, quality, shaping, tokens
+from corpusmill.operators import bpe_training, dedup, metrics, quality, shaping, tokens
 from corpusmill.plans import examples, files
 
 
@@ -108,3 +109,24 @@ def test_strip_takes_all_unicode_white_space_by_trimming(spark):
     df = df.withColumn("t", F.concat("c", F.lit(" \n"), "c", F.lit("a \tb"), "c", F.lit("\n　"), "c"))
     assert df.filter(text.strip(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).count() == 0
     assert "regexp" not in df.select(text.strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(("runs", "candidates"), [(12, 3), (40, 6)])
+def test_training_brings_few_runs_to_the_driver(spark, monkeypatch, runs, candidates):
+    """The queries trained on the driver, over all words."""
+    dice = random.Random(runs)
+    texts = [" ".join("".join(dice.choice("aab=") for _ in range(dice.randint(1, 12))) for _ in range(60)) for _ in range(8)] + ["======= aaaa <pad> <pad>"]
+    docs = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)] + [(None, "aab =ab aab")], "doc_id string, text string")
+    want = tokens.BPE.train(docs, 420, 2)
+    seen, merge = [], bpe_training.Trainer.merge
+    monkeypatch.setattr(bpe_training.Trainer, "merge", lambda self, found, pairs, bound: seen.append((len(found), len(pairs))) or merge(self, found, pairs, bound))
+    got = tokens.BPE.train_in_rounds(docs, 420, 2, runs=runs, candidates=candidates)
+    assert got.merges == want.merges and got.vocab == want.vocab and len(got.merges) > 50
+    assert len(seen) > 1 and all(p <= candidates and (r <= runs or p == 1) for r, p in seen)
+
+
+def test_queries_train_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "_read", lambda *_: spark.createDataFrame([(1, "the cat sat, the cat sat")], "doc_id long, text string"))
+    monkeypatch.setattr(tokens.BPE, "train", None)
+    assert catalog.bpe_merges(spark, "").count() > 5
+    assert catalog.bpe_encode(spark, "").first().round_trip
