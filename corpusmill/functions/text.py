@@ -42,6 +42,11 @@ def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
+def count_of(c: Column, kind: str) -> Column:
+    """How many characters are of a kind (a class of single characters), for kinds of which texts are full: whole runs are matched, not each character."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"{kind}+", ""))
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     return top.cast("double") / F.greatest(bottom, F.lit(1))
 

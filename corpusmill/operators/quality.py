@@ -39,9 +39,9 @@ class QualityRules:
 def measures(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds q_words, q_lines and the numbers that the checks compare; each is computed once."""
     df = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumns({"q_words": T.words(F.col("_t")), "q_lines": T.lines(F.col("_t"))})
+    df = df.withColumns({"q_words": T.words(F.col("_t")), "q_lines": T.lines(F.col("_t")), "_alpha": T.count_of(F.col("_t"), r"\p{L}")})
     n, w, k = F.length("_t"), F.size("q_words"), F.size("q_lines")
-    alpha = T.count(F.col("_t"), r"\p{L}")
+    alpha = F.col("_alpha")
     return df.withColumns({
         "q_length": n, "q_n_words": w, "q_n_lines": k, "q_word_length": F.when(w > 0, T.total_length(F.col("q_words")) / w),
         "q_symbols": F.when(n > 0, T.count(F.col("_t"), r"(?U)[^\p{L}\p{N}\s]") / n), "q_digits": F.when(n > 0, T.count(F.col("_t"), r"\p{Nd}") / n), "q_upper": F.when(alpha > 0, T.count(F.col("_t"), r"\p{Lu}") / alpha),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ PII = (
     ("ip_address", r"(?U)\b(?:\d{1,3}\.){3}\d{1,3}\b", "[IP_REDACTED]"),
     ("passport", r"(?U)\b[A-Z]{1,2}\d{6,9}\b", "[PASSPORT_REDACTED]"),
 )
+#: What each match holds, of patterns without an @.
+_PARTS = {p: r"(?U)" + part for p, part in zip((*BASIC_PII[:2], *(p for _, p, _ in PII if "@" not in p)), (r"\d{3}-\d{2}-\d{4}", r"\d{16}", r"\d{3}-\d{2}-\d{4}", r"\d{4}[- ]?\d{4}[- ]?\d{4}", r"\d{3}[-.\s]?\d{4}", r"\d\.\d{1,3}\.\d", r"[A-Z]\d{6}"), strict=True)}
 
 
 def issues(text: Column) -> Column:
@@ -25,8 +29,13 @@ def issues(text: Column) -> Column:
     return F.array_compact(F.array(F.when(text.rlike(HARMFUL), F.lit("harmful_content")), F.when(has_basic_pii(text), F.lit("pii_detected"))))
 
 
+def found(text: Column, pattern: str) -> Column:
+    """Whether a pattern of personal data is found. A part of it that needs no look at the ends of words is sought first, and most texts have none."""
+    return (F.contains(text, F.lit("@")) if "@" in pattern else text.rlike(_PARTS[pattern])) & text.rlike(pattern)
+
+
 def has_basic_pii(text: Column) -> Column:
-    return text.rlike("|".join(f"(?:{p})" for p in BASIC_PII))
+    return functools.reduce(lambda x, y: x | y, (found(text, p) for p in BASIC_PII))
 
 
 def redact_basic(text: Column) -> Column:
@@ -53,9 +62,10 @@ def nsfw_url(url: Column) -> Column:
 def redact(df, text: str = "text", to: str = "redacted", types: str = "pii_types"):
     """Six kinds in order, each on the text that the ones before have left; adds the text and the kinds found."""
     df = df.withColumn(to, F.col(text)).withColumn(types, F.array().cast("array<string>"))
-    for name, pattern, mark in PII:  # a column per stage, so that each replacement runs once
-        df = df.withColumns({types: F.when(F.col(to).rlike(pattern), F.concat(F.col(types), F.array(F.lit(name)))).otherwise(F.col(types)), to: F.regexp_replace(F.col(to), pattern, F.lit(mark))})
-    return df
+    for name, pattern, mark in PII:  # a column per stage, so that each search runs once, and replacements where something was found
+        df = df.withColumn("_found", found(F.col(to), pattern))
+        df = df.withColumns({types: F.when(F.col("_found"), F.concat(F.col(types), F.array(F.lit(name)))).otherwise(F.col(types)), to: F.when(F.col("_found"), F.regexp_replace(F.col(to), pattern, F.lit(mark))).otherwise(F.col(to))})
+    return df.drop("_found")
 
 
 def has_pii(text: Column) -> Column:
