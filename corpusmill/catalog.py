@@ -196,8 +196,8 @@ def minhash_signature(spark, sf_dir):
 @query(f"WITH {_SIGNED}, b AS (SELECT doc_id, i, sig[4 * i + 1:4 * i + 4] AS k FROM m, range(32) t(i)) SELECT DISTINCT x.doc_id AS earlier, y.doc_id AS later FROM b x JOIN b y ON x.i = y.i AND x.k = y.k AND x.doc_id < y.doc_id")
 def lsh_candidates(spark, sf_dir):
     _short_batches(spark)
-    signed = dedup.minhash(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return dedup.candidate_edges(dedup.bands(signed))
+    _checkpoints(spark)
+    return dedup.candidate_pairs(dedup.minhash(_read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 @query()
