@@ -342,8 +342,7 @@ def bpe_merges(spark, sf_dir):
 def bpe_encode(spark, sf_dir):
     b = _trained(spark, sf_dir)
     _short_batches(spark)  # words of training are short
-    ids = _read(spark, sf_dir, "documents").withColumn("ids", b.encode(F.col("text"), eos=True))
-    return ids.select("doc_id", F.size("ids").alias("n"), (b.decode_column(F.col("ids")) == F.col("text")).alias("round_trip"))
+    return b.round_trips(_read(spark, sf_dir, "documents"))
 
 
 #: Token ids of a tokenizer without merges: the byte after four specials; an end token (3) closes a document. Texts under ten characters are not tokenized.

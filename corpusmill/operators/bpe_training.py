@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators.encoding import Ranks, merge, spread
+from corpusmill.operators.words import distinct, short_batches, summed
 from corpusmill.sources import shared
 
 #: So many runs come to the driver in a round, and so many pairs are candidates at most.
 RUNS, CANDIDATES = 100_000, 20_000
-#: A task hands on what it has summed up at so many entries.
-_ENTRIES = 100_000
+#: A task hands on what it has summed up at so many runs, and at so many changes of pairs.
+_ENTRIES, _CHANGES = 100_000, 1_000_000
 #: word: words are numbered by their first place. A row is a word (parts: its symbols, 32 bits each) or a change of a pair's count (n) with its birth, the merge (step), word and byte where it came up.
 _ROWS = "word long, freq long, parts binary, left int, right int, n long, step int, born long, at int"
 _ARROW = pa.schema([("word", pa.int64()), ("freq", pa.int64()), ("parts", pa.binary()), ("left", pa.int32()), ("right", pa.int32()), ("n", pa.int64()), ("step", pa.int32()), ("born", pa.int64()), ("at", pa.int32())])
@@ -65,24 +67,35 @@ def _keys(pairs) -> np.ndarray:
 class _Changes:
     """Changes of pair counts and births, summed by pair."""
 
-    def __init__(self, size: list[int]):
-        self.size, self.seen = size, {}
+    def __init__(self):
+        self._new()
 
-    def add(self, pair: tuple[int, int], n: int, birth: tuple[int, int, int] | None = None) -> None:
-        was = self.seen.get(pair)
-        if was is None:
-            self.seen[pair] = [n, birth]
-        else:
-            was[0] += n
-            if birth is not None and (was[1] is None or birth < was[1]):
-                was[1] = birth
+    def _new(self) -> None:
+        self.counts, self.births, self.held = [], [], 0
+
+    def count(self, left: np.ndarray, right: np.ndarray, n: np.ndarray) -> None:
+        self.counts.append((left.astype(np.int64) << 32 | right, n))
+        self.held += len(n)
+
+    def born(self, left: np.ndarray, right: np.ndarray, step: np.ndarray, word: np.ndarray, at: np.ndarray) -> None:
+        self.births.append((left.astype(np.int64) << 32 | right, step, word, at))
+        self.held += len(step)
 
     def rows(self) -> pa.RecordBatch:
-        n, birth = [x[0] for x in self.seen.values()], [x[1] or (None,) * 3 for x in self.seen.values()]
-        none = [None] * len(n)
-        out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((none, none, none, [p[0] for p in self.seen], [p[1] for p in self.seen], n, *([b[k] for b in birth] for k in range(3))), _ARROW, strict=True)], schema=_ARROW)
-        self.seen = {}
-        return out
+        births = [np.concatenate(x) for x in zip(*self.births, strict=True)] if self.births else [np.zeros(0, np.int64)] * 4
+        pairs, which = np.unique(np.concatenate([births[0], *(k for k, _ in self.counts)]), return_inverse=True)
+        n = np.zeros(len(pairs), np.int64)
+        np.add.at(n, which[len(births[0]) :], np.concatenate([np.zeros(0, np.int64), *(x for _, x in self.counts)]))
+        order = np.lexsort(births[:0:-1] + [which[: len(births[0])]])
+        own = which[order]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        none, birth = np.ones(len(pairs), bool), np.zeros((3, len(pairs)), np.int64)
+        none[own[first]] = False
+        birth[:, own[first]] = [x[order[first]] for x in births[1:]]
+        columns = [pa.array(c.astype(f.type.to_pandas_dtype()), f.type) for c, f in zip((pairs >> 32, pairs & 0xFFFFFFFF, n), list(_ARROW)[3:6], strict=True)]
+        columns += [pa.array(c.astype(f.type.to_pandas_dtype()), f.type, mask=none) for c, f in zip(birth, list(_ARROW)[6:], strict=True)]
+        self._new()
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(pairs), f.type) for f in list(_ARROW)[:3]), *columns], schema=_ARROW)
 
 
 def _word_rows(word, freq, parts) -> pa.RecordBatch:
@@ -90,58 +103,73 @@ def _word_rows(word, freq, parts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(freq, pa.int64()), pa.array(parts, pa.binary()), *(pa.nulls(n, f.type) for f in list(_ARROW)[3:])], schema=_ARROW)
 
 
+def _packed(parts: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Symbols of words as one binary each."""
+    at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32) * np.int32(4)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(parts.astype(np.int32))])
+
+
+def _inner(size: np.ndarray) -> np.ndarray:
+    """Where in the joined symbols of words one stands that is not the last of its word."""
+    inner = np.ones(int(size.sum()), bool)
+    inner[np.cumsum(size)[size > 0] - 1] = False
+    return np.flatnonzero(inner)
+
+
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words as bytes, with the counts of their pairs. Words of one byte never change."""
-    changes = _Changes([1] * 256)
+    changes = _Changes()
     for batch in batches:
         parts, at = _flat(batch.column("text"), 1)
-        long = np.flatnonzero(np.diff(at) > 1)
-        words, freqs = batch.column("word").to_numpy()[long], batch.column("freq").to_numpy()[long]
-        for w, f, b, e in zip(words.tolist(), freqs.tolist(), at[long].tolist(), at[long + 1].tolist(), strict=True):
-            own = parts[b:e].tolist()
-            for k, pair in enumerate(zip(own, own[1:], strict=False)):
-                changes.add(pair, f, (-1, w, k))
-        yield _word_rows(words, freqs, [parts[at[k] : at[k + 1]].tobytes() for k in long.tolist()])
+        size = np.diff(at)
+        long = np.flatnonzero(size > 1)
+        words, freqs, size = batch.column("word").to_numpy()[long], batch.column("freq").to_numpy()[long], size[long]
+        parts = spread(parts, at[long], size)
+        k = _inner(size)
+        row = np.repeat(np.arange(len(size)), size)[k]
+        changes.count(parts[k], parts[k + 1], freqs[row])
+        changes.born(parts[k], parts[k + 1], np.full(len(k), -1), words[row], k - (np.cumsum(size) - size)[row])
+        yield _word_rows(words, freqs, _packed(parts, size))
+        if changes.held > _CHANGES:
+            yield changes.rows()
     yield changes.rows()
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Longest runs of symbols whose neighbours are pairs of the keys, summed, each with its first place."""
-    seen: dict[bytes, list] = {}
-
-    def rows() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((list(seen), *([x[k] for x in seen.values()] for k in range(3))), _RUN, strict=True)], schema=_RUN)
-        seen.clear()
-        return out
-
+    held, rows = [], 0
     for batch in batches:
         parts, at = _flat(batch.column("parts"), 4)
         if not len(parts):
             continue
         edge = np.flatnonzero(np.diff(np.concatenate([[0], _among(parts, at, keys).astype(np.int8), [0]])))
         begin, end = edge[::2], edge[1::2] + 1
+        if not len(begin):
+            continue
         row = np.searchsorted(at, begin, side="right") - 1
         upto = np.concatenate([[0], np.cumsum(size[parts], dtype=np.int64)])
-        place = upto[begin] - upto[at[row]]
-        for b, e, f, w, k in zip(begin.tolist(), end.tolist(), batch.column("freq").to_numpy()[row].tolist(), batch.column("word").to_numpy()[row].tolist(), place.tolist(), strict=True):
-            run = parts[b:e].tobytes()
-            was = seen.get(run)
-            if was is None:
-                seen[run] = [f, w, k]
-            else:
-                was[0] += f
-                if (w, k) < (was[1], was[2]):
-                    was[1:] = w, k
-        if len(seen) > _ENTRIES:
-            yield rows()
-    yield rows()
-
-
-def _applied(batches: Iterator[pa.RecordBatch], steps: list[tuple[int, int, int, int]], size: list[int]) -> Iterator[pa.RecordBatch]:
+        place, word, freq = upto[begin] - upto[at[row]], batch.column("word").to_numpy()[row], batch.column("freq").to_numpy()[row]
+        order = np.lexsort((place, word))
+        length = (end - begin)[order]
+        which, runs, first = distinct(spread(parts, begin[order], length).astype(np.int32).view(np.uint8), 4 * (np.cumsum(length) - length))
+        total = np.zeros(len(runs), np.int64)
+        np.add.at(total, which, freq[order])
+        held.append(pa.Table.from_arrays([runs, pa.array(total), pa.array(word[order[first]], pa.int64()), pa.array(place[order[first]].astype(np.int32))], schema=_RUN))
+        rows += len(runs)
+        if rows > 2 * _ENTRIES:
+            held = [summed(held)]
+            rows = len(held[0])
+            if rows > _ENTRIES:
+                yield from held[0].to_batches()
+                held, rows = [], 0
+    if held:
+        yield from summed(held).to_batches()
+
+
+def _applied(batches: Iterator[pa.RecordBatch], steps: list[tuple[int, int, int, int]], size: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The words after the merges (left, right, made, step), and the changes of pair counts."""
-    ranks = {(left, right): (step, made) for left, right, made, step in steps}
-    keys, changes = _keys(ranks), _Changes(size)
-
+    left, right, made, step = (np.array(x, np.int64) for x in zip(*steps, strict=True))
+    keys, ranks, changes = np.sort(left << 32 | right), Ranks(left, right, made), _Changes()
     for batch in batches:
         parts, at = _flat(batch.column("parts"), 4)
         if not len(parts):
@@ -150,23 +178,21 @@ def _applied(batches: Iterator[pa.RecordBatch], steps: list[tuple[int, int, int,
         changed[np.searchsorted(at, np.flatnonzero(_among(parts, at, keys)), side="right") - 1] = True
         same = batch.filter(pa.array(~changed))
         yield _word_rows(same.column("word"), same.column("freq"), same.column("parts"))
-        rows, kept = np.flatnonzero(changed), []
-        for r, w, f in zip(rows.tolist(), batch.column("word").to_numpy()[rows].tolist(), batch.column("freq").to_numpy()[rows].tolist(), strict=True):
-            own = parts[at[r] : at[r + 1]].tolist()
-            for pair in zip(own, own[1:], strict=False):
-                changes.add(pair, -f)
-            while found := [x for p in zip(own, own[1:], strict=False) if (x := (ranks.get(p), p))[0]]:
-                (step, made), pair = min(found)
-                own = merged(own, pair, made)
-                for pair, k in _born(own, made, size):
-                    changes.add(pair, 0, (step, w, k))
-            for pair in zip(own, own[1:], strict=False):
-                changes.add(pair, f)
-            if len(own) > 1:
-                kept.append((w, f, np.array(own, np.int32).tobytes()))
-        if kept:
-            yield _word_rows(*map(list, zip(*kept, strict=True)))
-        if len(changes.seen) > _ENTRIES:
+        rows = np.flatnonzero(changed)
+        if not len(rows):
+            continue
+        word, freq, count = batch.column("word").to_numpy()[rows], batch.column("freq").to_numpy()[rows], np.diff(at)[rows]
+        old = spread(parts, at[rows], count)
+        k, row = _inner(count), np.repeat(np.arange(len(rows)), count)
+        changes.count(old[k], old[k + 1], -freq[row[k]])
+        upto = np.cumsum(size[old], dtype=np.int64) - size[old]
+        place = upto - upto[np.cumsum(count) - count][row]
+        new, count = merge(old, count, ranks, place, lambda a, b, by, own, p, word=word: changes.born(a, b, step[by], word[own], p))
+        k, row = _inner(count), np.repeat(np.arange(len(rows)), count)
+        changes.count(new[k], new[k + 1], freq[row[k]])
+        kept = np.flatnonzero(count > 1)
+        yield _word_rows(word[kept], freq[kept], _packed(spread(new, np.cumsum(count)[kept] - count[kept], count[kept]), count[kept]))
+        if changes.held > _CHANGES:
             yield changes.rows()
     yield changes.rows()
 
@@ -189,7 +215,7 @@ class Trainer:
         self.merges: list[tuple[str, str]] = []
 
     def train(self, words: DataFrame, runs: int = RUNS, candidates: int = CANDIDATES) -> None:
-        """words: (word, freq, first), as word_frequencies gives them."""
+        """words: (word, freq, first), by which they are numbered."""
         spark = words.sparkSession
         root = shared.folder(spark, "bpe")
         store, path = shared.opened(root)
@@ -206,9 +232,10 @@ class Trainer:
             return changes.groupBy("left", "right").agg(F.sum("n").alias("n"), births).select("left", "right", "n", "b.step", "b.born", "b.at")
 
         try:
-            counted = written(words.select("first.doc_id", "first.pos", "freq", "word"))
+            with short_batches(spark):
+                counted = written(words.select("first", "freq", "word"))
             ranges = max(spark.sparkContext.defaultParallelism, -(-counted.count() // 100_000))
-            numbered = counted.repartitionByRange(ranges, "doc_id", "pos").sortWithinPartitions("doc_id", "pos").select(F.monotonically_increasing_id().alias("word"), "freq", F.encode("word", "UTF-8").alias("text"))
+            numbered = counted.repartitionByRange(ranges, "first").sortWithinPartitions("first").select(F.monotonically_increasing_id().alias("word"), "freq", F.encode("word", "UTF-8").alias("text"))
             made = written(numbered.mapInArrow(_starts, _ROWS))
             counts = written(summed(made.filter("left IS NOT NULL")))
             few = min(64, candidates)
@@ -229,7 +256,7 @@ class Trainer:
                 few = max(1, min(candidates, int(few * min(4, 0.6 * runs / max(1, len(found))))))
                 if len(self.vocab) >= self.vocab_size:
                     break
-                sizes, old = list(self.size), tables - 1
+                sizes, old = np.array(self.size, np.int64), tables - 1
                 made = written(own.mapInArrow(lambda b, steps=steps, sizes=sizes: _applied(b, steps, sizes), _ROWS))
                 counts = written(summed(counts.unionByName(made.filter("left IS NOT NULL").select("left", "right", "n", "step", "born", "at"))))
                 for k in (old, old + 1):

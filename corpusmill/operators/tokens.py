@@ -5,14 +5,19 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import uuid
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusmill.operators import bpe_training
+from corpusmill.operators import bpe_training, encoding
+from corpusmill.operators import words as cutting
 from corpusmill.sources import shared
 
 #: Contractions, words and punctuation with an optional space before, white space.
@@ -47,6 +52,10 @@ def symbols() -> list[str]:
     return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
+#: The coder that a worker process used last; its next task of the same query finds the words known.
+_last_coder: tuple[str, encoding.Coder] | None = None
+
+
 class BPE:
     """Vocabulary and merges of a byte-level tokenizer."""
 
@@ -58,6 +67,10 @@ class BPE:
         self._back = {i: t for t, i in vocab.items()}
         self._seen: dict[str, list[int]] = {}
         self._placed: dict[str, tuple[list[int], list[int]]] = {}
+        self._merger: encoding.Merger | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_seen": {}, "_placed": {}, "_merger": None}
 
     @classmethod
     def of_bytes(cls, specials: tuple[str, ...] = SPECIALS) -> BPE:
@@ -117,23 +130,25 @@ class BPE:
         """The same as train(), for words that no driver holds: words and pair counts stay on the cluster, and a round brings at most `runs` runs of symbols and `candidates` pairs to the driver (see bpe_training)."""
         table = symbols()
         trainer = bpe_training.Trainer(table, {t: i for i, t in enumerate([*specials, *table])}, vocab_size, min_frequency)
-        trainer.train(word_frequencies(docs, min_frequency), runs, candidates)
+        trainer.train(cutting.frequencies(docs, min_frequency), runs, candidates)
         return cls(trainer.vocab, trainer.merges, specials)
 
     def _word(self, word: str) -> list[int]:
         if word not in self._seen:
             if len(self._seen) > 100_000:
                 self._seen.clear()
-            parts = [self._symbol[b] for b in word.encode("utf-8", "replace")]
-            while len(parts) > 1:
-                best = min(zip(parts, parts[1:], strict=False), key=lambda p: self.ranks.get(p, len(self.ranks)))
-                if best not in self.ranks:
-                    break
-                parts = bpe_training.merged(parts, best, best[0] + best[1])
-            unknown = self.vocab.get("<unk>", 0)
-            self._seen[word] = [self.vocab.get(p, unknown) for p in parts]
+            self._seen[word] = self.merger.of_word(word.encode("utf-8", "replace"))
         return self._seen[word]
 
+    @property
+    def merger(self) -> encoding.Merger:
+        if self._merger is None:
+            self._merger = encoding.Merger(self.vocab, self.ranks, self._symbol, self.vocab.get("<unk>", 0))
+        return self._merger
+
+    def coder(self) -> encoding.Coder:
+        return encoding.Coder(self.merger, {i: b"" if t in self.specials else bytes(self._byte[c] for c in t) for i, t in self._back.items()})
+
     def _placed_word(self, word: str) -> tuple[list[int], list[int]]:
         """ids of a word and the character, counted from its own start, that holds the first byte of each."""
         if word not in self._placed:
@@ -225,6 +240,24 @@ class BPE:
 
         return texts(ids)
 
+    def round_trips(self, docs: DataFrame) -> DataFrame:
+        """doc_id, n (ids of the text and the end token) and whether decoding the ids gives the text (null for a null). Texts are cut, encoded and decoded in one pass, a batch at a time."""
+        own, key, cutter = self, uuid.uuid4().hex, cutting.Cutter.of(docs.sparkSession)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            global _last_coder
+            if _last_coder is None or _last_coder[0] != key:
+                _last_coder = key, own.coder()
+            for batch in batches:
+                told = [*_last_coder[1].checked(batch.column("text"), cutter)] or [(np.zeros(0, int), np.zeros(0, bool))]
+                n, same = (np.concatenate(x) for x in zip(*told, strict=True))
+                same = pa.array(same & batch.column("valid").to_numpy(zero_copy_only=False), mask=batch.column("text").is_null().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n + 1, pa.int32()), same], names=["doc_id", "n", "round_trip"])
+
+        text = F.col("text")
+        schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.IntegerType()), T.StructField("round_trip", T.BooleanType())])
+        return docs.select("doc_id", cutting.valid(text).alias("text"), F.coalesce(F.is_valid_utf8(text), F.lit(False)).alias("valid")).mapInArrow(run, schema)
+
     def save(self, folder: str) -> None:
         os.makedirs(folder, exist_ok=True)
         with open(f"{folder}/vocab.json", "w", encoding="utf-8") as f:

@@ -2,15 +2,18 @@
 
 import random
 import time
+from collections import defaultdict
 from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill import catalog
 from corpusmill.functions import text
-from corpusmill.operators import bpe_training, dedup, metrics, quality, safety, shaping, tokens
+from corpusmill.operators import bpe_training, dedup, encoding, metrics, quality, safety, shaping, tokens, words
 from corpusmill.plans import examples, files, pipelines
 
 
@@ -167,3 +170,110 @@ def test_copies_are_no_pairs_before_they_are_told(spark):
         want = sorted(map(tuple, dedup.candidate_edges(dedup.bands(signed)).collect()))
         got = dedup.candidate_pairs(signed)
         assert sorted(map(tuple, got.collect())) == want and len(want) > 100
+
+
+ODD = ["", " ", "  ", "a  b", "'s", "x's't 've''s 's\n'll'dd", "<pad> <eos>", "don't  they've\t\tsay: 'tis…", "é́ 中文  x  y \U0001f600\U0001f600", "﻿a‍_b", "tail \n", None]
+
+
+def test_words_of_a_batch_are_those_of_the_pattern(spark):
+    dice = random.Random(4)
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    dice.shuffle(points)
+    texts = ODD + ["".join(dice.choices(" \t\n'stremvldé́_9-!. 中", k=dice.randint(0, 30))) for _ in range(2000)]
+    texts += ["".join(x for p in points[i : i + 200] for x in (p, dice.choice("a '!"))) for i in range(0, len(points), 200)]
+    rows = spark.createDataFrame(pa.table({"text": pa.array(texts, pa.string())})).select("text", tokens.pretokens(F.col("text")).alias("w")).toArrow()
+    cutter = words.Cutter.of(spark)
+    for low, raw, bound in words.slices(rows.column("text").combine_chunks()):
+        ends = np.append(cutter.starts(raw, bound), len(raw))
+        assert [raw[a:b].tobytes().decode() for a, b in zip(ends, ends[1:], strict=False)] == [w for r in rows.column("w").slice(low, len(bound) - 1).to_pylist() for w in r]
+
+
+def test_words_are_counted_before_they_meet(spark, monkeypatch):
+    dice = random.Random(5)
+    docs = [(k, " ".join(dice.choices(["a", "bb", "b-b", "it's", "é"], k=dice.randint(0, 9)))) for k in dice.sample(range(-20, 20), 40)] + [(None, "bb last"), (7, None)]
+    for kind, of in (("long", lambda k: k), ("string", lambda k: None if k is None else str(k))):
+        df = spark.createDataFrame([(of(k), t) for k, t in docs], f"doc_id {kind}, text string")
+        want, got = tokens.word_frequencies(df, 2).orderBy("first").select("word", "freq").collect(), words.frequencies(df, 2).orderBy("first").select("word", "freq").collect()
+        assert got == want and len(got) > 8
+    assert "SortAggregate" not in words.frequencies(spark.range(3).select(F.col("id").alias("doc_id"), F.lit("a").alias("text")))._jdf.queryExecution().executedPlan().toString()
+    cutter, batch = words.Cutter.of(spark), pa.record_batch([pa.array([k for k, _ in docs]), pa.array([t for _, t in docs])], ["doc_id", "text"])
+    whole = pa.Table.from_batches(words._counts(iter([batch]), cutter)).sort_by("word")
+    monkeypatch.setattr(words, "_WORDS", 3)
+    monkeypatch.setattr(words, "_BYTES", 20)
+    parts = [*words._counts((batch.slice(k, 5) for k in range(0, len(docs), 5)), cutter)]
+    assert len(parts) > 2 and words.summed([pa.Table.from_batches(parts)]).sort_by("word").select(whole.column_names) == whole
+
+
+def test_texts_are_encoded_and_decoded_in_one_pass(spark, monkeypatch):
+    """Words were cut in the JVM and merged one by one; beyond 100,000 known ones all were merged again."""
+    texts = ODD + ["the cat sat, the cat sat", "<pad> <pad> aaa aaaaa <pad>"]
+    docs = spark.createDataFrame([(k % 9, t) for k, t in enumerate(texts)], "doc_id long, text string").unionAll(spark.sql("SELECT 77L, CAST(X'61FF62' AS STRING)"))
+    monkeypatch.setattr(catalog, "_read", lambda *_: docs)
+    plan = catalog.bpe_encode(spark, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "regexp" not in plan and "EvalPython" not in plan
+    b = tokens.BPE.train(docs, 400, 2)
+    ids = docs.withColumn("ids", b.encode(F.col("text"), eos=True))
+    want = ids.select("doc_id", F.size("ids").alias("n"), (b.decode_column(F.col("ids")) == F.col("text")).alias("round_trip"))
+    got = b.round_trips(docs)
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {r.round_trip for r in want.collect()} == {True, False, None}  # a special token in a text, if it was learned, is left out
+
+
+def test_merged_words_equal_those_of_a_plain_loop(monkeypatch):
+    dice = random.Random(6)
+    symbols = tokens.symbols()
+    merges, known = [], list("abc=")
+    for _ in range(60):
+        merges.append((dice.choice(known), dice.choice(known)))
+        known.append("".join(merges[-1]))
+    b = tokens.BPE({s: k for k, s in enumerate([*tokens.SPECIALS, *symbols, *dict.fromkeys(known[4:])])}, merges + merges[:3])
+
+    def plain(word):
+        parts = list(word)
+        while len(parts) > 1 and (best := min(zip(parts, parts[1:], strict=False), key=lambda p: b.ranks.get(p, 1e9))) in b.ranks:
+            parts = bpe_training.merged(parts, best, best[0] + best[1])
+        return [b.vocab[p] for p in parts]
+
+    pool = ["".join(dice.choices("abc=", k=dice.choice([1, 2, 5, 9, 30, 64, 65, 300]))) for _ in range(400)]
+    pool = [*dict.fromkeys(pool)][:240]
+    want = [plain(w) for w in pool]
+    assert [b.merger.of_word(w.encode()) for w in pool] == want
+    monkeypatch.setattr(encoding, "HELD_WORDS", 40)
+    coder = b.coder()
+    for k in range(0, 240, 30):
+        ids, count = coder.encode(np.arange(30)[::-1], pa.array([w.encode() for w in pool[k : k + 30]], pa.binary()))
+        assert len(coder.number) <= 70 and [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])[::-1]] == want[k : k + 30]
+        assert coder.decode(ids)[0].tobytes().decode() == "".join(pool[k : k + 30][::-1])
+
+
+def test_a_round_hands_on_the_same_in_parts(monkeypatch):
+    dice = random.Random(7)
+    rows = [(w, dice.randint(2, 9), np.array(dice.choices([97, 98, 99], k=dice.randint(2, 12)), np.int32).tobytes()) for w in range(200)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 20], strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["word", "freq", "parts"]) for k in range(0, 200, 20)]
+    steps, size = [(97, 98, 256, 0), (256, 97, 257, 1), (99, 99, 258, 2)], np.ones(256, np.int64)
+
+    def run():
+        made = pa.Table.from_batches(bpe_training._applied(iter(batches), steps, np.append(size, [2, 3, 2])))
+        pairs, told = defaultdict(int), {}
+        for r in made.filter(pa.compute.is_valid(made["left"])).to_pylist():
+            pairs[r["left"], r["right"]] += r["n"]
+            if r["step"] is not None:
+                told[r["left"], r["right"]] = min(told.get((r["left"], r["right"]), (9,)), (r["step"], r["born"], r["at"]))
+        runs = bpe_training.summed([pa.Table.from_batches(bpe_training._runs(iter(batches), np.array([97 << 32 | 98]), size))]).sort_by("run").to_pylist()
+        return made.filter(pa.compute.is_valid(made["word"])).select(["word", "freq", "parts"]).sort_by("word"), pairs, told, runs
+
+    want = run()
+    for w, f, p in rows:  # word by word
+        own = np.frombuffer(p, np.int32).tolist()
+        for pair in zip(own, own[1:], strict=False):
+            want[1][pair] += f
+        for left, right, made, _ in steps:
+            own = bpe_training.merged(own, (left, right), made)
+        for pair in zip(own, own[1:], strict=False):
+            want[1][pair] -= f
+    assert not any(want[1].values()) and (256, 97) in want[2] and len(want[3]) == 1 and want[3][0]["freq"] > 200
+    once = run()
+    monkeypatch.setattr(bpe_training, "_CHANGES", 10)
+    monkeypatch.setattr(bpe_training, "_ENTRIES", 0)
+    parts = run()
+    assert parts[0] == once[0] and parts[1:] == once[1:]
